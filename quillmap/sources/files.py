@@ -14,7 +14,7 @@ from quillmap.schemas import (
 )
 from quillmap.session import exact_rank
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def read_dataset(
