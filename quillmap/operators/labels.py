@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmap.functions.scores import percent
@@ -61,8 +61,6 @@ def label_clusters(
     """
     real = df.where(F.col(cluster) != noise)
     sizes = real.groupBy(cluster).agg(F.count(F.lit(1)).alias("_size"))
-    from pyspark.sql import Window
-
     turns = sizes.withColumn("_turn", F.row_number().over(Window.orderBy(F.desc("_size"), cluster)))
     counts = (
         real.where(F.coalesce(topic, F.lit("")) != "")
@@ -105,9 +103,9 @@ def label_clusters(
 
 def label_author_clusters(authors: DataFrame, cluster: str = "cluster_id", chars: int = 30) -> DataFrame:
     """(cluster, label): most cited author with the start of the institution."""
-    best = F.max_by(
+    best = F.min_by(
         F.struct("name", "institution"),
-        F.struct(F.col("total_citations").alias("c"), F.hash("author_id").alias("h"), F.col("author_id").alias("i")),
+        F.struct((-F.col("total_citations")).alias("c"), "author_id"),
     )
     shown = F.when(
         F.coalesce("r.institution", F.lit("")) != "",
