@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmap.functions.scores import percent
 from quillmap.functions.text import truncate_text
-from quillmap.session import top_n
+from quillmap.session import durable, top_n
 
 
 def cluster_summary(df: DataFrame, cluster: str = "cluster_id", warn_ratio: float = 0.4) -> DataFrame:
@@ -50,43 +50,17 @@ def label_clusters(
     topic: str = "topic",
     fallback_terms: DataFrame | None = None,
     noise: int = -1,
+    small: int = 1_000_000,
 ) -> DataFrame:
     """(cluster, label, labelled): unique labels, handed out from the largest cluster down.
 
     Each cluster takes its most frequent topic that no larger cluster took; ties by topic and by
     cluster id. Clusters left without get their terms from fallback_terms(cluster, fallback_label)
-    or ``Cluster <id>``. Noise is called Outlier. The p-th largest cluster can lose at most p - 1
-    topics, so only its first p topics matter: what reaches the one greedy task depends on the
-    number of clusters, which k-means bounds, and not on rows or topics.
+    or ``Cluster <id>``. Noise is called Outlier.
     """
     real = df.where(F.col(cluster) != noise)
     sizes = real.groupBy(cluster).agg(F.count(F.lit(1)).alias("_size"))
-    turns = sizes.withColumn("_turn", F.row_number().over(Window.orderBy(F.desc("_size"), cluster)))
-    counts = (
-        real.where(F.coalesce(topic, F.lit("")) != "")
-        .groupBy(cluster, F.col(topic).alias("_topic"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    by_count = Window.partitionBy(cluster).orderBy(F.desc("_n"), "_topic")
-    choices = (
-        counts.withColumn("_rank", F.row_number().over(by_count))
-        .join(F.broadcast(turns), cluster)
-        .where(F.col("_rank") <= F.col("_turn"))
-        .select(cluster, "_topic", "_rank", "_turn")
-    )
-    kind = df.schema[cluster].dataType.simpleString()
-
-    def hand_out(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        out = []
-        for _, own in pdf.sort_values(["_turn", "_rank"]).groupby("_turn", sort=True):
-            free = [t for t in own["_topic"] if t not in taken]
-            if free:
-                taken.add(free[0])
-                out.append((own[cluster].iloc[0], free[0]))
-        return pd.DataFrame(out, columns=[cluster, "_label"])
-
-    given = choices.groupBy(F.lit(1)).applyInPandas(hand_out, f"{cluster} {kind}, _label string")
+    given = _hand_out(_topic_choices(real, sizes, cluster, topic), cluster, small)
     out = sizes.join(given, cluster, "left")
     spare = F.concat(F.lit("Cluster "), F.col(cluster).cast("string"))
     if fallback_terms is not None:
@@ -101,6 +75,65 @@ def label_clusters(
     return labels.unionByName(outlier)
 
 
+def _topic_choices(real: DataFrame, sizes: DataFrame, cluster: str, topic: str) -> DataFrame:
+    """(cluster, _topic, _rank, _turn): topics a cluster may get, best first.
+
+    At the p-th turn at most p - 1 topics are taken, so only the first p topics of that cluster
+    matter. They are ranked in salted parts first, then per cluster.
+    """
+    turns = sizes.select(cluster, F.row_number().over(Window.orderBy(F.desc("_size"), cluster)).alias("_turn"))
+    rows = (
+        real.where(F.coalesce(topic, F.lit("")) != "")
+        .groupBy(cluster, F.col(topic).alias("_topic"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .join(turns, cluster)
+        .withColumn("_salt", F.pmod(F.xxhash64("_topic"), F.lit(64)))
+    )
+    for keys in ([cluster, "_salt"], [cluster]):
+        w = Window.partitionBy(*keys).orderBy(F.desc("_n"), "_topic")
+        rows = rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= F.col("_turn"))
+    return rows.select(cluster, "_topic", "_rank", "_turn")
+
+
+def _hand_out(choices: DataFrame, cluster: str, small: int) -> DataFrame:
+    """(cluster, _label): first free topic of each cluster in order of turns.
+
+    Turn order is a sequence, so a table checked to be small is served in one task. A larger one is
+    served in rounds: every cluster asks for its best topic that no earlier turn holds, and a topic
+    goes to the earliest turn asking. As all topics prefer the same order of clusters, the rounds
+    end in the same labels.
+    """
+    choices = durable(choices)
+    if choices.count() <= small:
+        kind = choices.schema[cluster].dataType.simpleString()
+
+        def serve(pdf: pd.DataFrame) -> pd.DataFrame:
+            taken: set[str] = set()
+            out = []
+            for _, own in pdf.sort_values(["_turn", "_rank"]).groupby("_turn", sort=True):
+                free = next((t for t in own["_topic"] if t not in taken), None)
+                if free is not None:
+                    taken.add(free)
+                    out.append((own[cluster].iloc[0], free))
+            return pd.DataFrame(out, columns=[cluster, "_label"])
+
+        return choices.groupBy(F.lit("all").alias("_all")).applyInPandas(serve, f"{cluster} {kind}, _label string")
+    held = None
+    while True:
+        open_ = choices
+        if held is not None:
+            before = held.select("_topic", F.col("_turn").alias("_holder"))
+            open_ = choices.join(before, "_topic", "left").where(
+                F.col("_holder").isNull() | (F.col("_holder") >= F.col("_turn"))
+            ).drop("_holder")
+        asks = open_.groupBy(cluster, "_turn").agg(F.min_by("_topic", "_rank").alias("_topic"))
+        now = durable(asks.groupBy("_topic").agg(F.min("_turn").alias("_turn")))
+        if held is not None and now.exceptAll(held).isEmpty() and held.exceptAll(now).isEmpty():
+            owner = choices.select(cluster, "_turn").distinct()
+            return held.join(owner, "_turn").select(cluster, F.col("_topic").alias("_label"))
+        held = now
+
+
 def label_author_clusters(authors: DataFrame, cluster: str = "cluster_id", chars: int = 30) -> DataFrame:
     """(cluster, label): most cited author with the start of the institution."""
     best = F.min_by(

@@ -440,7 +440,7 @@ def embed_new(t: Tables) -> DataFrame:
     SELECT 's2:' || CAST(openalex_id AS VARCHAR) AS openalex_id, title, abstract, cited_by_count AS citation_count,
            publication_year AS year, source_name AS journal, 'https://doi.org/10.1/' || CAST(openalex_id AS VARCHAR) AS doi,
            'first ' || language || '; second ' || language AS authors, 'alt' AS streams
-    FROM fx_docs WHERE abstract <> '' AND source_name IN (SELECT source_name FROM fx_docs GROUP BY 1 HAVING count(*) > 50)""")
+    FROM fx_docs WHERE abstract <> '' AND source_name IN (SELECT source_name FROM fx_docs WHERE language = 'de')""")
 def normalize_alt_source(t: Tables) -> DataFrame:
     record = F.struct(
         F.col("openalex_id").cast("string").alias("paperId"), "title", "abstract",
@@ -450,7 +450,7 @@ def normalize_alt_source(t: Tables) -> DataFrame:
         F.struct(F.concat(F.lit("10.1/"), F.col("openalex_id").cast("string")).alias("DOI")).alias("externalIds"))
     lines = t.docs.select(F.to_json(record).alias("value"))
     parsed = lines.select(F.from_json("value", schemas.RAW_ALT).alias("r")).select("r.*")
-    common = t.docs.groupBy("source_name").count().where("count > 50").select(F.upper("source_name").alias("name"))
+    common = t.docs.where(F.col("language") == "de").select(F.upper("source_name").alias("name"))
     return alt_source.normalize_alt_source(parsed, "alt", common)
 
 
