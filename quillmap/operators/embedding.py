@@ -38,8 +38,7 @@ def embed_texts(
     """
     rows = df.select(id, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     if make_encoder is None:
-        stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-        words = rows.withColumn("_words", F.filter(tokens(F.col("_text")), lambda t: ~F.array_contains(stop, t)))
+        words = rows.withColumn("_words", F.filter(tokens(F.col("_text")), lambda t: ~t.isin(STOP_WORDS)))
         hashed = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=2 * dim).transform(words)
         counts = hashed.withColumn("_c", vector_to_array("_tf"))
         signed = F.zip_with(F.slice("_c", 1, dim), F.slice("_c", dim + 1, dim), lambda p, m: p - m)

@@ -13,7 +13,7 @@ from quillmap.session import durable, top_n
 
 def cluster_summary(df: DataFrame, cluster: str = "cluster_id", warn_ratio: float = 0.4) -> DataFrame:
     """(cluster, n, total, n_clusters, n_outliers, outlier_pct, warn), one row per cluster; noise is -1."""
-    sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
+    sizes = durable(df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")))
     total = sizes.agg(F.sum("n").alias("v")).scalar()
     clusters = sizes.where(F.col(cluster) != -1).agg(F.count(F.lit(1)).alias("v")).scalar()
     outliers = F.coalesce(sizes.where(F.col(cluster) == -1).agg(F.sum("n").alias("v")).scalar(), F.lit(0))
@@ -155,7 +155,6 @@ def cluster_digest(
     """(cluster, label, n, year_min, year_max, citations, top_papers): one line per cluster, noise left out."""
     real = df.where(F.col(cluster) != noise)
     sums = real.groupBy(cluster).agg(
-        F.min(label).alias("label"),
         F.count(F.lit(1)).alias("n"),
         F.min("year").alias("year_min"),
         F.max("year").alias("year_max"),
@@ -166,12 +165,16 @@ def cluster_digest(
         F.lit('"'), F.substring("title", 1, 60), F.lit('" ('), F.col("year").cast("string"), F.lit(", "),
         F.col("citation_count").cast("string"), F.lit(" cites)"),
     )
+    # the label is the same for all papers of a cluster: taken from the first one shown
     lines = best.groupBy(cluster).agg(
+        F.max(F.when(F.col("rank") == 1, F.col(label))).alias("label"),
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", shown.alias("s")))), lambda x: x["s"]), "; "
         ).alias("top_papers")
     )
-    return sums.join(lines, cluster)
+    return sums.join(lines, cluster).select(
+        cluster, "label", "n", "year_min", "year_max", "citations", "top_papers"
+    )
 
 
 def cluster_dossier(df: DataFrame, cluster: str = "cluster_id", abstract_chars: int = 300) -> DataFrame:

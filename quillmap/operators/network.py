@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap.functions.scores import clamp, collaboration_score
-from quillmap.session import exact_rank, top_n
+from quillmap.session import broadcast_if_small, durable, exact_rank, top_n
 
 
 def _papers_of(focals: DataFrame, links: DataFrame) -> DataFrame:
-    asked = focals.select("author_id").distinct()
+    asked = broadcast_if_small(focals.select("author_id").distinct())
     return links.join(asked, "author_id", "left_semi").select(
         F.col("author_id").alias("focal_id"), "paper_id"
     )
@@ -36,11 +36,13 @@ def coauthor_edges(
     aggregates = [F.count(F.lit(1)).alias("shared_papers")]
     if papers is not None:
         years = papers.select(F.col("openalex_id").alias("paper_id"), "year")
-        mine = mine.join(years, "paper_id", "left")
+        wanted = broadcast_if_small(mine.select("paper_id").distinct())
+        mine = mine.join(years.join(wanted, "paper_id", "left_semi"), "paper_id", "left")
         fade = F.when(F.col("year") != 0, F.pow(F.lit(decay), current_year - F.col("year")))
         aggregates.append(F.avg(fade).alias("recency"))
     return (
-        mine.join(links.select("paper_id", "author_id"), "paper_id")
+        links.select("paper_id", "author_id")
+        .join(broadcast_if_small(mine), "paper_id")
         .where(F.col("author_id") != F.col("focal_id"))
         .groupBy("focal_id", "author_id")
         .agg(*aggregates)
@@ -61,7 +63,8 @@ def pair_edges(members: DataFrame, links: DataFrame, group: str = "focal_id") ->
 
     Links are cut to members first, so a paper contributes pairs of members of one group only.
     """
-    held = members.select(group, "author_id").join(links.select("author_id", "paper_id"), "author_id")
+    people = broadcast_if_small(members.select(group, "author_id"))
+    held = durable(links.select("author_id", "paper_id").join(people, "author_id"))
     a = held.select(group, "paper_id", F.col("author_id").alias("author_a"))
     b = held.select(group, "paper_id", F.col("author_id").alias("author_b"))
     return (
@@ -147,7 +150,9 @@ def circle_topics(
     topics = papers.where(F.coalesce("topic", F.lit("")) != "").select(
         F.col("openalex_id").alias("paper_id"), "topic"
     )
-    rows = circle.select("focal_id", "author_id").join(links, "author_id").join(topics, "paper_id")
+    people = broadcast_if_small(circle.select("focal_id", "author_id"))
+    written = links.select("author_id", "paper_id").join(people, "author_id")
+    rows = topics.join(broadcast_if_small(written), "paper_id")
     n = F.countDistinct("paper_id") if distinct_papers else F.count(F.lit(1))
     counts = rows.groupBy("focal_id", "topic").agg(n.alias("n"))
     return top_n(counts, ["focal_id"], [F.desc("n"), F.col("topic")], top)
@@ -215,9 +220,9 @@ def territory_papers(
     people = focals.select(
         F.col("author_id").alias("focal_id"), "author_id", F.lit(0).alias("rank")
     ).distinct().unionByName(ranked.select("focal_id", "author_id", "rank"))
-    owned = people.join(links.select("author_id", "paper_id"), "author_id")
+    owned = links.select("author_id", "paper_id").join(broadcast_if_small(people), "author_id")
     owner = owned.groupBy("focal_id", "paper_id").agg(F.min_by("author_id", "rank").alias("owner_id"))
-    return owner.withColumnRenamed("paper_id", "openalex_id").join(papers, "openalex_id")
+    return papers.join(broadcast_if_small(owner.withColumnRenamed("paper_id", "openalex_id")), "openalex_id")
 
 
 def author_profile(
@@ -239,7 +244,7 @@ def author_profile(
 
 
 def _group_papers(groups: DataFrame, links: DataFrame) -> DataFrame:
-    return groups.join(links.select("author_id", "paper_id"), "author_id")
+    return links.select("author_id", "paper_id").join(broadcast_if_small(groups), "author_id")
 
 
 def shared_papers(groups: DataFrame, links: DataFrame, min_owners: int = 2) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmap.functions.scores import clamp
 from quillmap.functions.text import term_counts, tokens, truncate_text
-from quillmap.session import top_n
+from quillmap.session import broadcast_if_small, durable, top_n
 
 MAX_LIMIT = 200
 
@@ -70,14 +70,14 @@ def match_documents(
 ) -> DataFrame:
     """(query_id, doc_id, score) of every document that satisfies a group of the query.
 
-    The index is cut to the asked tokens before anything is shuffled. Scores add up per group and
+    The index is cut to the asked tokens before anything is shuffled: the query terms with their
+    weights are counted and broadcast. Scores add up per group and
     then per query after one shuffle on (query, document).
     """
     postings, doc_stats = index
-    terms = parse_queries(queries)
-    asked = terms.select("token").distinct()
-    found = postings.join(asked, "token", "left_semi")
-    spread = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    terms = durable(parse_queries(queries))
+    asked = broadcast_if_small(terms.select("token").distinct())
+    spread = postings.join(asked, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     n_docs = doc_stats.agg(F.count(F.lit(1)).alias("n")).scalar()
     mean_dl = doc_stats.agg(F.avg("dl").alias("a")).scalar()
     raw = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -89,7 +89,7 @@ def match_documents(
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean_dl"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
     return (
-        postings.join(weighted, "token")
+        postings.join(broadcast_if_small(weighted), "token")
         .select("query_id", "group_id", "doc_id", "n_tokens", part.alias("part"))
         .repartition("query_id", "doc_id")
         .groupBy("query_id", "doc_id", "group_id", "n_tokens")
@@ -142,7 +142,7 @@ def search(
     """
     slim = ["year", "citation_count", "journal_tier", "subfield"]
     held = docs.select(F.col("openalex_id").alias("doc_id"), *[c for c in slim if c in docs.columns])
-    scored = match_documents(index, queries, k1, b).join(held, "doc_id")
+    scored = held.join(broadcast_if_small(match_documents(index, queries, k1, b)), "doc_id")
     passed = apply_search_filters(scored, filters)
     order = [F.desc("score"), F.desc("citation_count"), F.col("doc_id")]
     per_query = filters is not None and "limit" in filters.columns
@@ -153,9 +153,8 @@ def search(
         best = best.join(own, "query_id", "left").where(
             F.col("rank") <= F.coalesce("_most", F.lit(limit))
         )
-    return best.select("query_id", "rank", "score", F.col("doc_id").alias("openalex_id")).join(
-        docs, "openalex_id"
-    )
+    hits = best.select("query_id", "rank", "score", F.col("doc_id").alias("openalex_id"))
+    return docs.join(broadcast_if_small(hits), "openalex_id")
 
 
 def result_view(results: DataFrame, abstract_chars: int = 300) -> DataFrame:
@@ -178,6 +177,7 @@ def multi_search(results: DataFrame, queries: DataFrame, cap: int | None = None)
     running total per query. With a cap, queries after the one that reaches it are left out. The
     log has one row per query, so its running total is a window over queries, not over papers.
     """
+    results = durable(results)
     first = results.groupBy("openalex_id").agg(F.min("query_id").alias("query_id"))
     counts = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"))
     new = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("new"))

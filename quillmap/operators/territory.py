@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmap.operators.quality import top_values
-from quillmap.session import exact_rank, top_n
+from quillmap.session import broadcast_if_small, exact_rank
 
 
 def group_medians(points: DataFrame, group: str, min_points: int = 5) -> DataFrame:
@@ -17,6 +17,7 @@ def group_medians(points: DataFrame, group: str, min_points: int = 5) -> DataFra
     Exact medians by rank, so a group of any size never gathers in one aggregation buffer.
     """
     sizes = points.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points)
+    sizes = broadcast_if_small(sizes)
     out = sizes
     for axis in ("x", "y"):
         ranked = exact_rank(points.select(group, axis), [group], [F.col(axis)], "_rank")
@@ -134,6 +135,7 @@ def kde_grid(
         (F.col("n") * 2 * math.pi * F.sqrt("det")).alias("scale"),
     )
     near = lambda v, low, step: F.when(F.lit(step) > 0, F.round((v - low) / (step or 1.0))).otherwise(0).cast("int")
+    kernel = broadcast_if_small(kernel)
     small = points.select(group, "x", "y").join(kernel, group)
     single = small.where(F.col("n") <= exact_points).select(
         group, F.col("x").alias("px"), F.col("y").alias("py"), F.lit(1).cast("long").alias("w"), "ixx", "iyy", "ixy", "scale"

@@ -15,7 +15,7 @@ from quillmap.operators.embedding import author_vectors, embed_texts, project_2d
 from quillmap.operators.quality import alignment_check
 from quillmap.operators.sampling import sqrt_quotas, stratified_sample
 from quillmap.operators.works import filter_high_impact
-from quillmap.session import durable
+from quillmap.session import broadcast_if_small, durable
 
 ID = "openalex_id"
 
@@ -37,8 +37,8 @@ def describe_clusters(papers: DataFrame, placed: DataFrame, label_size: int = 3)
     strongest = durable(terms.topic_words(terms.tfidf_terms(mapped, text="_text", id=ID), label_size=label_size))
     named = labels.label_clusters(mapped, fallback_terms=strongest)
     return (
-        mapped.join(F.broadcast(named.select("cluster_id", F.col("label").alias("cluster_label"))), "cluster_id")
-        .join(F.broadcast(strongest.select("cluster_id", "topic_words")), "cluster_id", "left")
+        mapped.join(broadcast_if_small(named.select("cluster_id", F.col("label").alias("cluster_label"))), "cluster_id")
+        .join(broadcast_if_small(strongest.select("cluster_id", "topic_words")), "cluster_id", "left")
         .withColumn("topic_words", F.coalesce("topic_words", F.lit("")))
         .drop("_text")
     )
@@ -112,7 +112,7 @@ def build_author_map(
     placed = clustering.cluster_authors(own.select("author_id", "embedding"), k, seed)
     mapped = durable(authors.join(placed, "author_id"))
     named = labels.label_author_clusters(mapped).withColumnRenamed("label", "cluster_label")
-    return mapped.join(F.broadcast(named), "cluster_id")
+    return mapped.join(broadcast_if_small(named), "cluster_id")
 
 
 def compare_authors(

@@ -257,7 +257,7 @@ def raw_lines(t: Tables) -> DataFrame:
 
 
 def raw_works(t: Tables) -> DataFrame:
-    return snapshot.parse_works(raw_lines(t)).where(F.col("work").isNotNull()).select("work.*").drop("_bad")
+    return snapshot.parse_works(raw_lines(t))
 
 
 REBUILT = r"array_to_string(regexp_extract_all(lower(strip_accents(d.abstract)), '[\p{L}\p{N}]+'), ' ')"
@@ -341,7 +341,7 @@ def bad_records(t: Tables) -> DataFrame:
     # every line twice: whole, and cut in the middle of the object
     cut = t.works.select(F.concat(F.lit('{"id": "W'), F.col("openalex_id").cast("string"), F.lit('", "title": ')).alias("value"))
     whole = t.works.select(F.concat(F.lit('{"id": "W'), F.col("openalex_id").cast("string"), F.lit('"}')).alias("value"))
-    return snapshot.parse_works(cut.unionByName(whole)).where(F.col("work").isNull()).select("value")
+    return snapshot.bad_lines(cut.unionByName(whole))
 
 
 @query("ingest_stream", "fx_works fx_docs fx_tiers", FLAT)

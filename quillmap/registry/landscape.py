@@ -401,7 +401,7 @@ def build_author_map(t: Tables) -> DataFrame:
 
 @query("compare_authors")
 def compare_authors(t: Tables) -> DataFrame:
-    points, _ = maps.compare_authors(t.groups, t.links, t.papers)
+    points, _ = maps.compare_authors(t.groups, t.slinks, t.papers)
     return points.select("group_id", "openalex_id", "owner_id", "shared", "x", "y", "cluster_id", "cluster_label")
 
 

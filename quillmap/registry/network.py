@@ -124,27 +124,27 @@ def author_profile(t: Tables) -> DataFrame:
     return nw.author_profile(t.focals, au.author_papers(t.links, t.papers, t.focals), _layer1(t))
 
 
-@query("shared_papers", "fx_groups fx_links", """
+@query("shared_papers", "fx_groups fx_slinks", """
     SELECT group_id, paper_id, array_to_string(list(author_id ORDER BY author_id), ',') AS owners FROM (
-        SELECT DISTINCT g.group_id, l.paper_id, g.author_id FROM fx_groups g JOIN fx_links l ON l.author_id = g.author_id)
+        SELECT DISTINCT g.group_id, l.paper_id, g.author_id FROM fx_groups g JOIN fx_slinks l ON l.author_id = g.author_id)
     GROUP BY 1, 2 HAVING count(*) >= 2""")
 def shared_papers(t: Tables) -> DataFrame:
-    return nw.shared_papers(t.groups, t.links).select("group_id", "paper_id", F.array_join(F.col("owners").cast("array<string>"), ",").alias("owners"))
+    return nw.shared_papers(t.groups, t.slinks).select("group_id", "paper_id", F.array_join(F.col("owners").cast("array<string>"), ",").alias("owners"))
 
 
-@query("solo_papers", "fx_groups fx_links", """
+@query("solo_papers", "fx_groups fx_slinks", """
     SELECT group_id, author_id, paper_id FROM (
         SELECT g.group_id, l.paper_id, g.author_id, count(*) OVER (PARTITION BY g.group_id, l.paper_id) AS n
-        FROM fx_groups g JOIN fx_links l ON l.author_id = g.author_id) WHERE n = 1""")
+        FROM fx_groups g JOIN fx_slinks l ON l.author_id = g.author_id) WHERE n = 1""")
 def solo_papers(t: Tables) -> DataFrame:
-    return nw.solo_papers(t.groups, t.links)
+    return nw.solo_papers(t.groups, t.slinks)
 
 
-@query("compare_authors_points", "fx_groups fx_links", """
+@query("compare_authors_points", "fx_groups fx_slinks", """
     SELECT g.group_id, l.paper_id, arg_min(g.author_id, g.seq) AS owner_id, count(*) AS n_owners, count(*) >= 2 AS shared
-    FROM fx_groups g JOIN fx_links l ON l.author_id = g.author_id GROUP BY 1, 2""")
+    FROM fx_groups g JOIN fx_slinks l ON l.author_id = g.author_id GROUP BY 1, 2""")
 def compare_authors_points(t: Tables) -> DataFrame:
-    return nw.compare_points(t.groups, t.links)
+    return nw.compare_points(t.groups, t.slinks)
 
 
 @query("fork_origins", "fx_track", """

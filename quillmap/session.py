@@ -37,6 +37,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """Materialise a side that should be small, and broadcast it only if it is.
+
+    Size estimates of aggregated or semi-joined tables are those of their inputs, so Spark would
+    shuffle the large side. The rows are counted instead; beyond the bound the table is returned
+    as it is and Spark joins by shuffle.
+    """
+    stored = durable(df)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
+
+
 def exact_rank(
     df: DataFrame, keys: list[str], order: list[Column], name: str = "rank"
 ) -> DataFrame:
