@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmap.functions.scores import percent
 from quillmap.operators.works import spot_check
-from quillmap.session import top_n
+from quillmap.session import durable, top_n
 
 
 def _filled(column: str) -> Column:
@@ -87,7 +87,8 @@ def verify_lakehouse(
         F.col("gid") == 6, "type"
     ).otherwise("total")
     key = F.coalesce(F.col("publication_year").cast("string"), "field", "type", F.lit(""))
-    base = sets.withColumn("metric", named).withColumn("key", key)
+    # years + fields + types: read by each part of the report
+    base = durable(sets.withColumn("metric", named).withColumn("key", key))
     ranked = top_n(
         base.where((F.col("metric") != "total") & (F.col("key") != "")).withColumn(
             "_order", F.when(F.col("metric") == "year", F.col("publication_year")).otherwise(F.col("n"))

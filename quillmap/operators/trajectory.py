@@ -5,31 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmap.session import durable
+
 KEY = ["focal_id", "cluster_id"]
 
 
-def fork_origins(papers: DataFrame) -> DataFrame:
-    """(focal_id, cluster_id, first_year, origin_id): where a cluster branches off.
+def year_nodes(papers: DataFrame) -> DataFrame:
+    """(focal_id, cluster_id, year, spine_id, last): one row per cluster and year of a trajectory.
 
-    papers(focal_id, paper_id, cluster_id, year, citations). The origin is the last paper of any
-    cluster in the order (year, most cited first, id) before the cluster's first year; null for a
-    cluster that starts the trajectory. The timeline is reduced to one row per year first, then the
-    previous row is the answer, so there is no range join.
+    spine_id is the most cited paper, ties to the smaller id. ``last`` holds the last paper in the
+    order most cited first, then id. One aggregation with map-side combination serves all edges.
     """
-    last = F.max_by("paper_id", F.struct((-F.col("citations")).alias("c"), "paper_id"))
-    timeline = papers.groupBy("focal_id", "year").agg(last.alias("_last"))
+    order = F.struct((-F.col("citations")).alias("c"), F.col("paper_id").alias("i"))
+    return papers.groupBy(*KEY, "year").agg(F.min(order)["i"].alias("spine_id"), F.max(order).alias("last"))
+
+
+def _origins(nodes: DataFrame) -> DataFrame:
+    timeline = nodes.groupBy("focal_id", "year").agg(F.max("last")["i"].alias("_last"))
     by_year = Window.partitionBy("focal_id").orderBy("year")
     timeline = timeline.select(
         "focal_id", F.col("year").alias("first_year"), F.lag("_last").over(by_year).alias("origin_id")
     )
-    starts = papers.groupBy(*KEY).agg(F.min("year").alias("first_year"))
+    starts = nodes.groupBy(*KEY).agg(F.min("year").alias("first_year"))
     return starts.join(timeline, ["focal_id", "first_year"])
 
 
-def spine_nodes(papers: DataFrame) -> DataFrame:
-    """(focal_id, cluster_id, year, spine_id): most cited paper per cluster and year."""
-    best = F.min_by("paper_id", F.struct((-F.col("citations")).alias("c"), "paper_id"))
-    return papers.groupBy(*KEY, "year").agg(best.alias("spine_id"))
+def fork_origins(papers: DataFrame) -> DataFrame:
+    """(focal_id, cluster_id, first_year, origin_id): where a cluster branches off.
+
+    papers(focal_id, paper_id, cluster_id, year, citations). The origin is the last paper of any
+    cluster in the order (year, most cited first, id) before the cluster's first year; null for a
+    cluster that starts the trajectory. The timeline is reduced to one row per year first, then the
+    previous row is the answer, so there is no range join.
+    """
+    return _origins(durable(year_nodes(papers)))
 
 
 def trajectory_edges(papers: DataFrame) -> DataFrame:
@@ -38,14 +47,15 @@ def trajectory_edges(papers: DataFrame) -> DataFrame:
     Spine edges join consecutive years of a cluster, a fork edge leads from the origin to the first
     spine paper, spokes from a spine paper to the other papers of its year.
     """
-    spine = spine_nodes(papers)
+    nodes = durable(year_nodes(papers))
+    spine = nodes.drop("last")
     by_year = Window.partitionBy(*KEY).orderBy("year")
     steps = spine.withColumn("_from", F.lag("spine_id").over(by_year))
     backbone = steps.where(F.col("_from").isNotNull()).select(
         *KEY, F.lit("spine").alias("edge_kind"), F.col("_from").alias("from_id"), F.col("spine_id").alias("to_id")
     )
     forks = (
-        fork_origins(papers)
+        _origins(nodes)
         .where(F.col("origin_id").isNotNull())
         .withColumnRenamed("first_year", "year")
         .join(spine, [*KEY, "year"])

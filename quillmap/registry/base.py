@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmap.functions.text import tokens
+from quillmap.session import spread_scan, store
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -259,7 +260,8 @@ class Tables:
         """A fixture from its SQL text."""
         for table in TABLES:
             if table in FIXTURES[name]:
-                self.raw(table).createOrReplaceTempView(table)
+                rows = self.raw(table)
+                (spread_scan(rows) if table == "documents" else rows).createOrReplaceTempView(table)
         for needed in _NEEDS.get(name, []):
             self.sql(needed).createOrReplaceTempView(needed)
         return self.spark.sql(FIXTURES[name])
@@ -267,14 +269,25 @@ class Tables:
     works = cached_property(lambda self: self.sql("fx_works"))
     papers = cached_property(lambda self: self.sql("fx_papers"))
     tiers = cached_property(lambda self: self.sql("fx_tiers"))
-    links = cached_property(lambda self: self.sql("fx_links"))
-    authors = cached_property(lambda self: self.sql("fx_authors"))
-    focals = cached_property(lambda self: self.sql("fx_focals"))
-    slinks = cached_property(lambda self: self.sql("fx_slinks"))
+    # links and authors are stored tables of the data model
+    links = cached_property(lambda self: store(self.sql("fx_links"), "links"))
+    authors = cached_property(lambda self: store(self._authors(), "authors"))
+    focals = cached_property(lambda self: store(self._focals(), "focals"))
+    slinks = cached_property(lambda self: store(self.sql("fx_slinks"), "links"))
     groups = cached_property(lambda self: self.sql("fx_groups"))
     authorships = cached_property(lambda self: self.sql("fx_authorships"))
     docs = cached_property(lambda self: self.sql("fx_docs"))
 
+    def _authors(self) -> DataFrame:
+        self.links.createOrReplaceTempView("fx_links")
+        self.works.createOrReplaceTempView("fx_works")
+        self.raw("part").createOrReplaceTempView("part")
+        return self.spark.sql(FIXTURES["fx_authors"])
+
+    def _focals(self) -> DataFrame:
+        self.authors.createOrReplaceTempView("fx_authors")
+        return self.spark.sql(FIXTURES["fx_focals"])
+
     @cached_property
     def points(self) -> DataFrame:
         return self.raw("embeddings").select(
@@ -313,7 +326,7 @@ class Tables:
     @cached_property
     def labelled_docs(self) -> DataFrame:
         """Whole documents with the label of their vector as cluster."""
-        return self.raw("documents").select(F.col("doc_id").alias("openalex_id"), "text").join(
+        return spread_scan(self.raw("documents")).select(F.col("doc_id").alias("openalex_id"), "text").join(
             self.raw("embeddings").select(F.col("vec_id").alias("openalex_id"), F.col("label").alias("cluster_id")),
             "openalex_id",
         )

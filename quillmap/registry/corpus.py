@@ -221,13 +221,28 @@ RAW_FROM = """
     FROM fx_works w LEFT JOIN fx_docs d ON w.openalex_id = d.openalex_id"""
 
 
+def inverted_index(words):
+    """Token -> positions, inside the row."""
+
+    def group(pairs):
+        n = F.size(pairs)
+        token = lambda i: F.element_at(pairs, i)["w"]
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (token(i) != token(F.greatest(i - 1, F.lit(1)))))
+        return F.transform(
+            F.array(starts),
+            lambda s: F.transform(
+                F.zip_with(s, F.slice(s, 2, n), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, n + 1).alias("b"))),
+                lambda z: F.struct(token(z["a"]).alias("w"), F.transform(F.slice(pairs, z["a"], z["b"] - z["a"]), lambda p: p["i"]).alias("at")),
+            ),
+        )[0]
+
+    pairs = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    return F.when(F.size(words) > 0, F.map_from_entries(F.transform(F.array(pairs), group)[0]))
+
+
 def raw_lines(t: Tables) -> DataFrame:
     """Works, documents and authorships nested into one JSON line per work."""
-    words = t.docs.select("openalex_id", F.posexplode(tx.tokens(F.col("abstract"))).alias("pos", "token"))
-    index = (
-        words.groupBy("openalex_id", "token").agg(F.array_sort(F.collect_list("pos")).alias("at"))
-        .groupBy("openalex_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "at"))).alias("index"))
-    )
+    index = t.docs.select("openalex_id", inverted_index(tx.tokens(F.col("abstract"))).alias("index"))
     people = t.authorships.groupBy(F.col("paper_id").alias("openalex_id")).agg(
         F.array_sort(F.collect_list(F.struct("position", "author_id", "author_name", "orcid", "institution"))).alias("people"))
     name = lambda c: F.struct(c.alias("display_name"))
@@ -329,9 +344,7 @@ def filter_subject(t: Tables) -> DataFrame:
     SELECT openalex_id, array_to_string(regexp_extract_all(lower(strip_accents(abstract)), '[\p{L}\p{N}]+'), ' ') AS abstract
     FROM fx_docs""")
 def rebuild_abstract(t: Tables) -> DataFrame:
-    words = t.docs.select("openalex_id", F.posexplode_outer(tx.tokens(F.col("abstract"))).alias("pos", "token"))
-    index = words.groupBy("openalex_id", "token").agg(F.array_sort(F.collect_list("pos")).alias("at")).groupBy("openalex_id").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("token", "at")))).alias("index"))
+    index = t.docs.select("openalex_id", inverted_index(tx.tokens(F.col("abstract"))).alias("index"))
     return index.select("openalex_id", tx.rebuild_abstract(F.col("index")).alias("abstract"))
 
 

@@ -57,7 +57,7 @@ SAMPLED = f"""(SELECT * FROM (
 def sample_digest(t: Tables) -> DataFrame:
     renamed = {"cited_by_count": "citation_count", "publication_year": "year"}
     high = filter_high_impact(t.works, 400).withColumnsRenamed(renamed)
-    picked = stratified_sample(high, "field", sqrt_quotas(high, "field", 300, 10))
+    picked = durable(stratified_sample(high, "field", sqrt_quotas(high, "field", 300, 10)))
     return lb.cluster_digest(picked, "field", "field", noise="")
 
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from quillmap.operators import search as se
 from quillmap.registry.base import Tables, query
-from quillmap.session import durable
+from quillmap.session import durable, store
 
 
 def _index(t: Tables):
     """The index is a stored table; queries read it many times."""
     postings, stats = se.build_search_index(t.search_docs)
-    return durable(postings), durable(stats)
+    return store(postings, "postings"), store(stats, "doc_stats")
 
 
 def _filters(t: Tables) -> DataFrame:

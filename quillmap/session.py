@@ -48,6 +48,22 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= max_rows else stored
 
 
+def store(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table to the shared folder and read it back; for results that are read column by column."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """A file scan with fewer splits than cores, dealt out to all cores; other scans stay as they are.
+
+    For costly work per row, such as parsing text, on few files or row groups.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def exact_rank(
     df: DataFrame, keys: list[str], order: list[Column], name: str = "rank"
 ) -> DataFrame:
