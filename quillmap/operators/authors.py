@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmap.functions.text import truncate_text
-from quillmap.session import exact_rank, top_n
+from quillmap.session import broadcast_if_small, exact_rank, top_n
 
 
 def author_papers(links: DataFrame, papers: DataFrame, authors: DataFrame | None = None) -> DataFrame:
     """Papers of authors: one row per (author_id, paper)."""
     held = links.select("author_id", F.col("paper_id").alias("openalex_id"))
     if authors is not None:
-        held = held.join(authors.select("author_id").distinct(), "author_id", "left_semi")
-    return held.join(papers, "openalex_id")
+        asked = broadcast_if_small(authors.select("author_id").distinct())
+        held = broadcast_if_small(held.join(asked, "author_id", "left_semi"))
+    return papers.join(held, "openalex_id")
 
 
 def author_totals(papers: DataFrame, links: DataFrame, authors: DataFrame | None = None) -> DataFrame:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import itertools
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmap.operators.embedding import project_2d
-from quillmap.session import durable
+from quillmap.session import durable, exact_rank
 
 
 def paper_cluster_count(n: int) -> int:
@@ -68,29 +70,35 @@ def cluster_hierarchy(points: DataFrame, id: str = "openalex_id", seed: int = 42
     Bisecting k-means makes the coarse level and divides each of its at most eight clusters again,
     with a share of the fine clusters by size, so every fine cluster has one parent.
     """
-    rows = VectorAssembler(inputCols=["x", "y"], outputCol="_v").transform(points.select(id, "x", "y"))
-    rows = durable(rows)
+    rows = durable(VectorAssembler(inputCols=["x", "y"], outputCol="_v").transform(points.select(id, "x", "y")))
     n = rows.count()
     if n < 5:
         return rows.select(id, F.lit(0).alias("coarse_id"), F.lit(0).alias("fine_id"), F.lit(True).alias("only_child"))
     k_coarse, k_fine = hierarchy_counts(n)
-    model = BisectingKMeans(k=k_coarse, seed=seed, featuresCol="_v", predictionCol="coarse_id").fit(rows)
-    coarse = model.transform(rows)
+    coarse = durable(_bisect(rows, k_coarse, seed, "coarse_id"))
+    coarse.persist(StorageLevel.MEMORY_AND_DISK)  # every fit reads its rows many times
     sizes = {r["coarse_id"]: r["count"] for r in coarse.groupBy("coarse_id").count().collect()}
-    parts, first = [], 0
-    for parent, size in sorted(sizes.items()):
-        k = min(size, max(1, round(k_fine * size / n)))
+    shares = {p: min(size, max(1, round(k_fine * size / n))) for p, size in sorted(sizes.items())}
+
+    def divide(parent: int) -> DataFrame:
         own = coarse.where(F.col("coarse_id") == parent)
-        if k == 1:
-            fine = own.withColumn("_f", F.lit(0))
-        else:
-            fine = BisectingKMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_f").fit(own).transform(own)
-        parts.append(fine.select(id, "coarse_id", (F.col("_f") + first).alias("fine_id")))
-        first += k
-    labelled = parts[0]
-    for p in parts[1:]:
-        labelled = labelled.unionByName(p)
-    return labelled.join(only_children(labelled), "coarse_id")
+        if shares[parent] == 1:
+            return own.withColumn("_fine", F.lit(0))
+        return _bisect(own, shares[parent], seed, "_fine")
+
+    with ThreadPoolExecutor(len(shares)) as pool:  # the fits are independent Spark jobs
+        divided = list(pool.map(divide, shares))
+    coarse.unpersist()
+    first, parts = 0, []
+    for parent, part in zip(shares, divided):
+        parts.append(part.select(id, "coarse_id", (F.col("_fine") + first).alias("fine_id")))
+        first += shares[parent]
+    labelled = durable(reduce(DataFrame.unionByName, parts))
+    return labelled.join(F.broadcast(only_children(labelled)), "coarse_id")
+
+
+def _bisect(rows: DataFrame, k: int, seed: int, name: str) -> DataFrame:
+    return BisectingKMeans(k=k, seed=seed, featuresCol="_v", predictionCol=name).fit(rows).transform(rows)
 
 
 def only_children(labelled: DataFrame) -> DataFrame:
@@ -182,10 +190,10 @@ def density_cluster(
         cell_label.join(cell_sizes, "cell").groupBy("component").agg(F.sum("n").alias("size"))
         .where(F.col("size") >= min_cluster_size)
     )
-    numbers = sizes.withColumn(
-        "cluster_id", F.row_number().over(Window.orderBy(F.desc("size"), "component")) - 1
+    numbers = exact_rank(sizes, [], [F.desc("size"), F.col("component")], "_number")
+    labels = cell_label.join(numbers, "component").select(
+        "cell", (F.col("_number") - 1).cast("int").alias("cluster_id")
     )
-    labels = cell_label.join(numbers, "component").select("cell", "cluster_id")
     return (
         placed.select(id, F.concat_ws("/", *names).alias("cell")).join(labels, "cell", "left")
         .select(id, F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmap.functions.scores import percent
 from quillmap.functions.text import truncate_text
-from quillmap.session import durable, top_n
+from quillmap.session import broadcast_if_small, durable, exact_rank, top_n
 
 
 def cluster_summary(df: DataFrame, cluster: str = "cluster_id", warn_ratio: float = 0.4) -> DataFrame:
@@ -81,7 +81,7 @@ def _topic_choices(real: DataFrame, sizes: DataFrame, cluster: str, topic: str)
     At the p-th turn at most p - 1 topics are taken, so only the first p topics of that cluster
     matter. They are ranked in salted parts first, then per cluster.
     """
-    turns = sizes.select(cluster, F.row_number().over(Window.orderBy(F.desc("_size"), cluster)).alias("_turn"))
+    turns = broadcast_if_small(exact_rank(sizes, [], [F.desc("_size"), F.col(cluster)], "_turn").drop("_size"))
     rows = (
         real.where(F.coalesce(topic, F.lit("")) != "")
         .groupBy(cluster, F.col(topic).alias("_topic"))
@@ -191,4 +191,4 @@ def cluster_dossier(df: DataFrame, cluster: str = "cluster_id", abstract_chars:
     return df.select(
         cluster, "year", "openalex_id", "title", "journal", "citation_count",
         truncate_text(F.col("abstract"), abstract_chars).alias("abstract"),
-    ).join(totals, cluster)
+    ).join(broadcast_if_small(totals), cluster)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap.functions.scores import clamp
 from quillmap.functions.text import term_counts, tokens, truncate_text
-from quillmap.session import broadcast_if_small, durable, top_n
+from quillmap.session import broadcast_if_small, durable, running_sum, top_n
 
 MAX_LIMIT = 200
 
@@ -175,20 +175,19 @@ def multi_search(results: DataFrame, queries: DataFrame, cap: int | None = None)
 
     papers: each paper once, with the query that found it first. log: results, new papers and
     running total per query. With a cap, queries after the one that reaches it are left out. The
-    log has one row per query, so its running total is a window over queries, not over papers.
+    log has one row per query.
     """
     results = durable(results)
     first = results.groupBy("openalex_id").agg(F.min("query_id").alias("query_id"))
     counts = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"))
     new = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("new"))
-    running = Window.orderBy("query_id").rowsBetween(Window.unboundedPreceding, 0)
-    log = (
+    per_query = (
         queries.select("query_id").distinct()
         .join(counts, "query_id", "left")
         .join(new, "query_id", "left")
         .fillna({"results": 0, "new": 0})
-        .withColumn("total", F.sum("new").over(running))
     )
+    log = running_sum(per_query, [], [F.col("query_id")], F.col("new"), "total")
     if cap is not None:
         log = log.where(F.col("total") - F.col("new") < cap)
     papers = (

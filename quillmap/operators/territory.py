@@ -207,5 +207,6 @@ def territory_labels(points: DataFrame, group: str = "territory", min_points: in
     """(group, n, x, y, position): label places of territories, largest first, Other last."""
     medians = group_medians(points, group, min_points)
     last = (F.col(group) == "Other").cast("int")
-    order = Window.orderBy(last, F.desc("n"), group)
-    return medians.withColumn("position", F.row_number().over(order))
+    ordered = medians.withColumn("_last", last)
+    ranked = exact_rank(ordered, [], [F.col("_last"), F.desc("n"), F.col(group)], "position")
+    return ranked.drop("_last")

@@ -14,6 +14,8 @@ from quillmap.operators import clustering, labels, network, terms
 from quillmap.operators.embedding import author_vectors, embed_texts, project_2d
 from quillmap.operators.quality import alignment_check
 from quillmap.operators.sampling import sqrt_quotas, stratified_sample
+from quillmap.operators.territory import cluster_ellipses
+from quillmap.operators.trajectory import trajectory_edges
 from quillmap.operators.works import filter_high_impact
 from quillmap.session import broadcast_if_small, durable
 
@@ -187,3 +189,68 @@ def build_ego_map(
     coords = durable(project_2d(vectors, "author_id"))
     edges = network.ego_edges(layer1, circle, layer2, hops, links)
     return people.join(coords, "author_id"), network.edge_coordinates(edges, coords, "src", "dst")
+
+
+def describe_hierarchy(papers: DataFrame, levels: DataFrame, points: DataFrame) -> DataFrame:
+    """(level, cluster_id, parent_id, label, n, x, y, half_major, half_minor, angle, only_child).
+
+    levels(id, coarse_id, fine_id, only_child), points(id, x, y). Coarse clusters are named by
+    subfield and fine ones by topic, by majority; without such values by their strongest words.
+    """
+    rows = durable(_with_text(papers).join(levels, ID).join(points.select(ID, "x", "y"), ID))
+
+    def level(name: str, column: str, value: str, words: int, scale: float) -> DataFrame:
+        outlines = cluster_ellipses(rows, column, scale, min_points=1)
+        few = F.col("n") < 3  # too few points for an outline, the centre stays
+        for axis in ("half_major", "half_minor", "angle"):
+            outlines = outlines.withColumn(axis, F.when(~few, F.col(axis)))
+        strongest = terms.topic_words(terms.tfidf_terms(rows, column, "_text", ID), column, words)
+        out = outlines.join(strongest.select(column, "fallback_label"), column, "left")
+        named = F.lit(None).cast("string")
+        if value in rows.columns:
+            out = out.join(labels.majority_label(rows, column, value).select(column, "label"), column, "left")
+            named = F.col("label")
+        parents = rows.groupBy(column).agg(
+            F.min("coarse_id").alias("parent_id"), F.first("only_child").alias("only_child")
+        )
+        return out.join(parents, column).select(
+            F.lit(name).alias("level"), F.col(column).alias("cluster_id"),
+            F.when(F.lit(name == "fine"), F.col("parent_id")).alias("parent_id"),
+            F.coalesce(named, "fallback_label", F.lit("Unknown")).alias("label"),
+            "n", "x", "y", "half_major", "half_minor", "angle",
+            F.when(F.lit(name == "fine"), F.col("only_child")).alias("only_child"),
+        )
+
+    return level("coarse", "coarse_id", "subfield", 3, 2.0).unionByName(
+        level("fine", "fine_id", "topic", 4, 1.5)
+    )
+
+
+def build_trajectories(
+    focals: DataFrame,
+    links: DataFrame,
+    papers: DataFrame,
+    authors: DataFrame,
+    vectors: DataFrame | None = None,
+    top_coauthors_n: int = 15,
+    seed: int = 42,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(territory, clusters, edges) of focal authors.
+
+    territory: papers of each focal author and its main co-authors with owner, x, y and clusters;
+    clusters: the two levels described; edges: the trajectory tree of the focal author's own papers
+    over the coarse clusters. All focal authors share one space.
+    """
+    layer1 = network.ego_layer1(network.coauthor_edges(focals, links), authors)
+    territory = durable(network.territory_papers(focals, layer1, links, papers, top_coauthors_n))
+    held = durable(papers.join(broadcast_if_small(territory.select(ID).distinct()), ID, "left_semi"))
+    if vectors is None:
+        vectors = embed_texts(_with_text(held), ID, "_text").select(ID, "embedding")
+    points = durable(project_2d(vectors.join(held.select(ID), ID, "left_semi")))
+    levels = durable(clustering.cluster_hierarchy(points, ID, seed))
+    placed = durable(territory.join(points, ID).join(levels, ID))
+    own = placed.where(F.col("owner_id") == F.col("focal_id")).select(
+        "focal_id", F.col(ID).alias("paper_id"), F.col("coarse_id").alias("cluster_id"), "year",
+        F.col("citation_count").alias("citations"),
+    )
+    return placed, describe_hierarchy(held, levels, points), trajectory_edges(own)

@@ -264,7 +264,7 @@ def assign_territories(t: Tables) -> DataFrame:
 
 
 @query("territory_labels", "fx_points", """
-    SELECT territory, n, x, y, CAST(row_number() OVER (ORDER BY territory = 'Other', n DESC, territory) AS INT) AS position FROM (
+    SELECT territory, n, x, y, row_number() OVER (ORDER BY territory = 'Other', n DESC, territory) AS position FROM (
         SELECT territory, count(*) AS n, round(quantile_cont(x, 0.5), 6) AS x, round(quantile_cont(y, 0.5), 6) AS y
         FROM fx_points GROUP BY 1 HAVING count(*) >= 5)""")
 def territory_labels(t: Tables) -> DataFrame:
@@ -409,3 +409,16 @@ def compare_authors(t: Tables) -> DataFrame:
 def build_ego_map(t: Tables) -> DataFrame:
     texts = t.papers.join(t.docs.select("openalex_id", "abstract"), "openalex_id", "left")
     return maps.build_ego_map(t.focals, t.links, texts, t.authors)[1]
+
+
+@query("describe_hierarchy")
+def describe_hierarchy(t: Tables) -> DataFrame:
+    docs = t.search_docs.withColumn("topic", F.concat_ws("/", "journal_tier", "journal"))
+    points = durable(t.points)
+    levels = durable(cl.cluster_hierarchy(points))
+    return maps.describe_hierarchy(docs, levels, points)
+
+
+@query("build_trajectories")
+def build_trajectories(t: Tables) -> DataFrame:
+    return maps.build_trajectories(t.focals, t.links, t.papers, t.authors)[2]

@@ -64,38 +64,37 @@ def spread_scan(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def exact_rank(
-    df: DataFrame, keys: list[str], order: list[Column], name: str = "rank"
+def running_sum(
+    df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str
 ) -> DataFrame:
-    """Number rows 1..n inside each key, also when one key holds most of the rows.
+    """Sum of an integer value up to each row inside its key, also when one key holds most of the rows.
 
     A window over the key alone would sort a hot key in one task. Here rows are placed by range on
-    (key, order), numbered inside each (placement, key), and shifted by the size of the earlier
+    (key, order), summed inside each (placement, key), and shifted by the sums of the earlier
     placements of the same key. Only keys cut by a range border need a shift, so the shift table
     has fewer rows than there are partitions and may be broadcast. The placement is checkpointed
-    because its borders are sampled and must be the same for both passes.
+    because its borders are sampled and must be the same for both passes. The order must be total.
     """
-    part, seen = "_placement", "_rows"
+    part, given = "_placement", "_given"
     placed = durable(
-        df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(
-            part, F.spark_partition_id()
-        )
+        df.withColumn(given, value.cast("long"))
+        .repartitionByRange(*[F.col(k) for k in keys], *order)
+        .withColumn(part, F.spark_partition_id())
     )
-    sizes = placed.groupBy(part, *keys).agg(F.count(F.lit(1)).alias(seen))
-    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    if not keys:
-        # one row per partition in all
-        earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(part, *keys).agg(F.sum(given).alias("_sum"))
+    # per key a row for each placement it touches; without keys one row per partition
+    by_part = Window.partitionBy(*keys).orderBy(part) if keys else Window.orderBy(part)
+    earlier = by_part.rowsBetween(Window.unboundedPreceding, -1)
     shift = (
-        sizes.withColumn("_shift", F.sum(seen).over(earlier))
+        sums.withColumn("_shift", F.sum("_sum").over(earlier))
         .where(F.col("_shift").isNotNull())
-        .drop(seen)
+        .drop("_sum")
     )
-    inside = Window.partitionBy(part, *keys).orderBy(*order)
-    numbered = placed.withColumn(name, F.row_number().over(inside))
+    inside = Window.partitionBy(part, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn(name, F.sum(given).over(inside))
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [part, *keys]]
     return (
-        numbered.alias("l")
+        summed.alias("l")
         .join(F.broadcast(shift).alias("r"), on, "left")
         .select(
             *[F.col(f"l.{c}") for c in df.columns],
@@ -104,6 +103,11 @@ def exact_rank(
     )
 
 
+def exact_rank(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """Number rows 1..n inside each key without gathering a key in one task."""
+    return running_sum(df, keys, order, F.lit(1), name)
+
+
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rank"):
     """First n rows per key.
 
