@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -67,15 +67,15 @@ def cluster_authors(vectors: DataFrame, k: int | None = None, seed: int = 42, id
 def cluster_hierarchy(points: DataFrame, id: str = "openalex_id", seed: int = 42) -> DataFrame:
     """(id, coarse_id, fine_id, only_child): two nested levels on map coordinates.
 
-    Bisecting k-means makes the coarse level and divides each of its at most eight clusters again,
-    with a share of the fine clusters by size, so every fine cluster has one parent.
+    K-means makes the coarse level and divides each of its at most eight clusters again, with a
+    share of the fine clusters by size, so every fine cluster has one parent.
     """
     rows = durable(VectorAssembler(inputCols=["x", "y"], outputCol="_v").transform(points.select(id, "x", "y")))
     n = rows.count()
     if n < 5:
         return rows.select(id, F.lit(0).alias("coarse_id"), F.lit(0).alias("fine_id"), F.lit(True).alias("only_child"))
     k_coarse, k_fine = hierarchy_counts(n)
-    coarse = durable(_bisect(rows, k_coarse, seed, "coarse_id"))
+    coarse = durable(_split(rows, k_coarse, seed, "coarse_id"))
     coarse.persist(StorageLevel.MEMORY_AND_DISK)  # every fit reads its rows many times
     sizes = {r["coarse_id"]: r["count"] for r in coarse.groupBy("coarse_id").count().collect()}
     shares = {p: min(size, max(1, round(k_fine * size / n))) for p, size in sorted(sizes.items())}
@@ -84,7 +84,7 @@ def cluster_hierarchy(points: DataFrame, id: str = "openalex_id", seed: int = 42
         own = coarse.where(F.col("coarse_id") == parent)
         if shares[parent] == 1:
             return own.withColumn("_fine", F.lit(0))
-        return _bisect(own, shares[parent], seed, "_fine")
+        return _split(own, shares[parent], seed, "_fine")
 
     with ThreadPoolExecutor(len(shares)) as pool:  # the fits are independent Spark jobs
         divided = list(pool.map(divide, shares))
@@ -97,8 +97,8 @@ def cluster_hierarchy(points: DataFrame, id: str = "openalex_id", seed: int = 42
     return labelled.join(F.broadcast(only_children(labelled)), "coarse_id")
 
 
-def _bisect(rows: DataFrame, k: int, seed: int, name: str) -> DataFrame:
-    return BisectingKMeans(k=k, seed=seed, featuresCol="_v", predictionCol=name).fit(rows).transform(rows)
+def _split(rows: DataFrame, k: int, seed: int, name: str) -> DataFrame:
+    return KMeans(k=k, seed=seed, featuresCol="_v", predictionCol=name).fit(rows).transform(rows)
 
 
 def only_children(labelled: DataFrame) -> DataFrame:

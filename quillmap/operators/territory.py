@@ -80,11 +80,11 @@ def assign_territories(
 
 
 def _geometric_groups(df: DataFrame, k: int) -> DataFrame:
-    from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
     rows = VectorAssembler(inputCols=["x", "y"], outputCol="_v").transform(df)
-    model = BisectingKMeans(k=k, seed=42, featuresCol="_v", predictionCol="_g").fit(rows)
+    model = KMeans(k=k, seed=42, featuresCol="_v", predictionCol="_g").fit(rows)
     return model.transform(rows).withColumn(
         "territory", F.concat(F.lit("Group "), F.col("_g").cast("string"))
     ).drop("_v", "_g")
