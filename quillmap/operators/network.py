@@ -105,11 +105,12 @@ def inner_circle(
 ) -> DataFrame:
     """(focal_id, author_id, score, rank): co-authors above the largest gap of the sorted scores.
 
-    The cut leaves between min_size and max_size people; the first of equal gaps counts. Ranks are
+    The cut leaves between min_size and max_size people; the first of equal gaps counts. Scores are
+    compared to twelve digits, so that equal records tie whatever the order of summation. Ranks are
     exact however many co-authors a focal author has, and the next score comes by a join on rank.
     """
     eligible = scores.where(F.col("shared_papers") >= min_shared).select(
-        "focal_id", "author_id", "shared_papers", "score"
+        "focal_id", "author_id", "shared_papers", F.round("score", 12).alias("score")
     )
     ranked = exact_rank(eligible, ["focal_id"], [F.desc("score"), F.col("author_id")])
     following = ranked.select(

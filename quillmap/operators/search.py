@@ -137,14 +137,15 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, score, paper columns): best papers of every query.
 
-    Order: score, citations, id. ``limit`` is clamped to 1..200; a ``limit`` column in the filters
+    Order: score, citations, id. Scores are compared to nine digits, so that copies of a text tie
+    whatever the order in which their parts were added. ``limit`` is clamped to 1..200; a ``limit`` column in the filters
     sets it per query.
     """
     slim = ["year", "citation_count", "journal_tier", "subfield"]
     held = docs.select(F.col("openalex_id").alias("doc_id"), *[c for c in slim if c in docs.columns])
     scored = held.join(broadcast_if_small(match_documents(index, queries, k1, b)), "doc_id")
     passed = apply_search_filters(scored, filters)
-    order = [F.desc("score"), F.desc("citation_count"), F.col("doc_id")]
+    order = [F.desc(F.round("score", 9)), F.desc("citation_count"), F.col("doc_id")]
     per_query = filters is not None and "limit" in filters.columns
     most = MAX_LIMIT if per_query else min(max(limit, 1), MAX_LIMIT)
     best = top_n(passed, ["query_id"], order, most)

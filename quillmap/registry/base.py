@@ -158,12 +158,12 @@ DUCK: dict[str, str] = {
     "fx_circle": """
         SELECT r.focal_id, r.author_id, r.shared_papers, r.score, r.rk FROM (
             SELECT *, row_number() OVER (PARTITION BY focal_id ORDER BY score DESC, author_id) AS rk
-            FROM fx_scores WHERE shared_papers >= 2) r
+            FROM (SELECT * REPLACE (round(score, 12) AS score) FROM fx_scores) WHERE shared_papers >= 2) r
         LEFT JOIN (
             SELECT focal_id, greatest(2, least(15, arg_max(rk, {'g': gap, 'r': -rk}))) AS size FROM (
                 SELECT focal_id, rk, score - lead(score) OVER (PARTITION BY focal_id ORDER BY rk) AS gap FROM (
                     SELECT focal_id, score, row_number() OVER (PARTITION BY focal_id ORDER BY score DESC, author_id) AS rk
-                    FROM fx_scores WHERE shared_papers >= 2))
+                    FROM (SELECT * REPLACE (round(score, 12) AS score) FROM fx_scores) WHERE shared_papers >= 2))
             WHERE gap IS NOT NULL GROUP BY focal_id) c ON r.focal_id = c.focal_id
         WHERE r.rk <= coalesce(c.size, 1)
     """,

@@ -32,7 +32,7 @@ def _filters(t: Tables) -> DataFrame:
 @query("search_bm25", "fx_scored fx_docs", """
     SELECT query_id, openalex_id, round(score, 6) AS score, title, citation_count, CAST(rk AS INT) AS rank FROM (
         SELECT s.query_id, s.doc_id AS openalex_id, s.score, d.title, d.cited_by_count AS citation_count,
-               row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, d.cited_by_count DESC, s.doc_id) AS rk
+               row_number() OVER (PARTITION BY s.query_id ORDER BY round(s.score, 9) DESC, d.cited_by_count DESC, s.doc_id) AS rk
         FROM fx_scored s JOIN fx_docs d ON d.openalex_id = s.doc_id) WHERE rk <= 50""")
 def search_bm25(t: Tables) -> DataFrame:
     found = se.search(_index(t), t.search_docs, t.queries, limit=50)
@@ -43,7 +43,7 @@ def search_bm25(t: Tables) -> DataFrame:
     SELECT query_id, openalex_id, round(score, 6) AS score, short AS abstract, CAST(rk AS INT) AS rank FROM (
         SELECT s.query_id, s.doc_id AS openalex_id, s.score,
                CASE WHEN length(d.abstract) > 300 THEN substring(d.abstract, 1, 300) || '...' ELSE d.abstract END AS short,
-               row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, d.cited_by_count DESC, s.doc_id) AS rk
+               row_number() OVER (PARTITION BY s.query_id ORDER BY round(s.score, 9) DESC, d.cited_by_count DESC, s.doc_id) AS rk
         FROM fx_scored s JOIN fx_docs d ON d.openalex_id = s.doc_id
         WHERE d.publication_year BETWEEN 1990 + s.query_id % 10 AND 2020 AND d.cited_by_count >= s.query_id * 20
           AND (s.query_id <= 10 OR d.language IN ('fr', 'en')))
@@ -56,7 +56,7 @@ def search_filtered(t: Tables) -> DataFrame:
 TOP10 = """
     hits AS (SELECT query_id, openalex_id FROM (
         SELECT s.query_id, s.doc_id AS openalex_id,
-               row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, d.cited_by_count DESC, s.doc_id) AS rk
+               row_number() OVER (PARTITION BY s.query_id ORDER BY round(s.score, 9) DESC, d.cited_by_count DESC, s.doc_id) AS rk
         FROM fx_scored s JOIN fx_docs d ON d.openalex_id = s.doc_id) WHERE rk <= 10),
     firsts AS (SELECT openalex_id, min(query_id) AS query_id FROM hits GROUP BY 1),
     log AS (SELECT q.query_id, coalesce(r.n, 0) AS results, coalesce(f.n, 0) AS new,
