@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmap.llm.bpe import bpe_round_trip
 from quillmap.llm.common import read_table
+from quillmap.llm.licenses import scan_licenses, scan_sql
 from quillmap.llm.packing import pack_documents
+from quillmap.llm.quality_rules import quality_rules
 from quillmap.llm.token_counts import count_tokens
 from quillmap.llm.toxicity import score_toxicity, train_toxicity
 
@@ -23,6 +25,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
@@ -35,11 +41,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=2048)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_licenses": op2_licenses,
     "op3_token_counts": op3_token_counts,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
+    "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_licenses": scan_sql()}
