@@ -9,6 +9,7 @@ from quillmap.llm.common import read_table
 from quillmap.llm.licenses import scan_licenses, scan_sql
 from quillmap.llm.packing import pack_documents
 from quillmap.llm.quality_rules import quality_rules
+from quillmap.llm.substring_dedup import remove_repeated_windows
 from quillmap.llm.token_counts import count_tokens
 from quillmap.llm.toxicity import score_toxicity, train_toxicity
 
@@ -33,6 +34,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_windows(read_table(spark, sf_dir, "documents"), window=35)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -49,6 +54,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_licenses": op2_licenses,
     "op3_token_counts": op3_token_counts,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
     "op8_quality_rules": op8_quality_rules,
