@@ -10,6 +10,7 @@ from quillmap.llm.licenses import scan_licenses, scan_sql
 from quillmap.llm.packing import pack_documents
 from quillmap.llm.quality_rules import quality_rules
 from quillmap.llm.substring_dedup import remove_repeated_windows
+from quillmap.llm.suffix_dedup import remove_repeated_bytes
 from quillmap.llm.token_counts import count_tokens
 from quillmap.llm.toxicity import score_toxicity, train_toxicity
 
@@ -50,6 +51,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(read_table(spark, sf_dir, "documents"), length=100)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_licenses": op2_licenses,
@@ -58,6 +63,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {"op2_licenses": scan_sql()}
