@@ -90,6 +90,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, enough: int) -> np.ndar
     before[order[1:]] = order[:-1]
     head = np.ones(n, bool)
     head[1:] = (before[1:] != before[:-1] + 1) | (before[:-1] < 0) | (np.arange(1, n) % enough == 0)
+    head[1:] |= data[:-1] != data[np.maximum(before[:-1], 0)]  # nothing in common there says nothing here
     heads = np.flatnonzero(head)
     key = _words_of_eight(data)
     length = np.zeros(len(heads), np.int64)
