@@ -67,8 +67,9 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         places = order[open_slots]
         group = rank[places]
         ahead = places + h
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        both = group * (n + 2) + second
+        # of suffixes that end within h bytes the shorter goes first
+        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + h + 1, n - places)
+        both = group * (n + h + 2) + second
         inner = np.argsort(both, kind="stable")
         places, both = places[inner], both[inner]
         order[open_slots] = places
