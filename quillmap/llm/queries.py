@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillmap.llm.ann import nearest
 from quillmap.llm.bpe import bpe_round_trip
 from quillmap.llm.common import read_table
 from quillmap.llm.licenses import scan_licenses, scan_sql
 from quillmap.llm.packing import pack_documents
 from quillmap.llm.quality_rules import quality_rules
+from quillmap.llm.simhash import near_duplicates
 from quillmap.llm.substring_dedup import remove_repeated_windows
 from quillmap.llm.suffix_dedup import remove_repeated_bytes
 from quillmap.llm.token_counts import count_tokens
@@ -47,6 +50,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=2048)
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -55,6 +62,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(read_table(spark, sf_dir, "documents"), length=100)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), radius=3)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_licenses": op2_licenses,
@@ -62,8 +73,10 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
+    "op7_nearest": op7_nearest,
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {"op2_licenses": scan_sql()}
