@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,7 @@ def text_key(text: Column) -> Column:
 
 
 def map_arrow(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str | StructType
 ) -> DataFrame:
     """Run a batch function, built once per task, over Arrow batches; it returns columns by name."""
 

@@ -111,15 +111,17 @@ def covered(n: int, cuts: list[dict] | None) -> np.ndarray:
     return np.cumsum(marks[:n]) > 0
 
 
-def apply_cuts(docs: DataFrame, cuts: DataFrame, make, schema: str) -> DataFrame:
-    """Join every row with its intervals and map (batch, list of cuts per row) to columns."""
+def apply_cuts(docs: DataFrame, cuts: DataFrame, make, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Join every row with its intervals and map (batch, list of cuts per row) to columns; carry others along."""
     gathered = cuts.groupBy("doc_id", "_key").agg(F.collect_list(F.struct("starts", "lens")).alias("cuts"))
-    left, right = keyed(docs).alias("l"), gathered.alias("r")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    left, right = docs.select("doc_id", text_key(text).alias("_key"), text.alias("text"), *carry).alias("l"), gathered.alias("r")
     on = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l._key") == F.col("r._key"))
-    joined = left.join(right, on, "left").select("l.doc_id", "l.text", "r.cuts")
+    joined = left.join(right, on, "left").select("l.doc_id", "l.text", "r.cuts", *[f"l.{c}" for c in carry])
 
     def cutter():
         step = make()
-        return lambda batch: step(batch, batch.column("cuts"))
+        return lambda batch: step(batch, batch.column("cuts")) | {c: batch.column(c) for c in carry}
 
-    return map_arrow(joined, cutter, schema)
+    kinds = dict(docs.dtypes)
+    return map_arrow(joined, cutter, schema + "".join(f", `{c}` {kinds[c]}" for c in carry))

@@ -13,10 +13,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmap.llm.common import id_type, map_arrow, text_rows
+from quillmap.llm.common import id_type, map_arrow, text_key, text_rows
 from quillmap.session import durable
 
 #: A bucket with more fingerprints is split into cells of two blocks of this size each.
@@ -39,7 +39,7 @@ def fingerprint(words: list[bytes], digest, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, seed: int = 42, size: int = 3) -> DataFrame:
-    """doc_id and the fingerprint of its text as a signed long. A-Z are folded; white space is ASCII's."""
+    """doc_id, a hash of the text, and the text's fingerprint as a signed long. A-Z are folded; white space is ASCII's."""
 
     def maker():
         import xxhash
@@ -48,11 +48,12 @@ def fingerprints(docs: DataFrame, seed: int = 42, size: int = 3) -> DataFrame:
 
         def step(batch):
             found = [fingerprint(t.encode("utf-8", "surrogatepass").lower().split(), digest, size) for t in batch.column("text").to_pylist()]
-            return {"doc_id": batch.column("doc_id"), "fp": pa.array(np.array(found, np.uint64).view(np.int64))}
+            return {"doc_id": batch.column("doc_id"), "_key": batch.column("_key"), "fp": pa.array(np.array(found, np.uint64).view(np.int64))}
 
         return step
 
-    return map_arrow(text_rows(docs), maker, f"doc_id {id_type(docs)}, fp bigint")
+    rows = text_rows(docs).select("doc_id", text_key(F.col("text")).alias("_key"), "text")
+    return map_arrow(rows, maker, f"doc_id {id_type(docs)}, _key bigint, fp bigint")
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -246,6 +247,14 @@ def components(edges: DataFrame) -> DataFrame:
     return result
 
 
+def rooted_rows(docs: DataFrame, radius: int = 3, seed: int = 42, size: int = 3) -> DataFrame:
+    """doc_id, _key, fp, and root: the smallest fingerprint that the row's own one is connected with."""
+    found = durable(fingerprints(docs, seed, size))
+    classes = durable(found.select("fp").distinct())
+    roots = components(link_edges(classes, radius)).select(F.col("node").alias("fp"), "root")
+    return found.join(roots, "fp", "left").select("doc_id", "_key", "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, seed: int = 42, size: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every row.
 
@@ -254,10 +263,23 @@ def near_duplicates(docs: DataFrame, radius: int = 3, seed: int = 42, size: int
     null and names no component unless it has no other row. Repeated rows keep their number; an empty table
     gives an empty result; extra columns are dropped.
     """
-    found = durable(fingerprints(docs, seed, size))
-    classes = durable(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(link_edges(classes, radius))
-    rooted = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = durable(rooted_rows(docs, radius, seed, size))
+    names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(names, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 3, seed: int = 42, size: int = 3) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: the smallest doc_id, null last, then the
+    smallest hash of the text. Special cases as in near_duplicates.
+    """
+    rows = rooted_rows(docs, radius, seed, size)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")).alias("s")
+    kept = rows.groupBy("root").agg(first).select(F.col("s.doc_id").alias("_id"), F.col("s._key").alias("_text"))
+    kept = kept.select(F.xxhash64("_id", "_text").alias("_row"), "_id", "_text")
+    text = text_key(F.coalesce(F.col("text"), F.lit("")))
+    keyed = docs.withColumn("_hash", text).withColumn("_row", F.xxhash64("doc_id", "_hash"))
+    same = (keyed["_row"] == kept["_row"]) & keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_hash"] == kept["_text"])
+    joined = keyed.join(kept, same, "left_semi")
+    # of rows that are equal in id and text one stays
+    nth = F.row_number().over(Window.partitionBy("_row", "doc_id", "_hash").orderBy(F.lit(1)))
+    return joined.withColumn("_nth", nth).where(F.col("_nth") == 1).select(*docs.columns)

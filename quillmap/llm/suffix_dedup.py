@@ -272,8 +272,8 @@ def _anchor_finder(length: int, gram: int):
     return make
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 100, keep_text: bool = False) -> DataFrame:
-    """Per row doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text what is left.
+def remove_repeated_bytes(docs: DataFrame, length: int = 100, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row doc_id, n_bytes, n_removed, n_spans, kept_sha256, with keep_text what is left, and columns to carry.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a row with a smaller
     doc_id (null before all), or earlier in the same row. Rows that share a doc_id but not the text go in the
@@ -307,4 +307,4 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, keep_text: bool =
         return step
 
     schema = f"doc_id {id_type(docs)}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return apply_cuts(docs, cuts, make, schema + (", text string" if keep_text else ""))
+    return apply_cuts(docs, cuts, make, schema + (", text string" if keep_text else ""), carry)

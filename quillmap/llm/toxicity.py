@@ -164,6 +164,23 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, slo
     return fit_fm([np.frombuffer(r.terms, np.int32) for r in found], np.array([float(r._label != 0) for r in found]), slots, **fit)
 
 
+def _scorer(shared):
+    """texts of a batch -> scores, with the broadcast model."""
+    fitted = shared.value
+    find = term_slots(fitted.slots)
+
+    def scores(texts: pa.Array) -> np.ndarray:
+        out = np.empty(len(texts))
+        for at in range(0, len(texts), 256):
+            own = [fitted.row[find(t or "")] for t in texts[at : at + 256].to_pylist()]
+            own = [np.sort(r[r > 0]) for r in own]
+            z = _margins(fitted, np.concatenate(own), np.cumsum([len(r) for r in own]))
+            out[at : at + len(own)] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return out
+
+    return scores
+
+
 def score_toxicity(docs: DataFrame, model: FmModel, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted for every row.
 
@@ -174,21 +191,20 @@ def score_toxicity(docs: DataFrame, model: FmModel, threshold: float = 0.3) -> D
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scorer():
-        fitted = shared.value
-        find = term_slots(fitted.slots)
-
-        def step(batch):
-            score = np.empty(batch.num_rows)
-            texts = batch.column("text")
-            for at in range(0, batch.num_rows, 256):
-                own = [fitted.row[find(t.as_py())] for t in texts[at : at + 256]]
-                own = [np.sort(r[r > 0]) for r in own]
-                ends = np.cumsum([len(r) for r in own])
-                z = _margins(fitted, np.concatenate(own), ends)
-                score[at : at + len(own)] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            return {"doc_id": batch.column("doc_id"), "score": pa.array(score)}
-
-        return step
+        scores = _scorer(shared)
+        return lambda batch: {"doc_id": batch.column("doc_id"), "score": pa.array(scores(batch.column("text")))}
 
     scored = map_arrow(text_rows(docs), scorer, f"doc_id {id_type(docs)}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, model: FmModel, threshold: float = 0.3) -> DataFrame:
+    """The rows, with all their columns, that score below the threshold. Nulls as in score_toxicity."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def task(batches):
+        scores = _scorer(shared)
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column("text")) < threshold))
+
+    return docs.mapInArrow(task, docs.schema)
