@@ -77,7 +77,7 @@ def failing_line(line: Column) -> Column:
     without = lambda pattern: F.length(F.regexp_replace(line, pattern, ""))
     symbols = 20 * (n - without(r"[#*$%&|<>!»•]")) > n + 20
     capitals = (n > 30) & (2 * without(r"\p{Lu}+") < n)
-    navigation = (n <= 40) & ~line.rlike(r"""[.!?…:;。？！]["'”’»)\]]*\s*$""")
+    navigation = (n <= 40) & ~line.rlike(r"""[.!?…:;。？！]["'”’»)\]]*[\x20\x09-\x0D]*\z""")
     boilerplate = (n <= 300) & F.lower(F.when(n <= 300, line)).rlike(BOILERPLATE)
     return symbols | capitals | navigation | boilerplate
 

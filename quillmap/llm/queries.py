@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quillmap.llm.ann import nearest
 from quillmap.llm.bpe import bpe_round_trip
 from quillmap.llm.common import read_table
-from quillmap.llm.licenses import scan_licenses, scan_sql
+from quillmap.llm.licenses import scan_licenses
+from quillmap.llm.oracles import ORACLES
 from quillmap.llm.packing import pack_documents
 from quillmap.llm.quality_rules import quality_rules
 from quillmap.llm.simhash import near_duplicates
@@ -79,4 +80,4 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op2_licenses": scan_sql()}
+__all__ = ["ORACLES", "QUERIES", "vocabulary"]
