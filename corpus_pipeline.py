@@ -10,7 +10,7 @@ from quillmap.llm.packing import pack_documents
 from quillmap.llm.quality_rules import clean_lines
 from quillmap.llm.queries import vocabulary
 from quillmap.llm.simhash import keep_one
-from quillmap.llm.suffix_dedup import remove_repeated_bytes
+from quillmap.llm.suffix_dedup import cut_repeated_bytes
 from quillmap.llm.toxicity import drop_toxic, train_toxicity
 from quillmap.session import store
 
@@ -39,8 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without strings of 100 bytes that start earlier; characters cut in two go whole."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    return _with_length(remove_repeated_bytes(docs, 100, keep_text=True, carry=carry), docs)
+    return _with_length(cut_repeated_bytes(docs, 100), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

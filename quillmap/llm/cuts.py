@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from quillmap.llm.common import id_type, map_arrow, text_key, text_rows
 from quillmap.llm.windows import starts_of_runs
 
+#: Names of columns of this module; no table is expected to have them.
+KEY, CUTS = "__llm_key", "__llm_cuts"
+
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return text_rows(docs).select("doc_id", text_key(F.col("text")).alias("_key"), "text")
+    return text_rows(docs).select("doc_id", text_key(F.col("text")).alias(KEY), "text")
 
 
 def parcel_schema(docs: DataFrame) -> str:
@@ -30,7 +33,7 @@ class Parcels:
     """Collects the parcels of one batch."""
 
     def __init__(self, batch: pa.RecordBatch):
-        self.ids, self.keys = batch.column("doc_id"), batch.column("_key")
+        self.ids, self.keys = batch.column("doc_id"), batch.column(KEY)
         self.rows: list[tuple] = []
 
     def add(self, shard: int, sure: bool, row: np.ndarray, starts: np.ndarray, lens: np.ndarray, body: bytes = b"", told: bytes = b"") -> None:
@@ -69,7 +72,7 @@ def cut_rows(received: Received, doc: np.ndarray, starts: np.ndarray, lens: np.n
     return pa.RecordBatch.from_pydict(
         {
             "doc_id": pa.array([received.ids[d] for d in doc[runs]], id_kind),
-            "_key": pa.array([received.keys[d] for d in doc[runs]], pa.int64()),
+            KEY: pa.array([received.keys[d] for d in doc[runs]], pa.int64()),
             "starts": pa.array([starts[a:b].astype("<i4").tobytes() for a, b in zip(runs, ends)], pa.binary()),
             "lens": pa.array([lens[a:b].astype("<i4").tobytes() for a, b in zip(runs, ends)], pa.binary()),
         }
@@ -98,7 +101,7 @@ def settle(parcels: DataFrame, shards: int, decide, id_sql: str) -> DataFrame:
             if len(doc):
                 yield cut_rows(r, doc, starts, lens, id_kind)
 
-    return parcels.repartition(shards, "shard").mapInArrow(reduce, f"doc_id {id_sql}, _key bigint, starts binary, lens binary")
+    return parcels.repartition(shards, "shard").mapInArrow(reduce, f"doc_id {id_sql}, {KEY} bigint, starts binary, lens binary")
 
 
 def covered(n: int, cuts: list[dict] | None) -> np.ndarray:
@@ -113,15 +116,15 @@ def covered(n: int, cuts: list[dict] | None) -> np.ndarray:
 
 def apply_cuts(docs: DataFrame, cuts: DataFrame, make, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Join every row with its intervals and map (batch, list of cuts per row) to columns; carry others along."""
-    gathered = cuts.groupBy("doc_id", "_key").agg(F.collect_list(F.struct("starts", "lens")).alias("cuts"))
+    gathered = cuts.groupBy("doc_id", KEY).agg(F.collect_list(F.struct("starts", "lens")).alias(CUTS))
     text = F.coalesce(F.col("text"), F.lit(""))
-    left, right = docs.select("doc_id", text_key(text).alias("_key"), text.alias("text"), *carry).alias("l"), gathered.alias("r")
-    on = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l._key") == F.col("r._key"))
-    joined = left.join(right, on, "left").select("l.doc_id", "l.text", "r.cuts", *[f"l.{c}" for c in carry])
+    left, right = docs.select("doc_id", text_key(text).alias(KEY), text.alias("text"), *[f"`{c}`" for c in carry]).alias("l"), gathered.alias("r")
+    on = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col(f"l.{KEY}") == F.col(f"r.{KEY}"))
+    joined = left.join(right, on, "left").select("l.doc_id", "l.text", f"r.{CUTS}", *[f"l.`{c}`" for c in carry])
 
     def cutter():
         step = make()
-        return lambda batch: step(batch, batch.column("cuts")) | {c: batch.column(c) for c in carry}
+        return lambda batch: step(batch, batch.column(CUTS)) | {c: batch.column(c) for c in carry}
 
     kinds = dict(docs.dtypes)
     return map_arrow(joined, cutter, schema + "".join(f", `{c}` {kinds[c]}" for c in carry))

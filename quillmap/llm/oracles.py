@@ -26,20 +26,19 @@ FROM t LEFT JOIN kept USING (id)"""
 def bytes_sql(length: int = 100) -> str:
     """Removal of byte strings that start earlier, by ranking every string of the tables' bytes."""
     return rf"""
-WITH t AS (SELECT row_number() OVER () AS id, doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents),
-places AS (SELECT id, doc_id, unnest(range(1, octet_length(b) + 1)) AS p, octet_length(b) AS n, h FROM t WHERE octet_length(b) > 0),
-strings AS (SELECT id, doc_id, p, md5(substr(h, 2 * p - 1, {2 * length})) AS s FROM places WHERE p <= n - {length - 1}),
+WITH t AS (SELECT row_number() OVER () AS id, doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+  SELECT id, doc_id, p, md5_number(s) AS s
+  FROM (SELECT id, doc_id, unnest(range(1, n - {length - 2})) AS p, unnest(list_transform(range(1, n - {length - 2}), lambda q: substr(h, 2 * q - 1, {2 * length}))) AS s FROM t WHERE n >= {length}) x),
 later AS (SELECT id, p FROM strings QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
-marked AS (
-  SELECT places.id, places.p, substr(h, 2 * places.p - 1, 2) AS byte,
-    coalesce(max(later.p) OVER (PARTITION BY places.id ORDER BY places.p ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW) IS NOT NULL, FALSE) AS gone
-  FROM places LEFT JOIN later ON places.id = later.id AND places.p = later.p),
-spans AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY id ORDER BY p), FALSE) AS begins FROM marked),
-summed AS (
-  SELECT id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (WHERE NOT gone) AS kept
-  FROM spans GROUP BY id)
-SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+-- starts that follow within the length of a string cover one run of bytes
+chained AS (SELECT id, p, CASE WHEN p - lag(p) OVER (PARTITION BY id ORDER BY p) <= {length} THEN 0 ELSE 1 END AS begins FROM later),
+numbered AS (SELECT id, p, sum(begins) OVER (PARTITION BY id ORDER BY p) AS run FROM chained),
+runs AS (SELECT id, run, min(p) AS a, max(p) + {length} AS b FROM numbered GROUP BY id, run),
+summed AS (SELECT id, sum(b - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM runs GROUP BY id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(
+    list_transform(range(0, n_spans + 1), lambda k: substr(h, 2 * (CASE WHEN k = 0 THEN 1 ELSE ends[k] END) - 1, 2 * ((CASE WHEN k = n_spans THEN n + 1 ELSE starts[k + 1] END) - (CASE WHEN k = 0 THEN 1 ELSE ends[k] END)))), '') END)) AS kept_sha256
 FROM t LEFT JOIN summed USING (id)"""
 
 

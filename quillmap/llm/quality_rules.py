@@ -107,7 +107,7 @@ def clean_lines(docs: DataFrame, max_loss: float = 0.3, least_words: int = 50) -
                 total(F.transform(w, lambda x: F.length(x))).alias("word_chars"),
                 repeat_words(w).alias("n_repeat_words"),
             ),
-        ).alias("_w"),
+        ).alias("__llm_w"),
         (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(
             lines,
@@ -116,23 +116,23 @@ def clean_lines(docs: DataFrame, max_loss: float = 0.3, least_words: int = 50) -
                 total(F.transform(x, lambda y: F.length(y))).alias("all"),
                 total(F.transform(F.filter(x, failing_line), lambda y: F.length(y))).alias("lost"),
             ),
-        ).alias("_l"),
+        ).alias("__llm_l"),
     )
-    failed = (F.col("_w.n_words") < least_words) | (100 * F.col("_w.n_repeat_words") > 50 * F.col("_w.n_words"))
+    failed = (F.col("__llm_w.n_words") < least_words) | (100 * F.col("__llm_w.n_repeat_words") > 50 * F.col("__llm_w.n_words"))
     cleaned = F.array_join(
         F.filter(F.split("text", "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & failing_line(x))), "\n"
     )
     judged = measured.select(
         *rest[: rest.index("text")],
-        F.when(F.col("_l.lost") > 0, cleaned).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("__llm_l.lost") > 0, cleaned).otherwise(F.col("text")).alias("text"),
         *rest[rest.index("text") + 1 :],
-        "_w.n_words",
-        "_w.word_chars",
+        "__llm_w.n_words",
+        "__llm_w.word_chars",
         "n_symbols",
-        "_l.n_dup_lines",
-        "_w.n_repeat_words",
+        "__llm_l.n_dup_lines",
+        "__llm_w.n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & (F.col("_l.lost") <= max_loss * F.col("_l.all"))).alias("kept"),
+        (~failed & (F.col("__llm_l.lost") <= max_loss * F.col("__llm_l.all"))).alias("kept"),
     )
     return judged
 

@@ -39,7 +39,7 @@ def word_units():
 
 
 def window_cuts(docs: DataFrame, window: int = 35, gram: int = 12) -> DataFrame:
-    """Intervals of words in repeated windows: doc_id, _key, starts, lens."""
+    """Intervals of words in repeated windows: doc_id, hash of the text, starts, lens."""
     rows = keyed(docs)
     size = total_bytes(rows)
     gram = min(gram, window)

@@ -187,7 +187,7 @@ def repeated_starts(pieces: list[bytes], length: int, block_bytes: int = SORT_BY
 
 
 def repeat_cuts(docs: DataFrame, length: int = 100, gram: int = 28) -> DataFrame:
-    """Byte intervals that repeat something earlier: doc_id, _key, starts, lens."""
+    """Byte intervals that repeat something earlier: doc_id, hash of the text, starts, lens."""
     rows = keyed(docs)
     size = total_bytes(rows)
     gram = min(gram, length)
@@ -272,39 +272,57 @@ def _anchor_finder(length: int, gram: int):
     return make
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 100, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row doc_id, n_bytes, n_removed, n_spans, kept_sha256, with keep_text what is left, and columns to carry.
+def _kept(text: str, cuts: list[dict] | None) -> tuple[bytes, bytes, int]:
+    """All bytes of a text, those kept, and the number of runs removed."""
+    data = encode(text)
+    if not cuts:
+        return data, data, 0
+    mask = covered(len(data), cuts)
+    spans = int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1]))
+    return data, np.frombuffer(data, np.uint8)[~mask].tobytes(), spans
+
+
+def remove_repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
+    """Per row doc_id, n_bytes, n_removed, n_spans and kept_sha256.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a row with a smaller
     doc_id (null before all), or earlier in the same row. Rows that share a doc_id but not the text go in the
     order of a hash of the text. Rows with equal doc_id and text count as one: what repeats inside them goes
-    from each, the first find stays in each. Null and empty texts have no bytes; shorter texts lose none. An empty table gives an
-    empty result, extra columns are dropped. keep_text drops what is left of a character cut in two.
+    from each, the first find stays in each. Null and empty texts have no bytes; shorter texts lose none. An
+    empty table gives an empty result, extra columns are dropped.
     """
-    cuts = repeat_cuts(docs, length)
 
     def make():
         def step(batch, cuts):
-            n, gone, spans, digest, kept_text = [], [], [], [], []
-            for text, own in zip(batch.column("text").to_pylist(), cuts.to_pylist()):
-                data = encode(text)
-                kept, count = data, 0
-                if own:
-                    mask = covered(len(data), own)
-                    kept = np.frombuffer(data, np.uint8)[~mask].tobytes()
-                    count = int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1]))
-                n.append(len(data))
-                gone.append(len(data) - len(kept))
-                spans.append(count)
-                digest.append(hashlib.sha256(kept).hexdigest())
-                if keep_text:
-                    kept_text.append(kept.decode("utf-8", "ignore"))
-            out = {"doc_id": batch.column("doc_id")}
-            out |= {name: pa.array(x, pa.int64()) for name, x in (("n_bytes", n), ("n_removed", gone), ("n_spans", spans))}
-            out["kept_sha256"] = pa.array(digest, pa.string())
-            return out | ({"text": pa.array(kept_text, pa.string())} if keep_text else {})
+            rows = [_kept(t, own) for t, own in zip(batch.column("text").to_pylist(), cuts.to_pylist())]
+            return {
+                "doc_id": batch.column("doc_id"),
+                "n_bytes": pa.array([len(data) for data, _, _ in rows], pa.int64()),
+                "n_removed": pa.array([len(data) - len(kept) for data, kept, _ in rows], pa.int64()),
+                "n_spans": pa.array([spans for _, _, spans in rows], pa.int64()),
+                "kept_sha256": pa.array([hashlib.sha256(kept).hexdigest() for _, kept, _ in rows], pa.string()),
+            }
 
         return step
 
     schema = f"doc_id {id_type(docs)}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return apply_cuts(docs, cuts, make, schema + (", text string" if keep_text else ""), carry)
+    return apply_cuts(docs, repeat_cuts(docs, length), make, schema)
+
+
+def cut_repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
+    """All rows with all their columns, the text without the bytes that remove_repeated_bytes removes.
+
+    Of a character cut in two nothing is left. A null text becomes the empty one.
+    """
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+
+    def make():
+        def step(batch, cuts):
+            texts = batch.column("text").to_pylist()
+            kept = [_kept(t, own)[1].decode("utf-8", "ignore") if own else t for t, own in zip(texts, cuts.to_pylist())]
+            return {"doc_id": batch.column("doc_id"), "text": pa.array(kept, pa.string())}
+
+        return step
+
+    cut = apply_cuts(docs, repeat_cuts(docs, length), make, f"doc_id {id_type(docs)}, text string", carry)
+    return cut.select(*docs.columns)
