@@ -264,7 +264,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, seed: int = 42, size: int
     gives an empty result; extra columns are dropped.
     """
     rows = durable(rooted_rows(docs, radius, seed, size))
-    names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # stored, so that the join can split the rows of a large component
+    names = durable(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return rows.join(names, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -274,12 +275,12 @@ def keep_one(docs: DataFrame, radius: int = 3, seed: int = 42, size: int = 3) ->
     """
     rows = rooted_rows(docs, radius, seed, size)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")).alias("s")
-    kept = rows.groupBy("root").agg(first).select(F.col("s.doc_id").alias("_id"), F.col("s._key").alias("_text"))
-    kept = kept.select(F.xxhash64("_id", "_text").alias("_row"), "_id", "_text")
+    kept = rows.groupBy("root").agg(first).select(F.col("s.doc_id").alias("__llm_id"), F.col("s._key").alias("__llm_text"))
+    kept = kept.select(F.xxhash64("__llm_id", "__llm_text").alias("__llm_row"), "__llm_id", "__llm_text")
     text = text_key(F.coalesce(F.col("text"), F.lit("")))
-    keyed = docs.withColumn("_hash", text).withColumn("_row", F.xxhash64("doc_id", "_hash"))
-    same = (keyed["_row"] == kept["_row"]) & keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_hash"] == kept["_text"])
+    keyed = docs.withColumn("__llm_hash", text).withColumn("__llm_row", F.xxhash64("doc_id", "__llm_hash"))
+    same = (keyed["__llm_row"] == kept["__llm_row"]) & keyed["doc_id"].eqNullSafe(kept["__llm_id"]) & (keyed["__llm_hash"] == kept["__llm_text"])
     joined = keyed.join(kept, same, "left_semi")
     # of rows that are equal in id and text one stays
-    nth = F.row_number().over(Window.partitionBy("_row", "doc_id", "_hash").orderBy(F.lit(1)))
-    return joined.withColumn("_nth", nth).where(F.col("_nth") == 1).select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy("__llm_row", "doc_id", "__llm_hash").orderBy(F.lit(1)))
+    return joined.withColumn("__llm_nth", nth).where(F.col("__llm_nth") == 1).select(*docs.columns)
