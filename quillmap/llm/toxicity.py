@@ -57,14 +57,20 @@ def term_slots(slots: int):
 
 
 def _margins(model: FmModel, rows: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Scores before the sigmoid; rows: parameter rows of all texts in line, ends: where each text ends."""
-    cum_w = np.concatenate([[0.0], np.cumsum(model.weight[rows])])
-    v = model.factor[rows]
-    cum_v = np.vstack([np.zeros((1, v.shape[1])), np.cumsum(v, axis=0)])
-    cum_q = np.concatenate([[0.0], np.cumsum((v * v).sum(axis=1))])
+    """Scores before the sigmoid; rows: parameter rows of all texts in line, ends: where each text ends.
+
+    Each text is summed by itself, so equal texts have equal scores wherever they stand.
+    """
     begins = np.concatenate([[0], ends[:-1]])
-    sums = cum_v[ends] - cum_v[begins]
-    return model.bias + cum_w[ends] - cum_w[begins] + 0.5 * ((sums * sums).sum(axis=1) - (cum_q[ends] - cum_q[begins]))
+    empty = (begins == ends).reshape(-1, 1)
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        padded = np.vstack([values, np.zeros((1, values.shape[1]))])
+        return np.where(empty, 0.0, np.add.reduceat(padded, begins, axis=0))
+
+    v = model.factor[rows]
+    linear = sums(model.weight[rows].reshape(-1, 1))[:, 0]
+    return model.bias + linear + 0.5 * (sums(v) ** 2 - sums(v * v)).sum(axis=1)
 
 
 def fit_fm(
@@ -73,12 +79,13 @@ def fit_fm(
     slots: int = 20,
     factors: int = 4,
     least_texts: int = 5,
-    least_chi2: float = 10.8,
+    least_chi2: float = 7.0,
     epochs: int = 10,
     rate: float = 0.1,
     decay: float = 1e-3,
     toxic_weight: float = 4.0,
-    batch: int = 256,
+    batch: int = 64,
+    least_steps: int = 1500,
     seed: int = 7,
 ) -> FmModel:
     """Fit on slot arrays by AdaGrad on the logistic loss.
@@ -105,8 +112,9 @@ def fit_fm(
     weight, factor = np.zeros(n), random.normal(0, 0.01, (n, factors))
     factor[0] = 0
     sum_b, sum_w, sum_f = 1e-6, np.full(n, 1e-2), np.full((n, factors), 1e-2)
+    epochs = max(epochs, -(-least_steps * batch // len(mapped)))  # few rows are seen more often
     for epoch in range(epochs):
-        step = rate / (1 + epoch / 4)
+        step = rate / (1 + 3 * epoch / epochs)
         order = random.permutation(len(mapped))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
