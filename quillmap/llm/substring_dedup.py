@@ -21,6 +21,8 @@ from quillmap.llm.sketch import repeat_sketch, width_bits
 from quillmap.llm.tokens import PieceCache
 from quillmap.llm.windows import MULTIPLIERS, blocks, rolling
 
+#: Words in a block of windows; about ten arrays of as many longs are held at a time.
+SCAN_WORDS = 1 << 18
 _ENTRY = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
@@ -28,7 +30,7 @@ def word_units():
     """text -> hashes of its words as uint64. Words are runs of anything but ASCII white space."""
     import xxhash
 
-    cache = PieceCache(xxhash.xxh3_64_intdigest, limit=500_000)
+    cache = PieceCache(xxhash.xxh3_64_intdigest, limit=250_000)
     look = cache.__getitem__
 
     def units(text: str) -> np.ndarray:
@@ -53,7 +55,7 @@ def window_cuts(docs: DataFrame, window: int = 35, gram: int = 12) -> DataFrame:
         def step(batch):
             texts = batch.column("text").to_pylist()
             row, start, a, b = [], [], [], []
-            for block in blocks(((i, units(t)) for i, t in enumerate(texts)), window, gram):
+            for block in blocks(((i, units(t)) for i, t in enumerate(texts)), window, gram, SCAN_WORDS):
                 flagged = known.may_repeat(block.grams[block.anchor[block.runs]])
                 own = np.flatnonzero(np.repeat(flagged, np.diff(np.append(block.runs, len(block.anchor)))))
                 if len(own):
@@ -117,7 +119,7 @@ def _anchor_finder(window: int, gram: int):
 
         def step(batch):
             texts = batch.column("text").to_pylist()
-            for block in blocks(((i, units(t)) for i, t in enumerate(texts)), window, gram):
+            for block in blocks(((i, units(t)) for i, t in enumerate(texts)), window, gram, SCAN_WORDS):
                 yield block.grams[block.anchor[block.runs]]
 
         return step
