@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -135,16 +136,30 @@ def assign_nearest(
     centroids: DataFrame,
     id: str,
     cluster: str = "cluster_id",
-    max_centroids: int = 100_000,
+    block_bytes: int = 64 << 20,
 ) -> DataFrame:
     """(id, cluster, distance): nearest centroid by Euclidean distance; ties to the smaller cluster.
 
-    Centroids are model parameters, a few hundred rows. They are checked against a bound, sent to
-    the executors once and compared batch by batch, so there is no row per (point, centroid).
+    Centroids go to the executors in blocks of at most block_bytes and are compared as matrix
+    products, so there is no row per (point, centroid) and memory does not depend on their number.
+    With more than one block each point keeps its best of every block, and the best of these wins.
     """
-    rows = centroids.select(cluster, "embedding").orderBy(cluster).limit(max_centroids + 1).collect()
-    if len(rows) > max_centroids:
-        raise ValueError("more centroids than max_centroids")
+    size = centroids.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    blocks = max(1, -(-size["n"] * (size["d"] or 0) * 8 // block_bytes))
+    block = F.pmod(F.xxhash64(cluster), F.lit(blocks))
+    parts = [
+        _nearest_in(vectors, centroids.where(block == b).select(cluster, "embedding"), id, cluster)
+        for b in range(blocks)
+    ]
+    if blocks == 1:
+        return parts[0]
+    every = reduce(DataFrame.unionByName, parts)
+    best = F.min_by(F.struct(cluster, "distance"), F.struct("distance", cluster)).alias("b")
+    return every.groupBy(id).agg(best).select(id, f"b.{cluster}", "b.distance")
+
+
+def _nearest_in(vectors: DataFrame, centroids: DataFrame, id: str, cluster: str) -> DataFrame:
+    rows = centroids.orderBy(cluster).collect()  # one block
     labels = np.array([r[0] for r in rows])
     matrix = np.array([r[1] for r in rows], dtype=np.float64)
     shared = vectors.sparkSession.sparkContext.broadcast((labels, matrix))
@@ -153,17 +168,24 @@ def assign_nearest(
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, centers = shared.value
+        norms = (centers**2).sum(axis=1) if len(centers) else np.zeros(0)
+        step = max(1, (1 << 22) // max(1, len(centers)))  # points at a time: 32 MB of distances
         for batch in batches:
-            if batch.empty:
+            if batch.empty or not len(centers):
                 continue
             points = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
             best = np.empty(len(points), dtype=np.int64)
-            distance = np.empty(len(points))
-            for i in range(0, len(points), 1024):
-                block = points[i : i + 1024]
-                squares = ((block[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
-                best[i : i + 1024] = squares.argmin(axis=1)
-                distance[i : i + 1024] = np.sqrt(squares.min(axis=1))
+            for i in range(0, len(points), step):
+                own = points[i : i + step]
+                squares = norms - 2 * (own @ centers.T)
+                best[i : i + step] = squares.argmin(axis=1)
+                # what rounding cannot tell apart is compared anew, by differences
+                slack = 1e-9 * ((own**2).sum(axis=1) + norms.max() + 1e-300)
+                close = squares <= (squares.min(axis=1) + slack)[:, None]
+                for k in np.flatnonzero(close.sum(axis=1) > 1):
+                    some = np.flatnonzero(close[k])
+                    best[i + k] = some[((centers[some] - own[k]) ** 2).sum(axis=1).argmin()]
+            distance = np.sqrt(((points - centers[best]) ** 2).sum(axis=1))
             yield pd.DataFrame({id: batch[id], cluster: names[best], "distance": distance})
 
     return vectors.select(id, "embedding").mapInPandas(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,24 +49,42 @@ def label_clusters(
     topic: str = "topic",
     fallback_terms: DataFrame | None = None,
     noise: int = -1,
-    small: int = 1_000_000,
 ) -> DataFrame:
     """(cluster, label, labelled): unique labels, handed out from the largest cluster down.
 
     Each cluster takes its most frequent topic that no larger cluster took; ties by topic and by
-    cluster id. Clusters left without get their terms from fallback_terms(cluster, fallback_label)
-    or ``Cluster <id>``. Noise is called Outlier.
+    cluster id. If all its topics are taken it gets the most frequent one with its first word from
+    fallback_terms(cluster, fallback_label: words joined by ", "), else with its id. Without topics
+    it gets the fallback label or ``Cluster <id>``. Of equal labels all but that of the largest
+    cluster get their id. Noise is called Outlier.
     """
     real = df.where(F.col(cluster) != noise)
     sizes = real.groupBy(cluster).agg(F.count(F.lit(1)).alias("_size"))
-    given = _hand_out(_topic_choices(real, sizes, cluster, topic), cluster, small)
-    out = sizes.join(given, cluster, "left")
-    spare = F.concat(F.lit("Cluster "), F.col(cluster).cast("string"))
+    choices = durable(_topic_choices(real, sizes, cluster, topic))
+    given = _hand_out(choices, cluster)
+    base = choices.where(F.col("_rank") == 1).select(cluster, F.col("_topic").alias("_base"))
+    out = sizes.join(given, cluster, "left").join(base, cluster, "left")
     if fallback_terms is not None:
-        out = out.join(fallback_terms.select(cluster, "fallback_label"), cluster, "left")
-        spare = F.coalesce("fallback_label", spare)
-    labels = out.select(
-        cluster, F.coalesce("_label", spare).alias("label"), F.col("_label").isNotNull().alias("labelled")
+        out = out.join(fallback_terms.select(cluster, F.col("fallback_label").alias("_words")), cluster, "left")
+    else:
+        out = out.withColumn("_words", F.lit(None).cast("string"))
+    number = F.concat(F.lit("#"), F.col(cluster).cast("string"))
+    word = F.split("_words", ", ")[0]
+    spare = F.coalesce(
+        F.when(word != "", F.concat("_base", F.lit(" ("), word, F.lit(")"))),
+        F.concat("_base", F.lit(" "), number),
+        F.when(F.col("_words") != "", F.col("_words")),
+        F.concat(F.lit("Cluster "), F.col(cluster).cast("string")),
+    )
+    named = out.select(
+        cluster, "_size", F.coalesce("_label", spare).alias("label"), F.col("_label").isNotNull().alias("labelled")
+    )
+    # few rows share a label: one per cluster with the same topic and word
+    same = Window.partitionBy("label").orderBy(F.desc("labelled"), F.desc("_size"), cluster)
+    labels = named.withColumn("_nth", F.row_number().over(same)).select(
+        cluster,
+        F.when(F.col("_nth") == 1, F.col("label")).otherwise(F.concat("label", F.lit(" "), number)).alias("label"),
+        "labelled",
     )
     outlier = df.where(F.col(cluster) == noise).select(cluster).distinct().select(
         cluster, F.lit("Outlier").alias("label"), F.lit(False).alias("labelled")
@@ -95,29 +112,13 @@ def _topic_choices(real: DataFrame, sizes: DataFrame, cluster: str, topic: str)
     return rows.select(cluster, "_topic", "_rank", "_turn")
 
 
-def _hand_out(choices: DataFrame, cluster: str, small: int) -> DataFrame:
+def _hand_out(choices: DataFrame, cluster: str) -> DataFrame:
     """(cluster, _label): first free topic of each cluster in order of turns.
 
-    Turn order is a sequence, so a table checked to be small is served in one task. A larger one is
-    served in rounds: every cluster asks for its best topic that no earlier turn holds, and a topic
-    goes to the earliest turn asking. As all topics prefer the same order of clusters, the rounds
-    end in the same labels.
+    Turn order is a sequence, served in rounds: every cluster asks for its best topic that no
+    earlier turn holds, and a topic goes to the earliest turn asking. As all topics prefer the same
+    order of clusters, the rounds end in the labels of the sequence.
     """
-    choices = durable(choices)
-    if choices.count() <= small:
-        kind = choices.schema[cluster].dataType.simpleString()
-
-        def serve(pdf: pd.DataFrame) -> pd.DataFrame:
-            taken: set[str] = set()
-            out = []
-            for _, own in pdf.sort_values(["_turn", "_rank"]).groupby("_turn", sort=True):
-                free = next((t for t in own["_topic"] if t not in taken), None)
-                if free is not None:
-                    taken.add(free)
-                    out.append((own[cluster].iloc[0], free))
-            return pd.DataFrame(out, columns=[cluster, "_label"])
-
-        return choices.groupBy(F.lit("all").alias("_all")).applyInPandas(serve, f"{cluster} {kind}, _label string")
     held = None
     while True:
         open_ = choices
@@ -150,9 +151,13 @@ def label_author_clusters(authors: DataFrame, cluster: str = "cluster_id", chars
 
 
 def cluster_digest(
-    df: DataFrame, cluster: str = "cluster_id", label: str = "cluster_label", top: int = 3, noise: int = -1
+    df: DataFrame, cluster: str = "cluster_id", label: str = "cluster_label", top: int = 3, noise: int = -1,
+    title_chars: int | None = 60,
 ) -> DataFrame:
-    """(cluster, label, n, year_min, year_max, citations, top_papers): one line per cluster, noise left out."""
+    """(cluster, label, n, year_min, year_max, citations, top_papers): one row per cluster, noise left out.
+
+    top_papers is an array of (rank, title, year, citation_count); titles are cut unless title_chars is None.
+    """
     real = df.where(F.col(cluster) != noise)
     sums = real.groupBy(cluster).agg(
         F.count(F.lit(1)).alias("n"),
@@ -161,16 +166,11 @@ def cluster_digest(
         F.sum("citation_count").cast("long").alias("citations"),
     )
     best = top_n(real, [cluster], [F.desc("citation_count"), F.col("openalex_id")], top)
-    shown = F.concat(
-        F.lit('"'), F.substring("title", 1, 60), F.lit('" ('), F.col("year").cast("string"), F.lit(", "),
-        F.col("citation_count").cast("string"), F.lit(" cites)"),
-    )
+    shown = F.struct("rank", F.substring("title", 1, title_chars).alias("title") if title_chars else F.col("title"), "year", "citation_count")
     # the label is the same for all papers of a cluster: taken from the first one shown
     lines = best.groupBy(cluster).agg(
         F.max(F.when(F.col("rank") == 1, F.col(label))).alias("label"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("rank", shown.alias("s")))), lambda x: x["s"]), "; "
-        ).alias("top_papers")
+        F.array_sort(F.collect_list(shown)).alias("top_papers"),
     )
     return sums.join(lines, cluster).select(
         cluster, "label", "n", "year_min", "year_max", "citations", "top_papers"

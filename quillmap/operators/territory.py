@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,14 +109,16 @@ def kde_grid(
     bandwidth: float = 0.2,
     pad: float = 0.08,
     min_points: int = 10,
-    exact_points: int = 300,
+    binned: bool = False,
+    spread: int = 16,
 ) -> DataFrame:
     """(group, gx, gy, x, y, density): Gaussian kernel density of each group on a bins x bins grid.
 
     Kernel covariance is bandwidth^2 times the group's sample covariance. Groups with fewer than
-    min_points or a singular covariance are left out. Up to exact_points a group's points enter one
-    by one; beyond that all its points are first counted per grid cell and the cells enter with
-    their counts, so the work depends on the grid and the number of groups, not on the rows.
+    min_points or a singular covariance are left out. Every point enters by itself, whatever the size
+    of its group: the work is linear in the points, a group is dealt to ``spread`` tasks, and a task
+    adds up whole grids without a row per point and cell. With ``binned`` the points are first
+    counted per nearest grid cell, for all groups alike, and the work no longer grows with the points.
     """
     # four numbers, needed as constants for the grid
     e = map_extent(points, pad).first()
@@ -128,37 +133,66 @@ def kde_grid(
     h = bandwidth * bandwidth
     det = (F.col("vx") * F.col("vy") - F.col("c") * F.col("c")) * (h * h)
     kernel = moments.where(F.col("n") >= min_points).withColumn("det", det).where(F.col("det") > 1e-300).select(
-        group, "n",
+        group,
         (F.col("vy") * h / F.col("det")).alias("ixx"),
         (F.col("vx") * h / F.col("det")).alias("iyy"),
         (-F.col("c") * h / F.col("det")).alias("ixy"),
         (F.col("n") * 2 * math.pi * F.sqrt("det")).alias("scale"),
     )
     near = lambda v, low, step: F.when(F.lit(step) > 0, F.round((v - low) / (step or 1.0))).otherwise(0).cast("int")
-    kernel = broadcast_if_small(kernel)
-    small = points.select(group, "x", "y").join(kernel, group)
-    single = small.where(F.col("n") <= exact_points).select(
-        group, F.col("x").alias("px"), F.col("y").alias("py"), F.lit(1).cast("long").alias("w"), "ixx", "iyy", "ixy", "scale"
-    )
-    binned = (
-        small.where(F.col("n") > exact_points)
-        .groupBy(group, near(F.col("x"), e["x_min"], step_x).alias("i"), near(F.col("y"), e["y_min"], step_y).alias("j"))
-        .agg(F.count(F.lit(1)).alias("w"))
-        .join(kernel, group)
-        .select(group, at_x(F.col("i")).alias("px"), at_y(F.col("j")).alias("py"), "w", "ixx", "iyy", "ixy", "scale")
+    support = points.select(group, F.col("x").alias("px"), F.col("y").alias("py"), F.lit(1).cast("long").alias("w"))
+    if binned:
+        support = (
+            points.groupBy(group, near(F.col("x"), e["x_min"], step_x).alias("i"), near(F.col("y"), e["y_min"], step_y).alias("j"))
+            .agg(F.count(F.lit(1)).alias("w"))
+            .select(group, at_x(F.col("i")).alias("px"), at_y(F.col("j")).alias("py"), "w")
+        )
+    dealt = support.join(broadcast_if_small(kernel), group).repartition(
+        F.col(group), F.pmod(F.xxhash64("px", "py"), F.lit(spread))
     )
-    cells = F.explode(F.sequence(F.lit(0), F.lit(bins * bins - 1)))
-    spread = single.unionByName(binned).select("*", cells.alias("cell"))
-    gx, gy = F.pmod("cell", F.lit(bins)).cast("int"), F.floor(F.col("cell") / bins).cast("int")
-    dx, dy = at_x(gx) - F.col("px"), at_y(gy) - F.col("py")
-    energy = dx * dx * F.col("ixx") + 2 * dx * dy * F.col("ixy") + dy * dy * F.col("iyy")
+    if e["x_min"] is None:
+        xs = ys = np.zeros(bins)
+    else:
+        xs, ys = e["x_min"] + np.arange(bins) * step_x, e["y_min"] + np.arange(bins) * step_y
+    parts = dealt.mapInPandas(_grid_sums(group, xs, ys), f"{group} {dict(points.dtypes)[group]}, grid array<double>")
+    cell = F.col("cell")
+    gx, gy = F.pmod(cell, F.lit(bins)).cast("int"), F.floor(cell / bins).cast("int")
     return (
-        spread.groupBy(group, "cell")
-        .agg((F.sum(F.col("w") * F.exp(-energy / 2) / F.col("scale"))).alias("density"))
+        parts.select(group, F.posexplode("grid").alias("cell", "part"))
+        .groupBy(group, "cell")
+        .agg(F.sum("part").alias("density"))
         .select(group, gx.alias("gx"), gy.alias("gy"), at_x(gx).alias("x"), at_y(gy).alias("y"), "density")
     )
 
 
+def _grid_sums(group: str, xs: np.ndarray, ys: np.ndarray, held: int = 64, block: int = 64):
+    """Task: sum of the kernels of its points on the whole grid, one row per group; at most ``held`` grids at a time."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grids: dict = {}
+
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame({group: list(grids), "grid": [g.ravel() for g in grids.values()]})
+
+        for batch in batches:
+            for name, own in batch.groupby(group, sort=False):
+                k = own.iloc[0]
+                grid = grids.setdefault(name, np.zeros((len(ys), len(xs))))
+                px, py, w = (own[c].to_numpy(dtype=float) for c in ("px", "py", "w"))
+                for at in range(0, len(own), block):
+                    dx = (xs[None, :] - px[at : at + block, None])[:, None, :]
+                    dy = (ys[None, :] - py[at : at + block, None])[:, :, None]
+                    energy = dx * dx * k["ixx"] + 2 * dx * dy * k["ixy"] + dy * dy * k["iyy"]
+                    grid += np.tensordot(w[at : at + block], np.exp(-energy / 2), axes=1) / k["scale"]
+                if len(grids) >= held:
+                    yield rows()
+                    grids.clear()
+        if grids:
+            yield rows()
+
+    return task
+
+
 def territory_cells(grid: DataFrame, group: str = "territory", percentile: float = 0.08) -> DataFrame:
     """(gx, gy, group, density, share): winner of each cell; cells of very low density stay empty.
 

@@ -43,8 +43,9 @@ def sample(t: Tables) -> DataFrame:
 DIGEST = """
     SELECT {c} AS {name}, min({label}) AS label, count(*) AS n, min(year) AS year_min, max(year) AS year_max,
            sum(citation_count)::BIGINT AS citations,
-           string_agg(CASE WHEN rk <= 3 THEN '"' || substring(title, 1, 60) || '" (' || CAST(year AS VARCHAR) || ', '
-                      || CAST(citation_count AS VARCHAR) || ' cites)' END, '; ' ORDER BY rk) AS top_papers
+           string_agg(CASE WHEN rk <= 3 THEN substring(title, 1, 60) END, '|' ORDER BY rk) AS top_titles,
+           string_agg(CASE WHEN rk <= 3 THEN CAST(year AS VARCHAR) END, '|' ORDER BY rk) AS top_years,
+           string_agg(CASE WHEN rk <= 3 THEN CAST(citation_count AS VARCHAR) END, '|' ORDER BY rk) AS top_citations
     FROM (SELECT *, row_number() OVER (PARTITION BY {c} ORDER BY citation_count DESC, openalex_id) AS rk FROM {table})
     WHERE {c} <> {noise} GROUP BY 1"""
 HIGH = "(SELECT * FROM fx_papers WHERE type = 'article' AND citation_count >= 400 AND field <> '' AND title <> '')"
@@ -53,17 +54,24 @@ SAMPLED = f"""(SELECT * FROM (
         FROM {HIGH} d JOIN ({QUOTA.format(s='field', floor=10, target=300, table=HIGH)}) q ON q.stratum = d.field) WHERE pos <= quota)"""
 
 
+def _flat(digest: DataFrame) -> DataFrame:
+    """The list of papers as three strings, which SQL engines compare alike."""
+    one = lambda f: F.array_join(F.transform("top_papers", lambda x: x[f].cast("string")), "|")
+    names = {"top_titles": one("title"), "top_years": one("year"), "top_citations": one("citation_count")}
+    return digest.withColumns(names).drop("top_papers")
+
+
 @query("sample_digest", "fx_papers", DIGEST.format(c="field", name="field", label="field", table=SAMPLED, noise="''"))
 def sample_digest(t: Tables) -> DataFrame:
     renamed = {"cited_by_count": "citation_count", "publication_year": "year"}
     high = filter_high_impact(t.works, 400).withColumnsRenamed(renamed)
     picked = durable(stratified_sample(high, "field", sqrt_quotas(high, "field", 300, 10)))
-    return lb.cluster_digest(picked, "field", "field", noise="")
+    return _flat(lb.cluster_digest(picked, "field", "field", noise=""))
 
 
 @query("cluster_digest", "fx_papers", DIGEST.format(c="topic", name="topic", label="subfield", table="fx_papers", noise="''"))
 def cluster_digest(t: Tables) -> DataFrame:
-    return lb.cluster_digest(t.papers, "topic", "subfield", noise="")
+    return _flat(lb.cluster_digest(t.papers, "topic", "subfield", noise=""))
 
 
 @query("cluster_dossier", "fx_docs", """
@@ -301,7 +309,7 @@ def kde_grid(t: Tables) -> DataFrame:
 @query("kde_grid_binned", "fx_points", f"""
     SELECT * FROM (WITH {BINNED} SELECT territory, gx, gy, round(density, 6) AS density FROM grid)""")
 def kde_grid_binned(t: Tables) -> DataFrame:
-    return te.kde_grid(t.points, bins=20, exact_points=0).select("territory", "gx", "gy", *r6("density"))
+    return te.kde_grid(t.points, bins=20, binned=True).select("territory", "gx", "gy", *r6("density"))
 
 
 @query("territory_cells", "fx_points", f"""

@@ -1,6 +1,7 @@
 """Vectors, clusters, labels, territories against NumPy and on edge cases."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -104,13 +105,17 @@ def test_embedding_incremental_and_custom_encoder(spark):
     assert {r["id"]: r["embedding"][0] for r in own.collect()} == {1: 14.0, 2: 14.0, 3: 0.0}
 
 
-def test_assign_nearest_bound(spark):
-    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "id int, embedding array<double>")
-    centres = spark.createDataFrame([(0, [0.0, 0.0]), (1, [3.0, 3.0])], "cluster_id int, embedding array<double>")
-    got = {r["id"]: (r["cluster_id"], r["distance"]) for r in em.assign_nearest(df, centres, "id").collect()}
-    assert got == {1: (0, 0.0), 2: (1, 1.0)}
-    with pytest.raises(ValueError):
-        em.assign_nearest(df, centres, "id", max_centroids=1)
+def test_assign_nearest_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    xs, cs = rng.normal(size=(60, 5)), rng.normal(size=(40, 5))
+    cs[7] = cs[3]  # a tie goes to the smaller cluster
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(xs)], "id int, embedding array<double>")
+    centres = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(cs)], "cluster_id int, embedding array<double>")
+    far = np.sqrt(((xs[:, None] - cs[None]) ** 2).sum(axis=2))
+    want = {i: (int(far[i].argmin()), round(float(far[i].min()), 9)) for i in range(60)}
+    for size in (1 << 20, 400):
+        rows = em.assign_nearest(df, centres, "id", block_bytes=size).collect()
+        assert {r["id"]: (r["cluster_id"], round(r["distance"], 9)) for r in rows} == want
 
 
 def test_small_inputs_form_one_cluster(spark):
@@ -146,21 +151,32 @@ def test_components_of_a_chain(spark):
     assert {v for k, v in got.items() if k < "020"} == {"000"} and {v for k, v in got.items() if k >= "020"} == {"020"}
 
 
-@pytest.mark.parametrize("small", [1_000_000, 0])
-def test_labels_are_unique(spark, small):
-    rows = [(1, "A")] * 5 + [(1, "B")] * 2 + [(2, "A")] * 4 + [(2, "B")] * 1 + [(3, "A")] * 2 + [(3, "B")] + [(-1, "A")] + [(4, "")]
+def test_labels_are_unique(spark):
+    rows = [(1, "A")] * 5 + [(1, "B")] * 2 + [(2, "A")] * 4 + [(2, "B")] * 1 + [(3, "A")] * 3 + [(3, "B")] + [(5, "A"), (6, "A"), (-1, "A")]
+    rows += [(4, ""), (7, "")]
     df = spark.createDataFrame(rows, "cluster_id int, topic string")
-    spare = spark.createDataFrame([(3, "x, y")], "cluster_id int, fallback_label string")
-    got = {r["cluster_id"]: (r["label"], r["labelled"]) for r in labels.label_clusters(df, fallback_terms=spare, small=small).collect()}
-    assert got == {1: ("A", True), 2: ("B", True), 3: ("x, y", False), 4: ("Cluster 4", False), -1: ("Outlier", False)}
+    spare = spark.createDataFrame([(3, "x, y"), (6, "x, z"), (7, "net, data"), (4, "net, data")], "cluster_id int, fallback_label string")
+    got = {r["cluster_id"]: (r["label"], r["labelled"]) for r in labels.label_clusters(df, fallback_terms=spare).collect()}
+    assert got == {
+        1: ("A", True), 2: ("B", True), 3: ("A (x)", False), 5: ("A #5", False), 6: ("A (x) #6", False),
+        4: ("net, data", False), 7: ("net, data #7", False), -1: ("Outlier", False),
+    }
 
 
-def test_labels_same_both_ways(spark):
+def test_labels_equal_the_sequence(spark):
     rng = np.random.default_rng(4)
     rows = [(int(c), f"t{int(t)}") for c, t in zip(rng.integers(0, 12, 400), rng.integers(0, 9, 400))]
     df = spark.createDataFrame(rows, "cluster_id int, topic string")
-    a, b = (sorted(map(tuple, labels.label_clusters(df, small=s).collect())) for s in (10**6, 0))
-    assert a == b
+    sizes = Counter(c for c, _ in rows)
+    taken, want = set(), {}
+    for c in sorted(sizes, key=lambda c: (-sizes[c], c)):
+        counts = Counter(t for k, t in rows if k == c)
+        free = [t for t in sorted(counts, key=lambda t: (-counts[t], t)) if t not in taken]
+        if free:
+            want[c] = free[0]
+            taken.add(free[0])
+    got = {r["cluster_id"]: r["label"] for r in labels.label_clusters(df).collect() if r["labelled"]}
+    assert got == want
 
 
 def test_summary_all_noise(spark):
