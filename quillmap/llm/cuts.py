@@ -79,6 +79,11 @@ def cut_rows(received: Received, doc: np.ndarray, starts: np.ndarray, lens: np.n
     )
 
 
+def shard_count(text_bytes: int) -> int:
+    """One shard for 16 MB of text, and 64 at least: then a document's entries spread alike on all smaller inputs."""
+    return max(64, text_bytes >> 24)
+
+
 def settle(parcels: DataFrame, shards: int, decide, id_sql: str) -> DataFrame:
     """Send parcels to their shards; ``decide(Received)`` gives (doc, starts, lens) of what is to be cut.
 
@@ -101,7 +106,7 @@ def settle(parcels: DataFrame, shards: int, decide, id_sql: str) -> DataFrame:
             if len(doc):
                 yield cut_rows(r, doc, starts, lens, id_kind)
 
-    return parcels.repartition(shards, "shard").mapInArrow(reduce, f"doc_id {id_sql}, {KEY} bigint, starts binary, lens binary")
+    return parcels.repartitionById(shards, F.col("shard")).mapInArrow(reduce, f"doc_id {id_sql}, {KEY} bigint, starts binary, lens binary")
 
 
 def covered(n: int, cuts: list[dict] | None) -> np.ndarray:

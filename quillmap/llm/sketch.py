@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICES = 64
 ROWS = 2
@@ -78,7 +79,7 @@ def repeat_sketch(rows: DataFrame, anchors_of, bits: int, flush: int = 4_000_000
 
     parts = (
         rows.mapInArrow(count, "slice int, once binary, more binary")
-        .repartition(ROWS * SLICES, "slice")
+        .repartitionById(ROWS * SLICES, F.col("slice"))
         .mapInArrow(merge, "slice int, bits binary")
         .collect()
     )  # ROWS * SLICES rows, together at most ROWS * 2**most / 8 bytes

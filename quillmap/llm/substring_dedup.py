@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillmap.llm.common import id_type, map_arrow, total_bytes
-from quillmap.llm.cuts import Parcels, apply_cuts, covered, keyed, parcel_schema, settle
+from quillmap.llm.cuts import Parcels, apply_cuts, covered, keyed, parcel_schema, settle, shard_count
 from quillmap.llm.sketch import repeat_sketch, width_bits
 from quillmap.llm.tokens import PieceCache
 from quillmap.llm.windows import MULTIPLIERS, blocks, rolling
@@ -47,7 +47,7 @@ def window_cuts(docs: DataFrame, window: int = 35, gram: int = 12) -> DataFrame:
     gram = min(gram, window)
     sketch = repeat_sketch(rows.select("text"), _anchor_finder(window, gram), width_bits(size // 60))
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 24, 1)
+    shards = shard_count(size)
 
     def sender():
         known, units = shared.value, word_units()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillmap.llm.common import id_type, map_arrow, total_bytes
-from quillmap.llm.cuts import Parcels, apply_cuts, covered, keyed, parcel_schema, settle
+from quillmap.llm.cuts import Parcels, apply_cuts, covered, keyed, parcel_schema, settle, shard_count
 from quillmap.llm.sketch import repeat_sketch, width_bits
 from quillmap.llm.windows import MULTIPLIERS, blocks, rolling
 
@@ -142,20 +142,21 @@ class EarlierBlocks:
         self.blocks.append((a[order], b[order]))
 
 
-def repeated_starts(pieces: list[bytes], length: int, block_bytes: int = SORT_BYTES) -> list[np.ndarray | None]:
-    """For pieces in order, the starts in each whose ``length`` bytes start earlier in this or a former piece.
-
-    None stands for a piece equal to a former one: all of it repeats. Pieces are no shorter than length.
+def repeated_runs(pieces: list[bytes], length: int, block_bytes: int = SORT_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For pieces in order: (piece, start, n) of the runs of starts whose ``length`` bytes start earlier,
+    in the same or a former piece. Pieces are no shorter than length; of equal pieces all but the first repeat whole.
     """
-    out: list[np.ndarray | None] = [None] * len(pieces)
-    seen: dict[bytes, None] = {}
+    seen: set[bytes] = set()
     earlier = EarlierBlocks()
-    todo = []
+    todo, equal = [], []
     for number, piece in enumerate(pieces):
-        if piece not in seen:
-            seen[piece] = None
+        if piece in seen:
+            equal.append(number)
+        else:
+            seen.add(piece)
             todo.append(number)
     seen.clear()
+    found = [np.array([(k, 0, len(pieces[k]) - length + 1) for k in equal], np.int64).reshape(-1, 3)]
     at = 0
     while at < len(todo):
         end, size = at, 0
@@ -166,24 +167,32 @@ def repeated_starts(pieces: list[bytes], length: int, block_bytes: int = SORT_BY
         lengths = np.array([len(p) for p in own])
         begins = np.cumsum(lengths) - lengths
         data = np.frombuffer(b"".join(own), np.uint8)
-        valid = np.ones(len(data), bool)
-        for e in begins + lengths:
-            valid[e - length + 1 : e] = False
+        over = np.zeros(len(data) + 1, np.int32)  # places too near the end of their piece to begin a string
+        np.add.at(over, begins + lengths - length + 1, 1)
+        np.add.at(over, begins + lengths, -1)
+        valid = np.cumsum(over[:-1]) == 0
         first = first_of_class(data, valid, length)
         place = np.arange(len(data))
         repeated = valid & (first != place)
-        units = data.astype(np.uint64) + np.uint64(1)
-        heads = np.flatnonzero(valid & (first == place))
-        a, b = rolling(units, length, MULTIPLIERS[1])[heads], rolling(units, length, MULTIPLIERS[2])[heads]
-        old = np.zeros(len(data), bool)
-        old[heads] = earlier.has(a, b)
-        repeated |= valid & old[np.maximum(first, 0)]
-        if end < len(todo):
-            earlier.add(a, b)
-        for k, begin, n in zip(todo[at:end], begins, lengths):
-            out[k] = np.flatnonzero(repeated[begin : begin + n])
+        if earlier.blocks or end < len(todo):
+            heads = np.flatnonzero(valid & (first == place))
+            units = data.astype(np.uint64) + np.uint64(1)
+            a, b = rolling(units, length, MULTIPLIERS[1])[heads], rolling(units, length, MULTIPLIERS[2])[heads]
+            old = np.zeros(len(data), bool)
+            old[heads] = earlier.has(a, b)
+            repeated |= valid & old[np.maximum(first, 0)]
+            if end < len(todo):
+                earlier.add(a, b)
+        hits = np.flatnonzero(repeated)
+        if len(hits):
+            # a run never goes on into the next piece: the last places of a piece are not valid
+            runs = np.flatnonzero(np.concatenate([[True], hits[1:] != hits[:-1] + 1]))
+            piece = np.searchsorted(begins, hits[runs], side="right") - 1
+            n = np.diff(np.append(runs, len(hits)))
+            found.append(np.stack([np.array(todo[at:end])[piece], hits[runs] - begins[piece], n], axis=1))
         at = end
-    return out
+    every = np.concatenate(found)
+    return every[:, 0], every[:, 1], every[:, 2]
 
 
 def repeat_cuts(docs: DataFrame, length: int = 100, gram: int = 28) -> DataFrame:
@@ -193,7 +202,7 @@ def repeat_cuts(docs: DataFrame, length: int = 100, gram: int = 28) -> DataFrame
     gram = min(gram, length)
     sketch = repeat_sketch(rows.select("text"), _anchor_finder(length, gram), width_bits(size // 30))
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 23, 1)
+    shards = shard_count(size)
 
     def sender():
         known = shared.value
@@ -240,22 +249,11 @@ def repeat_cuts(docs: DataFrame, length: int = 100, gram: int = 28) -> DataFrame
         by_doc[place] = np.arange(len(ids))
         order = np.lexsort((received.starts, by_doc[received.doc]))
         body = received.body
-        found = repeated_starts([body[ends[k] - received.lens[k] : ends[k]] for k in order], length)
-        doc, start, n = [], [], []
-        for k, hits in zip(order, found):
-            if hits is None:
-                hits, many = np.zeros(1, np.int64), received.lens[k : k + 1]
-            elif not len(hits):
-                continue
-            else:
-                runs = np.flatnonzero(np.concatenate([[True], hits[1:] != hits[:-1] + 1]))
-                many = np.diff(np.append(runs, len(hits))) + length - 1
-                hits = hits[runs]
-            doc.append(np.full(len(hits), received.doc[k]))
-            start.append(received.starts[k] + hits)
-            n.append(many)
-        none = np.zeros(0, np.int64)
-        return tuple(np.concatenate(x) if x else none for x in (doc, start, n))
+        piece, start, n = repeated_runs([body[ends[k] - received.lens[k] : ends[k]] for k in order], length)
+        own = order[piece]
+        by_doc = np.argsort(received.doc[own], kind="stable")
+        own, start, n = own[by_doc], start[by_doc], n[by_doc]
+        return received.doc[own], received.starts[own] + start, n + length - 1
 
     return settle(map_arrow(rows, sender, parcel_schema(docs)), shards, decide, id_type(docs))
 

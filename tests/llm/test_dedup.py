@@ -13,7 +13,7 @@ from quillmap.llm.cuts import covered
 from quillmap.llm.simhash import allocate, components, keep_one, link_edges, linked_stars, near_duplicates
 from quillmap.llm.sketch import Sketch, repeat_sketch
 from quillmap.llm.substring_dedup import remove_repeated_windows
-from quillmap.llm.suffix_dedup import common_prefixes, cut_repeated_bytes, remove_repeated_bytes, repeated_starts, suffix_array
+from quillmap.llm.suffix_dedup import common_prefixes, cut_repeated_bytes, remove_repeated_bytes, repeated_runs, suffix_array
 from quillmap.llm.windows import MULTIPLIERS, anchors, blocks, rolling, segments
 
 
@@ -116,9 +116,10 @@ def test_suffix_arrays_common_prefixes_and_blocks():
         seen, want = set(), []
         for p in own:
             want.append([k for k in range(len(p) - length + 1) if p[k : k + length] in seen or seen.add(p[k : k + length])])
-        found = repeated_starts(own, length, r.choice([50, 200, 10**6]))
-        for p, hits, expected in zip(own, found, want):
-            assert (list(range(len(p) - length + 1)) if hits is None else hits.tolist()) == expected
+        found = [[] for _ in own]
+        for piece, start, n in zip(*repeated_runs(own, length, r.choice([50, 200, 10**6]))):
+            found[piece] += range(start, start + n)
+        assert [sorted(hits) for hits in found] == want
         text = b"".join(own)
         order = suffix_array(np.frombuffer(text, np.uint8), 10**9)
         assert order.tolist() == sorted(range(len(text)), key=lambda k: text[k:])
