@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 
 def _fold_table() -> tuple[str, str]:
-    """Accented Latin letters to their base letter; combining marks are dropped."""
-    accented, plain = [], []
-    for code in range(0x00C0, 0x0250):
-        letter = chr(code)
-        base = unicodedata.normalize("NFD", letter)
-        if len(base) > 1 and all(unicodedata.combining(c) for c in base[1:]):
-            accented.append(letter)
+    """Letters with one diacritic to their ASCII base, as common full-text tokenisers fold them.
+
+    Letters with two marks, and those whose base is no ASCII letter, stay. Combining marks are dropped.
+    """
+    accented, plain = ["\u017f", "\u1e9b"], ["s", "s"]  # both forms of the long s
+    for code in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
+        base = unicodedata.normalize("NFD", chr(code))
+        if len(base) == 2 and base[0].isascii() and unicodedata.combining(base[1]):
+            accented.append(chr(code))
             plain.append(base[0])
     marks = [chr(code) for code in range(0x0300, 0x0370)]
     return "".join(accented + marks), "".join(plain)

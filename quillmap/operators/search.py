@@ -9,12 +9,14 @@ from quillmap.functions.scores import clamp
 from quillmap.functions.text import term_counts, tokens, truncate_text
 from quillmap.session import broadcast_if_small, durable, running_sum, top_n
 
-MAX_LIMIT = 200
+
+#: (postings, doc_stats), or a stored index with (token_stats, corpus_stats) as well.
+Index = tuple[DataFrame, ...]
 
 
 def build_search_index(
     docs: DataFrame, columns: tuple[str, ...] = ("title", "abstract"), id: str = "openalex_id"
-) -> tuple[DataFrame, DataFrame]:
+) -> Index:
     """(postings(token, doc_id, tf, dl), doc_stats(doc_id, dl)).
 
     Term counts are taken inside the row, so building needs no shuffle; a stored index is clustered
@@ -29,24 +31,36 @@ def build_search_index(
     return postings, per_doc.select("doc_id", "dl")
 
 
-def store_search_index(
-    index: tuple[DataFrame, DataFrame], name: str, buckets: int = 200
-) -> tuple[DataFrame, DataFrame]:
-    """Write the index as tables ``<name>_postings`` (bucketed and sorted by token) and ``<name>_docs``.
+def store_search_index(index: Index, name: str, buckets: int = 200) -> Index:
+    """Write the index as tables ``<name>_postings``, ``_docs``, ``_tokens`` and ``_corpus``.
 
-    The rebalance hint lets adaptive execution split very common tokens over several files.
+    Postings are partitioned by a hash of the token, so a search reads the folders of its words only;
+    inside they are sorted by token, so row groups are skipped, too. ``_tokens`` holds the document
+    frequency of every token and ``_corpus`` the number and mean length of documents: neither is
+    counted again by a search. The rebalance hint lets adaptive execution split very common tokens
+    over several files.
     """
-    postings, doc_stats = index
+    postings, doc_stats = index[:2]
     spark = postings.sparkSession
-    (
-        postings.hint("rebalance", F.col("token"))
-        .write.mode("overwrite")
-        .bucketBy(buckets, "token")
-        .sortBy("token")
-        .saveAsTable(f"{name}_postings")
-    )
+    placed = postings.withColumn("bucket", _bucket(F.col("token"), buckets))
+    placed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token").write.mode(
+        "overwrite"
+    ).partitionBy("bucket").saveAsTable(f"{name}_postings")
     doc_stats.write.mode("overwrite").saveAsTable(f"{name}_docs")
-    return spark.table(f"{name}_postings"), spark.table(f"{name}_docs")
+    stored = spark.table(f"{name}_postings")
+    frequency = stored.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    corpus = spark.table(f"{name}_docs").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean_dl"), F.lit(buckets).alias("buckets")
+    )
+    frequency.withColumn("bucket", _bucket(F.col("token"), buckets)).hint("rebalance", F.col("bucket")).sortWithinPartitions(
+        "bucket", "token"
+    ).write.mode("overwrite").partitionBy("bucket").saveAsTable(f"{name}_tokens")
+    corpus.write.mode("overwrite").saveAsTable(f"{name}_corpus")
+    return tuple(spark.table(f"{name}_{t}") for t in ("postings", "docs", "tokens", "corpus"))
+
+
+def _bucket(token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
@@ -66,20 +80,30 @@ def parse_queries(queries: DataFrame) -> DataFrame:
 
 
 def match_documents(
-    index: tuple[DataFrame, DataFrame], queries: DataFrame, k1: float = 1.2, b: float = 0.75
+    index: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:
     """(query_id, doc_id, score) of every document that satisfies a group of the query.
 
-    The index is cut to the asked tokens before anything is shuffled: the query terms with their
-    weights are counted and broadcast. Scores add up per group and
-    then per query after one shuffle on (query, document).
+    A stored index is read once: the folders of the asked tokens only, with their stored frequencies.
+    An index that is not stored is read twice, as its frequencies are counted first. The query
+    terms with their weights are counted and broadcast. Scores add up per group and then per query
+    after one shuffle on (query, document).
     """
-    postings, doc_stats = index
+    postings, doc_stats = index[:2]
     terms = durable(parse_queries(queries))
     asked = broadcast_if_small(terms.select("token").distinct())
-    spread = postings.join(asked, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n_docs = doc_stats.agg(F.count(F.lit(1)).alias("n")).scalar()
-    mean_dl = doc_stats.agg(F.avg("dl").alias("a")).scalar()
+    if len(index) == 4:
+        tokens_of, corpus = index[2], index[3].first()
+        bucket = _bucket(F.col("token"), corpus["buckets"])
+        # one small number per asked folder
+        own = [r[0] for r in asked.select(bucket).distinct().collect()]
+        postings, tokens_of = (df.where(F.col("bucket").isin(own)).drop("bucket") for df in (postings, tokens_of))
+        spread = tokens_of.join(asked, "token", "left_semi")
+        n_docs, mean_dl = F.lit(corpus["n"]), F.lit(corpus["mean_dl"])
+    else:
+        spread = postings.join(asked, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        n_docs = doc_stats.agg(F.count(F.lit(1)).alias("n")).scalar()
+        mean_dl = doc_stats.agg(F.avg("dl").alias("a")).scalar()
     raw = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(spread, "token").select(
         "query_id", "group_id", "token", "times", "n_tokens",
@@ -127,18 +151,19 @@ def apply_search_filters(
 
 
 def search(
-    index: tuple[DataFrame, DataFrame],
+    index: Index,
     docs: DataFrame,
     queries: DataFrame,
     filters: DataFrame | None = None,
     limit: int = 50,
     k1: float = 1.2,
     b: float = 0.75,
+    max_limit: int = 200,
 ) -> DataFrame:
     """(query_id, rank, score, paper columns): best papers of every query.
 
     Order: score, citations, id. Scores are compared to nine digits, so that copies of a text tie
-    whatever the order in which their parts were added. ``limit`` is clamped to 1..200; a ``limit`` column in the filters
+    whatever the order in which their parts were added. ``limit`` is clamped to 1..max_limit; a ``limit`` column in the filters
     sets it per query.
     """
     slim = ["year", "citation_count", "journal_tier", "subfield"]
@@ -147,10 +172,10 @@ def search(
     passed = apply_search_filters(scored, filters)
     order = [F.desc(F.round("score", 9)), F.desc("citation_count"), F.col("doc_id")]
     per_query = filters is not None and "limit" in filters.columns
-    most = MAX_LIMIT if per_query else min(max(limit, 1), MAX_LIMIT)
+    most = max_limit if per_query else min(max(limit, 1), max_limit)
     best = top_n(passed, ["query_id"], order, most)
     if per_query:
-        own = filters.select("query_id", clamp(F.coalesce("limit", F.lit(limit)), 1, MAX_LIMIT).alias("_most"))
+        own = filters.select("query_id", clamp(F.coalesce("limit", F.lit(limit)), 1, max_limit).alias("_most"))
         best = best.join(own, "query_id", "left").where(
             F.col("rank") <= F.coalesce("_most", F.lit(limit))
         )
@@ -163,7 +188,7 @@ def result_view(results: DataFrame, abstract_chars: int = 300) -> DataFrame:
     return results.withColumn("abstract", truncate_text(F.col("abstract"), abstract_chars))
 
 
-def match_count(index: tuple[DataFrame, DataFrame], queries: DataFrame) -> DataFrame:
+def match_count(index: Index, queries: DataFrame) -> DataFrame:
     """Matching documents per query, 0 for queries without a match."""
     counts = match_documents(index, queries).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     return (

@@ -48,10 +48,10 @@ def name_key(name: Column) -> Column:
 def resolve_sources(names: DataFrame, sources: DataFrame) -> DataFrame:
     """Best source of each journal name: same spelling first, then the larger, then the smaller id.
 
-    names(name), sources(source_id, source_name, works_count).
+    names(name), sources(source_id, source_name, works_count). Names without letters and digits match nothing.
     """
-    asked = names.select("name").distinct().withColumn("_key", name_key(F.col("name")))
-    held = sources.withColumn("_key", name_key(F.col("source_name")))
+    asked = names.select("name").distinct().withColumn("_key", name_key(F.col("name"))).where(F.col("_key") != "")
+    held = sources.withColumn("_key", name_key(F.col("source_name"))).where(F.col("_key") != "")
     pairs = asked.join(held, "_key").withColumn(
         "exact", (F.col("name") == F.col("source_name")).cast("int")
     )

@@ -9,10 +9,13 @@ from quillmap.schemas import SEARCH_COLUMNS
 
 
 def write_lakehouse(
-    df: DataFrame, path: str, partition_by: str | None = "publication_year", mode: str = "append"
+    df: DataFrame, path: str, partition_by: str | None = "publication_year", mode: str = "overwrite"
 ) -> None:
     """Snappy Parquet, one folder per partition value.
 
+    By default the folders that the rows belong to are replaced and others stay, so a job that runs
+    twice leaves one copy; without partitions the whole table is replaced.
+
     The rebalance hint gathers each value in few tasks, so few files arise, and lets adaptive
     execution split the values that hold most of the rows.
     """
@@ -21,7 +24,7 @@ def write_lakehouse(
         writer = df.hint("rebalance", F.col(partition_by))
     out = writer.write.mode(mode).option("compression", "snappy")
     if partition_by:
-        out = out.partitionBy(partition_by)
+        out = out.partitionBy(partition_by).option("partitionOverwriteMode", "dynamic")
     out.parquet(path)
 
 
@@ -63,8 +66,8 @@ def list_datasets(
     pinned: str = "worldmap",
     titles: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Result tables of the catalog by suffix, the pinned one first."""
-    titles = {"papers": "Default (IS)", "worldmap": "World Map (all fields)"} if titles is None else titles
+    """Result tables of the catalog by suffix, the pinned one first; titles gives labels for stems."""
+    titles = titles or {}
     stems = sorted(
         t.name[: -len(suffix)] for t in spark.catalog.listTables() if t.name.endswith(suffix)
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillmap.operators import works as wk
 from quillmap.operators.tiers import add_journal_tier
 from quillmap.sources import files, lakehouse, snapshot
+from quillmap.sources.alt_source import resolve_sources
 from quillmap.streaming.ingest import ingest_stream, progress
 
 
@@ -112,10 +113,47 @@ def test_lakehouse_round_trip(spark, tmp_path):
     lakehouse.write_lakehouse(df, path)
     lakehouse.write_lakehouse(df, path)
     back = lakehouse.load_works(spark, path)
-    assert back.count() == 60 and back.where("publication_year = 2001").count() == 20
-    assert sum(r["n_rows"] for r in snapshot.rows_per_file(back).collect()) == 60
+    assert back.count() == 30 and back.where("publication_year = 2001").count() == 10
+    assert sum(r["n_rows"] for r in snapshot.rows_per_file(back).collect()) == 30
     lakehouse.register_views(spark, {"v_works": back, "v_files": path})
-    assert spark.sql("SELECT count(*) FROM v_works JOIN v_files USING (id)").first()[0] == 120
+    assert spark.sql("SELECT count(*) FROM v_works JOIN v_files USING (id)").first()[0] == 30
+    lakehouse.write_lakehouse(df.where("publication_year = 2002").limit(4), path)
+    assert {r[0]: r[1] for r in lakehouse.load_works(spark, path).groupBy("publication_year").count().collect()} == {2000: 10, 2001: 10, 2002: 4}
+
+
+def test_ingest_after_a_batch_without_rows(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    write(tmp_path / "in", "a.gz", ["no json"])
+    ingest_stream(spark, source, target, state, 1, "openalex_id").awaitTermination()
+    write(tmp_path / "in", "b.gz", [work(1), work(1, title="other"), work(2)])
+    ingest_stream(spark, source, target, state, 1, "openalex_id").awaitTermination()
+    first = sorted((r["openalex_id"], r["title"]) for r in spark.read.parquet(target).collect())
+    assert [i for i, _ in first] == ["W1", "W2"]
+    again = str(tmp_path / "again")
+    ingest_stream(spark, source, again, str(tmp_path / "state2"), None, "openalex_id").awaitTermination()
+    assert sorted((r["openalex_id"], r["title"]) for r in spark.read.parquet(again).collect()) == first
+
+
+def test_files_of_one_name_and_unreadable_files(spark, tmp_path):
+    write(tmp_path / "a", "part.gz", [work(1), work(2)])
+    write(tmp_path / "b", "part.gz", [work(3)])
+    counts = {r["file"].split("/")[-2]: r["n_rows"] for r in snapshot.rows_per_file(snapshot_lines(spark, tmp_path)).collect()}
+    assert counts == {"a": 2, "b": 1}
+    whole = (tmp_path / "a" / "part.gz").read_bytes()
+    (tmp_path / "b" / "cut.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "b" / "none.gz").write_bytes(b"plain text")
+    bad = {r["file"].split("/")[-1] for r in snapshot.unreadable_files(spark, str(tmp_path)).collect()}
+    assert bad == {"cut.gz", "none.gz"}
+
+
+def snapshot_lines(spark, path):
+    return spark.read.option("recursiveFileLookup", True).text(str(path))
+
+
+def test_journal_names_without_letters_match_nothing(spark):
+    names = spark.createDataFrame([("--",), ("Nature",)], "name string")
+    sources = spark.createDataFrame([(1, "!!", 5), (2, "nature", 3)], "source_id int, source_name string, works_count int")
+    assert [(r["name"], r["source_id"]) for r in resolve_sources(names, sources).collect()] == [("Nature", 2)]
 
 
 def test_dataset_round_trip(spark, tmp_path):
@@ -148,4 +186,6 @@ def test_vectors_round_trip_and_dataset_list(spark, tmp_path):
     for name in ("b_map_clustered", "worldmap_clustered", "papers_clustered", "other"):
         df.createOrReplaceTempView(name)
     got = [r["label"] for r in lakehouse.list_datasets(spark).orderBy("position").collect()]
-    assert got == ["World Map (all fields)", "B Map", "Default (IS)"]
+    assert got == ["Worldmap", "B Map", "Papers"]
+    got = [r["label"] for r in lakehouse.list_datasets(spark, titles={"papers": "All"}).orderBy("position").collect()]
+    assert got == ["Worldmap", "B Map", "All"]
