@@ -49,6 +49,7 @@ def label_clusters(
     topic: str = "topic",
     fallback_terms: DataFrame | None = None,
     noise: int = -1,
+    per: str | None = None,
 ) -> DataFrame:
     """(cluster, label, labelled): unique labels, handed out from the largest cluster down.
 
@@ -56,16 +57,19 @@ def label_clusters(
     cluster id. If all its topics are taken it gets the most frequent one with its first word from
     fallback_terms(cluster, fallback_label: words joined by ", "), else with its id. Without topics
     it gets the fallback label or ``Cluster <id>``. Of equal labels all but that of the largest
-    cluster get their id. Noise is called Outlier.
+    cluster get their id. Noise is called Outlier. With ``per`` every value of that column is a set
+    of clusters of its own, and the column is part of all rows, those of fallback_terms included.
     """
+    keys = [per] if per else []
+    own = [*keys, cluster]
     real = df.where(F.col(cluster) != noise)
-    sizes = real.groupBy(cluster).agg(F.count(F.lit(1)).alias("_size"))
-    choices = durable(_topic_choices(real, sizes, cluster, topic))
-    given = _hand_out(choices, cluster)
-    base = choices.where(F.col("_rank") == 1).select(cluster, F.col("_topic").alias("_base"))
-    out = sizes.join(given, cluster, "left").join(base, cluster, "left")
+    sizes = real.groupBy(*own).agg(F.count(F.lit(1)).alias("_size"))
+    choices = durable(_topic_choices(real, sizes, keys, cluster, topic))
+    given = _hand_out(choices, keys, cluster)
+    base = choices.where(F.col("_rank") == 1).select(*own, F.col("_topic").alias("_base"))
+    out = sizes.join(given, own, "left").join(base, own, "left")
     if fallback_terms is not None:
-        out = out.join(fallback_terms.select(cluster, F.col("fallback_label").alias("_words")), cluster, "left")
+        out = out.join(fallback_terms.select(*own, F.col("fallback_label").alias("_words")), own, "left")
     else:
         out = out.withColumn("_words", F.lit(None).cast("string"))
     number = F.concat(F.lit("#"), F.col(cluster).cast("string"))
@@ -77,43 +81,44 @@ def label_clusters(
         F.concat(F.lit("Cluster "), F.col(cluster).cast("string")),
     )
     named = out.select(
-        cluster, "_size", F.coalesce("_label", spare).alias("label"), F.col("_label").isNotNull().alias("labelled")
+        *own, "_size", F.coalesce("_label", spare).alias("label"), F.col("_label").isNotNull().alias("labelled")
     )
     # few rows share a label: one per cluster with the same topic and word
-    same = Window.partitionBy("label").orderBy(F.desc("labelled"), F.desc("_size"), cluster)
+    same = Window.partitionBy(*keys, "label").orderBy(F.desc("labelled"), F.desc("_size"), cluster)
     labels = named.withColumn("_nth", F.row_number().over(same)).select(
-        cluster,
+        *own,
         F.when(F.col("_nth") == 1, F.col("label")).otherwise(F.concat("label", F.lit(" "), number)).alias("label"),
         "labelled",
     )
-    outlier = df.where(F.col(cluster) == noise).select(cluster).distinct().select(
-        cluster, F.lit("Outlier").alias("label"), F.lit(False).alias("labelled")
+    outlier = df.where(F.col(cluster) == noise).select(*own).distinct().select(
+        *own, F.lit("Outlier").alias("label"), F.lit(False).alias("labelled")
     )
     return labels.unionByName(outlier)
 
 
-def _topic_choices(real: DataFrame, sizes: DataFrame, cluster: str, topic: str) -> DataFrame:
-    """(cluster, _topic, _rank, _turn): topics a cluster may get, best first.
+def _topic_choices(real: DataFrame, sizes: DataFrame, keys: list[str], cluster: str, topic: str) -> DataFrame:
+    """(keys, cluster, _topic, _rank, _turn): topics a cluster may get, best first.
 
     At the p-th turn at most p - 1 topics are taken, so only the first p topics of that cluster
     matter. They are ranked in salted parts first, then per cluster.
     """
-    turns = broadcast_if_small(exact_rank(sizes, [], [F.desc("_size"), F.col(cluster)], "_turn").drop("_size"))
+    own = [*keys, cluster]
+    turns = broadcast_if_small(exact_rank(sizes, keys, [F.desc("_size"), F.col(cluster)], "_turn").drop("_size"))
     rows = (
         real.where(F.coalesce(topic, F.lit("")) != "")
-        .groupBy(cluster, F.col(topic).alias("_topic"))
+        .groupBy(*own, F.col(topic).alias("_topic"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .join(turns, cluster)
+        .join(turns, own)
         .withColumn("_salt", F.pmod(F.xxhash64("_topic"), F.lit(64)))
     )
-    for keys in ([cluster, "_salt"], [cluster]):
-        w = Window.partitionBy(*keys).orderBy(F.desc("_n"), "_topic")
+    for parts in ([*own, "_salt"], own):
+        w = Window.partitionBy(*parts).orderBy(F.desc("_n"), "_topic")
         rows = rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= F.col("_turn"))
-    return rows.select(cluster, "_topic", "_rank", "_turn")
+    return rows.select(*own, "_topic", "_rank", "_turn")
 
 
-def _hand_out(choices: DataFrame, cluster: str) -> DataFrame:
-    """(cluster, _label): first free topic of each cluster in order of turns.
+def _hand_out(choices: DataFrame, keys: list[str], cluster: str) -> DataFrame:
+    """(keys, cluster, _label): first free topic of each cluster in order of turns.
 
     Turn order is a sequence, served in rounds: every cluster asks for its best topic that no
     earlier turn holds, and a topic goes to the earliest turn asking. As all topics prefer the same
@@ -123,15 +128,15 @@ def _hand_out(choices: DataFrame, cluster: str) -> DataFrame:
     while True:
         open_ = choices
         if held is not None:
-            before = held.select("_topic", F.col("_turn").alias("_holder"))
-            open_ = choices.join(before, "_topic", "left").where(
+            before = held.select(*keys, "_topic", F.col("_turn").alias("_holder"))
+            open_ = choices.join(before, [*keys, "_topic"], "left").where(
                 F.col("_holder").isNull() | (F.col("_holder") >= F.col("_turn"))
             ).drop("_holder")
-        asks = open_.groupBy(cluster, "_turn").agg(F.min_by("_topic", "_rank").alias("_topic"))
-        now = durable(asks.groupBy("_topic").agg(F.min("_turn").alias("_turn")))
+        asks = open_.groupBy(*keys, cluster, "_turn").agg(F.min_by("_topic", "_rank").alias("_topic"))
+        now = durable(asks.groupBy(*keys, "_topic").agg(F.min("_turn").alias("_turn")))
         if held is not None and now.exceptAll(held).isEmpty() and held.exceptAll(now).isEmpty():
-            owner = choices.select(cluster, "_turn").distinct()
-            return held.join(owner, "_turn").select(cluster, F.col("_topic").alias("_label"))
+            owner = choices.select(*keys, cluster, "_turn").distinct()
+            return held.join(owner, [*keys, "_turn"]).select(*keys, cluster, F.col("_topic").alias("_label"))
         held = now
 
 

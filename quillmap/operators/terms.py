@@ -31,13 +31,17 @@ def tfidf_terms(
     top: int = 10,
     max_features: int = 10_000,
     stop_words: list[str] | None = None,
+    per: str | None = None,
 ) -> DataFrame:
     """(cluster, rank, token, weight): terms with the largest mean TF-IDF in each cluster.
 
     The vocabulary is the max_features most frequent terms (a fixed bound, so it is broadcast);
     inverse document frequencies are smoothed, rows have unit length. Terms are counted inside the
-    row; one shuffle by document gives the row lengths.
+    row; one shuffle by document gives the row lengths. With ``per`` each of its values has a
+    vocabulary and frequencies of its own; clusters must not be shared between values.
     """
+    if per:
+        return _tfidf_by(docs, cluster, text, id, top, max_features, stop_words, per)
     rows = _document_terms(docs, cluster, text, id, stop_words)
     n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     vocabulary = (
@@ -59,6 +63,23 @@ def tfidf_terms(
     return top_n(means, [cluster], [F.desc(F.round("weight", 9)), F.col("token")], top)
 
 
+def _tfidf_by(docs, cluster, text, id, top, max_features, stop_words, per) -> DataFrame:
+    """tfidf_terms inside every value of ``per``; a document may occur under several values."""
+    doc = F.struct(F.col(per).alias("k"), F.col(id).alias("d"))
+    keyed = docs.select(doc.alias("_doc"), cluster, text)
+    rows = _document_terms(keyed, cluster, text, "_doc", stop_words).withColumn("_per", F.col("_doc.k"))
+    sizes_of = docs.groupBy(F.col(per).alias("_per")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.groupBy("_per", "token").agg(F.sum("tf").alias("_count"), F.count(F.lit(1)).alias("_df"))
+    kept = top_n(counts, ["_per"], [F.desc("_count"), F.col("token")], max_features).drop("rank").join(sizes_of, "_per")
+    idf = kept.select("_per", "token", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("_idf"))
+    weighted = rows.join(idf, ["_per", "token"]).withColumn("_w", F.col("tf") * F.col("_idf"))
+    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_doc")))
+    sums = weighted.withColumn("_w", F.col("_w") / length).groupBy(cluster, "token").agg(F.sum("_w").alias("_sum"))
+    sizes = docs.groupBy(cluster).agg(F.count(F.lit(1)).alias("_size"))
+    means = sums.join(sizes, cluster).select(cluster, "token", (F.col("_sum") / F.col("_size")).alias("weight"))
+    return top_n(means, [cluster], [F.desc(F.round("weight", 9)), F.col("token")], top)
+
+
 def with_bigrams(words: Column) -> Column:
     """The words followed by all pairs of neighbours."""
     n = F.size(words)

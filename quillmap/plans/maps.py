@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap.functions.text import compose_text, truncate_text
 from quillmap.functions.vectors import l2_normalize
 from quillmap.operators import authors as au
-from quillmap.operators import clustering, labels, network, terms
+from quillmap.operators import clustering, keyed, labels, network, terms
 from quillmap.operators.embedding import author_vectors, embed_texts, project_2d
 from quillmap.operators.quality import alignment_check
 from quillmap.operators.sampling import sqrt_quotas, stratified_sample
@@ -27,22 +27,27 @@ def _with_text(papers: DataFrame) -> DataFrame:
     return papers.withColumn("_text", compose_text(F.col("title"), abstract))
 
 
-def describe_clusters(papers: DataFrame, placed: DataFrame, label_size: int = 3) -> DataFrame:
+def describe_clusters(papers: DataFrame, placed: DataFrame, label_size: int = 3, per: str | None = None) -> DataFrame:
     """Papers with x, y, cluster_id, cluster_label and topic_words.
 
     placed(id, x, y, cluster_id). Labels are the clusters' topics, handed out without repeats, or
-    their strongest words.
+    their strongest words. With ``per`` placed has that column, too, and each of its values is a map by itself.
     """
-    mapped = durable(_with_text(papers).join(placed, ID))
+    keys = [per] if per else []
+    mapped = _with_text(papers).join(placed, ID)
     if "topic" not in mapped.columns:
         mapped = mapped.withColumn("topic", F.lit(""))
-    strongest = durable(terms.topic_words(terms.tfidf_terms(mapped, text="_text", id=ID), label_size=label_size))
-    named = labels.label_clusters(mapped, fallback_terms=strongest)
+    own = F.struct(*keys, "cluster_id")
+    mapped = durable(mapped.withColumn("_own", own) if per else mapped)
+    column = "_own" if per else "cluster_id"
+    words = terms.topic_words(terms.tfidf_terms(mapped, column, "_text", ID, per=per), column, label_size)
+    strongest = durable(words.select("_own.*", "topic_words", "fallback_label") if per else words)
+    named = labels.label_clusters(mapped, fallback_terms=strongest, per=per)
     return (
-        mapped.join(broadcast_if_small(named.select("cluster_id", F.col("label").alias("cluster_label"))), "cluster_id")
-        .join(broadcast_if_small(strongest.select("cluster_id", "topic_words")), "cluster_id", "left")
+        mapped.join(broadcast_if_small(named.select(*keys, "cluster_id", F.col("label").alias("cluster_label"))), [*keys, "cluster_id"])
+        .join(broadcast_if_small(strongest.select(*keys, "cluster_id", "topic_words")), [*keys, "cluster_id"], "left")
         .withColumn("topic_words", F.coalesce("topic_words", F.lit("")))
-        .drop("_text")
+        .drop("_text", "_own")
     )
 
 
@@ -123,28 +128,42 @@ def compare_authors(
     papers: DataFrame,
     vectors: DataFrame | None = None,
     min_papers: int = 5,
-    abstract_chars: int = 300,
-    seed: int = 42,
+    abstract_chars: int | None = 300,
 ) -> tuple[DataFrame, DataFrame]:
-    """(points, centroids) of groups of selected authors in one shared space.
+    """(points, centroids) of groups of selected authors; every group has a space and clusters of its own.
 
     points: (group_id, paper, owner_id, shared, x, y, cluster_id, cluster_label). centroids: label
-    places of clusters with at least three papers of the group.
+    places of clusters with at least three papers of the group. Nothing of a group depends on others.
     """
     points = durable(network.compare_points(groups, links, min_papers)).withColumnRenamed("paper_id", ID)
-    held = durable(papers.join(points.select(ID).distinct(), ID, "left_semi"))
+    members = durable(points.select("group_id", ID).distinct())
+    held = durable(papers.join(members.select(ID).distinct(), ID, "left_semi"))
     if vectors is None:
-        short = truncate_text(F.col("abstract"), abstract_chars, "") if "abstract" in papers.columns else F.lit("")
+        abstract = F.coalesce(F.col("abstract"), F.lit("")) if "abstract" in papers.columns else F.lit("")
+        short = truncate_text(abstract, abstract_chars, "") if abstract_chars else abstract
         text = held.withColumn("_text", F.concat(F.col("title"), F.lit(". "), short))
         vectors = embed_texts(text, ID, "_text").select(ID, "embedding")
-    mapped = durable(build_landscape(held, vectors.join(held.select(ID), ID, "left_semi"), seed=seed))
-    placed = points.join(mapped, ID)
+    own = durable(members.join(vectors, ID))
+    n = F.count(F.lit(1))
+    counts = own.groupBy("group_id").agg(F.when(n < 5, 1).otherwise(_paper_clusters(n)).alias("k"))
+    found = keyed.kmeans_by(own, ["group_id"], ID, "embedding", counts, PAPER_CLUSTERS[1])
+    places = keyed.project_2d_by(own, "group_id", ID).join(found, ["group_id", ID])
+    mapped = durable(describe_clusters(held, durable(places), per="group_id"))
+    placed = points.join(mapped, ["group_id", ID])
     centroids = placed.groupBy("group_id", "cluster_label").agg(
         F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y")
     ).where(F.col("n") >= 3)
     return placed, centroids
 
 
+#: Least and most clusters of papers.
+PAPER_CLUSTERS = (3, 200)
+
+
+def _paper_clusters(n: Column) -> Column:
+    return F.greatest(F.lit(PAPER_CLUSTERS[0]), F.least(F.lit(PAPER_CLUSTERS[1]), F.floor(F.sqrt(n / 2)).cast("int")))
+
+
 def author_text_vectors(links: DataFrame, papers: DataFrame, **encoder) -> DataFrame:
     """(author_id, embedding) from the running text of all papers of an author.
 
@@ -167,7 +186,7 @@ def author_text_vectors(links: DataFrame, papers: DataFrame, **encoder) -> DataF
 def build_ego_map(
     focals: DataFrame, links: DataFrame, papers: DataFrame, authors: DataFrame, **encoder
 ) -> tuple[DataFrame, DataFrame]:
-    """(people, edges) of the focal authors' networks with positions.
+    """(people, edges) of the focal authors' networks with positions in a space of each focal author's own.
 
     people: (focal_id, author_id, layer, x, y) for the focal author, co-authors and their
     co-authors; edges: network edges with the positions of both ends.
@@ -186,25 +205,36 @@ def build_ego_map(
     )
     known = people.select("author_id").distinct()
     vectors = durable(author_text_vectors(links.join(known, "author_id", "left_semi"), papers, **encoder))
-    coords = durable(project_2d(vectors, "author_id"))
-    edges = network.ego_edges(layer1, circle, layer2, hops, links)
-    return people.join(coords, "author_id"), network.edge_coordinates(edges, coords, "src", "dst")
+    spread = people.select("focal_id", "author_id").distinct().join(vectors, "author_id")
+    coords = durable(keyed.project_2d_by(spread, "focal_id", "author_id"))
+    edges = durable(network.ego_edges(layer1, circle, layer2, hops, links))
+    ends = edges
+    for end, x, y in (("src", "x0", "y0"), ("dst", "x1", "y1")):
+        place = coords.select("focal_id", F.col("author_id").alias(end), F.col("x").alias(x), F.col("y").alias(y))
+        ends = ends.join(place, ["focal_id", end])
+    return people.join(coords, ["focal_id", "author_id"]), ends.select(*edges.columns, "x0", "y0", "x1", "y1")
 
 
-def describe_hierarchy(papers: DataFrame, levels: DataFrame, points: DataFrame) -> DataFrame:
-    """(level, cluster_id, parent_id, label, n, x, y, half_major, half_minor, angle, only_child).
+def describe_hierarchy(papers: DataFrame, levels: DataFrame, points: DataFrame, per: str | None = None) -> DataFrame:
+    """(per, level, cluster_id, parent_id, label, n, x, y, half_major, half_minor, angle, only_child).
 
     levels(id, coarse_id, fine_id, only_child), points(id, x, y). Coarse clusters are named by
-    subfield and fine ones by topic, by majority; without such values by their strongest words.
+    subfield and fine ones by topic, by majority; without such values by their strongest words. With
+    ``per`` both have that column, too, and each of its values is described by itself.
     """
-    rows = durable(_with_text(papers).join(levels, ID).join(points.select(ID, "x", "y"), ID))
+    keys = [per] if per else []
+    rows = _with_text(papers).join(levels, ID).join(points.select(*keys, ID, "x", "y"), [*keys, ID])
+    if per:
+        # clusters of different keys are different clusters
+        rows = rows.withColumns({c: F.struct(F.col(per).alias("k"), F.col(c).alias("c")) for c in ("coarse_id", "fine_id")})
+    rows = durable(rows)
 
     def level(name: str, column: str, value: str, words: int, scale: float) -> DataFrame:
         outlines = cluster_ellipses(rows, column, scale, min_points=1)
         few = F.col("n") < 3  # too few points for an outline, the centre stays
         for axis in ("half_major", "half_minor", "angle"):
             outlines = outlines.withColumn(axis, F.when(~few, F.col(axis)))
-        strongest = terms.topic_words(terms.tfidf_terms(rows, column, "_text", ID), column, words)
+        strongest = terms.topic_words(terms.tfidf_terms(rows, column, "_text", ID, per=per), column, words)
         out = outlines.join(strongest.select(column, "fallback_label"), column, "left")
         named = F.lit(None).cast("string")
         if value in rows.columns:
@@ -221,9 +251,13 @@ def describe_hierarchy(papers: DataFrame, levels: DataFrame, points: DataFrame)
             F.when(F.lit(name == "fine"), F.col("only_child")).alias("only_child"),
         )
 
-    return level("coarse", "coarse_id", "subfield", 3, 2.0).unionByName(
+    both = level("coarse", "coarse_id", "subfield", 3, 2.0).unionByName(
         level("fine", "fine_id", "topic", 4, 1.5)
     )
+    if not per:
+        return both
+    rest = [c for c in both.columns if c not in ("cluster_id", "parent_id")]
+    return both.select(F.col("cluster_id.k").alias(per), F.col("cluster_id.c").alias("cluster_id"), F.col("parent_id.c").alias("parent_id"), *rest)
 
 
 def build_trajectories(
@@ -233,24 +267,24 @@ def build_trajectories(
     authors: DataFrame,
     vectors: DataFrame | None = None,
     top_coauthors_n: int = 15,
-    seed: int = 42,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(territory, clusters, edges) of focal authors.
 
     territory: papers of each focal author and its main co-authors with owner, x, y and clusters;
     clusters: the two levels described; edges: the trajectory tree of the focal author's own papers
-    over the coarse clusters. All focal authors share one space.
+    over the coarse clusters. Every focal author has a space and clusters of its own.
     """
     layer1 = network.ego_layer1(network.coauthor_edges(focals, links), authors)
     territory = durable(network.territory_papers(focals, layer1, links, papers, top_coauthors_n))
-    held = durable(papers.join(broadcast_if_small(territory.select(ID).distinct()), ID, "left_semi"))
+    members = durable(territory.select("focal_id", ID).distinct())
+    held = durable(papers.join(members.select(ID).distinct(), ID, "left_semi"))
     if vectors is None:
         vectors = embed_texts(_with_text(held), ID, "_text").select(ID, "embedding")
-    points = durable(project_2d(vectors.join(held.select(ID), ID, "left_semi")))
-    levels = durable(clustering.cluster_hierarchy(points, ID, seed))
-    placed = durable(territory.join(points, ID).join(levels, ID))
+    points = durable(keyed.project_2d_by(members.join(vectors, ID), "focal_id", ID))
+    levels = durable(keyed.hierarchy_by(points, "focal_id", ID))
+    placed = durable(territory.join(points, ["focal_id", ID]).join(levels, ["focal_id", ID]))
     own = placed.where(F.col("owner_id") == F.col("focal_id")).select(
         "focal_id", F.col(ID).alias("paper_id"), F.col("coarse_id").alias("cluster_id"), "year",
         F.col("citation_count").alias("citations"),
     )
-    return placed, describe_hierarchy(held, levels, points), trajectory_edges(own)
+    return placed, describe_hierarchy(held, levels, points, "focal_id"), trajectory_edges(own)
