@@ -59,21 +59,20 @@ FIXTURES: dict[str, str] = {
             FROM fx_links l LEFT JOIN fx_works w ON l.paper_id = w.openalex_id
             GROUP BY l.author_id) t ON p.p_partkey = t.author_id
     """,
-    # the ten most cited authors with a matching name: what the author lookup offers
+    # all authors with a matching name that have papers to share
     "fx_focals": """
         SELECT author_id, name FROM fx_authors
         WHERE lower(name) LIKE '%ring%' AND paper_count >= 2
-        ORDER BY total_citations DESC, author_id LIMIT 10
     """,
     # a dense network: authors are suppliers
     "fx_slinks": """
         SELECT DISTINCT l_orderkey AS paper_id, l_suppkey AS author_id FROM lineitem
     """,
-    # two groups of five selected authors: the ten with most papers, in order
+    # all authors in groups of five, by number of papers
     "fx_groups": """
         SELECT CAST(floor((seq - 1) / 5) AS INT) AS group_id, author_id, seq FROM (
             SELECT author_id, CAST(row_number() OVER (ORDER BY n DESC, author_id) AS INT) AS seq FROM (
-                SELECT author_id, count(*) AS n FROM fx_slinks GROUP BY author_id ORDER BY n DESC, author_id LIMIT 10) m) s
+                SELECT author_id, count(*) AS n FROM fx_slinks GROUP BY author_id) m) s
     """,
     "fx_authorships": """
         SELECT d.l_orderkey AS paper_id, d.l_suppkey AS author_id, s.s_name AS author_name,
@@ -119,7 +118,7 @@ DUCK: dict[str, str] = {
         FROM (SELECT query_id, CAST(floor((pos - 1) / 2) AS INT) AS group_id, token FROM (
             SELECT item_id AS query_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM (
                 SELECT item_id, list_filter(
-                    regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+'), lambda t: length(t) >= 6) AS w
+                    regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+'), lambda t: length(t) >= 1) AS w
                 FROM benchmark)))
         GROUP BY query_id, group_id, token
     """,
@@ -196,8 +195,8 @@ DUCK: dict[str, str] = {
         FROM fx_links l JOIN fx_works w ON l.paper_id = w.openalex_id
     """,
     "fx_kdocs": """
-        SELECT d.doc_id AS openalex_id, d.text, e.label AS cluster_id
-        FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id
+        SELECT d.doc_id AS openalex_id, d.text, coalesce(e.label, -1) AS cluster_id
+        FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id
     """,
     "fx_kwords": r"""
         SELECT openalex_id, cluster_id, list_filter(
@@ -304,9 +303,9 @@ class Tables:
 
     @cached_property
     def queries(self) -> DataFrame:
-        """Words of at least six letters of each benchmark text; neighbours form an AND group."""
+        """All words of each benchmark text; neighbours form an AND group."""
         words = self.raw("benchmark").select(
-            F.col("item_id").alias("query_id"), F.posexplode(tokens(F.col("text"), 6)).alias("pos", "token")
+            F.col("item_id").alias("query_id"), F.posexplode(tokens(F.col("text"))).alias("pos", "token")
         )
         return words.groupBy("query_id", F.floor(F.col("pos") / 2).cast("int").alias("group_id")).agg(
             F.array_join(
@@ -325,11 +324,11 @@ class Tables:
 
     @cached_property
     def labelled_docs(self) -> DataFrame:
-        """Whole documents with the label of their vector as cluster."""
+        """All documents, whole, with the label of their vector as cluster; those without one are noise."""
         return spread_scan(self.raw("documents")).select(F.col("doc_id").alias("openalex_id"), "text").join(
             self.raw("embeddings").select(F.col("vec_id").alias("openalex_id"), F.col("label").alias("cluster_id")),
-            "openalex_id",
-        )
+            "openalex_id", "left",
+        ).withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
 
     @cached_property
     def track(self) -> DataFrame:
