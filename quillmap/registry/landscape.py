@@ -223,11 +223,11 @@ def ctfidf_terms(t: Tables) -> DataFrame:
 
 
 @query("reduce_outliers", "fx_kwords", "SELECT * FROM (WITH " + CT.format(
-    terms="SELECT cluster_id, unnest(words) AS token FROM fx_kwords WHERE cluster_id <> 0") + """,
+    terms="SELECT cluster_id, unnest(words) AS token FROM fx_kwords WHERE cluster_id > 0") + """,
     unit AS (SELECT cluster_id, token, weight / sqrt(sum(weight * weight) OVER (PARTITION BY cluster_id)) AS w FROM weights),
     best AS (SELECT openalex_id, arg_max(cluster_id, {'s': round(s, 9), 'c': -cluster_id}) AS cluster_id FROM (
         SELECT k.openalex_id, u.cluster_id, sum(u.w) AS s FROM (
-            SELECT openalex_id, unnest(words) AS token FROM fx_kwords WHERE cluster_id = 0) k
+            SELECT openalex_id, unnest(words) AS token FROM fx_kwords WHERE cluster_id <= 0) k
         JOIN unit u ON u.token = k.token GROUP BY 1, 2) GROUP BY 1)
     SELECT d.openalex_id, coalesce(b.cluster_id, CASE WHEN d.cluster_id = 0 THEN -1 ELSE d.cluster_id END) AS cluster_id
     FROM fx_kdocs d LEFT JOIN best b ON b.openalex_id = d.openalex_id)""")
