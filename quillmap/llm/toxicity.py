@@ -149,7 +149,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, slots: int = 20, **fit) -> FmModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000, slots: int = 20, **fit) -> FmModel:
     """Fit on at most ``sample`` labelled rows, those with the smallest hash of their id.
 
     Rows held out, with a null id or without a label do not take part. The terms are found in the tasks;
