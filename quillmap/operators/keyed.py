@@ -82,14 +82,16 @@ def _distance(a: Column, b: Column) -> Column:
 
 
 def kmeans_by(
-    points: DataFrame, keys: list[str], id: str, features: str, counts: DataFrame, most: int, rounds: int = 8
+    points: DataFrame, keys: list[str], id: str, features: str, counts: DataFrame, most: int, rounds: int = 8,
+    broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
     """(keys, id, cluster_id): k-means inside every key at once.
 
     counts(keys, k) names the number of clusters, at most ``most``. Seeds are the rows of a key with
-    the smallest hash of their id and different positions. A round joins each row with the at most
-    ``most`` centres of its key and averages anew; centres are stored after each round. Ties go to the
-    smaller cluster; a cluster without rows keeps its centre.
+    the smallest hash of their id and different positions. A round compares each row with the at most
+    ``most`` centres of its key and averages anew; centres are stored after each round. Centres of at
+    most ``broadcast_bytes`` are broadcast, beyond that they are joined by key. Ties go to the smaller
+    cluster; a cluster without rows keeps its centre.
     """
     rows = durable(points.select(*keys, id, F.col(features).cast("array<double>").alias("_v")))
     places = rows.groupBy(*keys, "_v").agg(F.min(F.struct(F.xxhash64(id).alias("h"), F.col(id).alias("i"))).alias("_o"))
@@ -97,11 +99,7 @@ def kmeans_by(
     centres = durable(seeds.where(F.col("_nth") <= F.col("k")).select(*keys, (F.col("_nth") - 1).alias("cluster_id"), F.col("_v").alias("_c")))
 
     def assigned() -> DataFrame:
-        held = centres.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cluster_id", "_c"))).alias("_all"))
-        near = F.array_min(
-            F.transform("_all", lambda c: F.struct(_distance(F.col("_v"), c["_c"]).alias("d"), c["cluster_id"].alias("cluster_id")))
-        )
-        return rows.join(held, keys).select(*keys, id, "_v", near["cluster_id"].alias("cluster_id"))
+        return _nearest_centres(rows, centres, keys, id, broadcast_bytes)
 
     for _ in range(rounds):
         means = assigned().groupBy(*keys, "cluster_id").agg(Summarizer.mean(array_to_vector(F.col("_v"))).alias("_m"))
@@ -112,6 +110,39 @@ def kmeans_by(
     return assigned().select(*keys, id, "cluster_id")
 
 
+def _nearest_centres(rows: DataFrame, centres: DataFrame, keys: list[str], id: str, broadcast_bytes: int) -> DataFrame:
+    """(keys, id, _v, cluster_id) with the nearest centre of the row's key."""
+    size = centres.agg(F.sum(F.size("_c") * 8 + 32)).first()[0] or 0
+    if size > broadcast_bytes:
+        held = centres.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cluster_id", "_c"))).alias("_all"))
+        near = F.array_min(
+            F.transform("_all", lambda c: F.struct(_distance(F.col("_v"), c["_c"]).alias("d"), c["cluster_id"].alias("cluster_id")))
+        )
+        return rows.join(held, keys).select(*keys, id, "_v", near["cluster_id"].alias("cluster_id"))
+    table: dict = {}
+    for r in centres.orderBy("cluster_id").collect():
+        names, places = table.setdefault(tuple(r[k] for k in keys), ([], []))
+        names.append(r["cluster_id"])
+        places.append(r["_c"])
+    shared = rows.sparkSession.sparkContext.broadcast({k: (np.array(n), np.array(c)) for k, (n, c) in table.items()})
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for batch in batches:
+            out = np.zeros(len(batch), np.int32)
+            for key, at in batch.groupby(keys, sort=False).indices.items():
+                names, places = known[key if isinstance(key, tuple) else (key,)]
+                own = np.stack(batch["_v"].to_numpy()[at])
+                for k in range(0, len(at), 256):
+                    far = ((own[k : k + 256, None, :] - places[None]) ** 2).sum(axis=2)
+                    out[at[k : k + 256]] = names[far.argmin(axis=1)]
+            yield batch.assign(cluster_id=out)
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns)
+    return rows.mapInPandas(task, f"{schema}, cluster_id int")
+
+
 def _count(n: Column, bounds: tuple[int, int, float], divide: int = 1) -> Column:
     low, high, power = bounds
     return F.greatest(F.lit(low), F.least(F.lit(high), F.floor(F.pow(n, power) / divide).cast("int")))
