@@ -79,9 +79,9 @@ def cut_rows(received: Received, doc: np.ndarray, starts: np.ndarray, lens: np.n
     )
 
 
-def shard_count(text_bytes: int) -> int:
-    """One shard for 16 MB of text, and 64 at least: then a document's entries spread alike on all smaller inputs."""
-    return max(64, text_bytes >> 24)
+def shard_count(text_bytes: int, least: int = 64) -> int:
+    """One shard for 1 GB / least of text, and ``least`` at least: a document's entries spread alike on all smaller inputs."""
+    return max(least, text_bytes * least >> 30)
 
 
 def settle(parcels: DataFrame, shards: int, decide, id_sql: str) -> DataFrame:

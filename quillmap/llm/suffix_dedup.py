@@ -21,7 +21,7 @@ from quillmap.llm.sketch import repeat_sketch, width_bits
 from quillmap.llm.windows import MULTIPLIERS, blocks, rolling
 
 #: Bytes in a block of windows while anchors are sought, and in a block of a shard's suffix array.
-SCAN_BYTES, SORT_BYTES = 1 << 20, 1 << 21
+SCAN_BYTES, SORT_BYTES = 1 << 18, 1 << 20
 
 
 def encode(text: str) -> bytes:
@@ -125,21 +125,23 @@ def first_of_class(data: np.ndarray, valid: np.ndarray, length: int) -> np.ndarr
 
 
 class EarlierBlocks:
-    """Windows of a shard's finished blocks as sorted fingerprints; a later window is sought in each block."""
+    """Windows of a shard's finished blocks as sorted fingerprints, in which later windows are sought."""
 
     def __init__(self):
-        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
+        self.a = self.b = np.zeros(0, np.uint64)
 
     def has(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(a), bool)
-        for known_a, known_b in self.blocks:
-            at = np.minimum(np.searchsorted(known_a, a), len(known_a) - 1)
-            out |= (known_a[at] == a) & (known_b[at] == b)
-        return out
+        if not len(self.a):
+            return np.zeros(len(a), bool)
+        at = np.minimum(np.searchsorted(self.a, a), len(self.a) - 1)
+        return (self.a[at] == a) & (self.b[at] == b)
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Merge in windows that are not there yet; a stable sort merges two sorted runs in one pass."""
         order = np.argsort(a)
-        self.blocks.append((a[order], b[order]))
+        a, b = np.concatenate([self.a, a[order]]), np.concatenate([self.b, b[order]])
+        order = np.argsort(a, kind="stable")
+        self.a, self.b = a[order], b[order]
 
 
 def repeated_runs(pieces: list[bytes], length: int, block_bytes: int = SORT_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,15 +176,16 @@ def repeated_runs(pieces: list[bytes], length: int, block_bytes: int = SORT_BYTE
         first = first_of_class(data, valid, length)
         place = np.arange(len(data))
         repeated = valid & (first != place)
-        if earlier.blocks or end < len(todo):
+        if len(earlier.a) or end < len(todo):
             heads = np.flatnonzero(valid & (first == place))
             units = data.astype(np.uint64) + np.uint64(1)
             a, b = rolling(units, length, MULTIPLIERS[1])[heads], rolling(units, length, MULTIPLIERS[2])[heads]
+            known = earlier.has(a, b)
             old = np.zeros(len(data), bool)
-            old[heads] = earlier.has(a, b)
+            old[heads] = known
             repeated |= valid & old[np.maximum(first, 0)]
             if end < len(todo):
-                earlier.add(a, b)
+                earlier.add(a[~known], b[~known])
         hits = np.flatnonzero(repeated)
         if len(hits):
             # a run never goes on into the next piece: the last places of a piece are not valid
@@ -202,7 +205,7 @@ def repeat_cuts(docs: DataFrame, length: int = 100, gram: int = 28) -> DataFrame
     gram = min(gram, length)
     sketch = repeat_sketch(rows.select("text"), _anchor_finder(length, gram), width_bits(size // 30))
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    shards = shard_count(size)
+    shards = shard_count(size, 128)
 
     def sender():
         known = shared.value
@@ -237,6 +240,7 @@ def repeat_cuts(docs: DataFrame, length: int = 100, gram: int = 28) -> DataFrame
                 borders = np.flatnonzero(np.concatenate([[True], shard_a[order][1:] != shard_a[order][:-1]]))
                 for x in np.split(order, borders[1:]):
                     parcels.add(shard_a[x[0]], False, row_a[x], start_a[x], n_a[x], b"".join([content[k] for k in x]))
+            sent.clear(), content.clear()  # the parcels hold a copy
             return parcels.columns()
 
         return step
