@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillmap.llm.common import id_type, map_arrow, total_bytes
-from quillmap.llm.cuts import Parcels, apply_cuts, covered, keyed, parcel_schema, settle, shard_count
+from quillmap.llm.cuts import KEY, Parcels, apply_cuts, covered, keyed, parcel_schema, settle, shard_count
 from quillmap.llm.sketch import repeat_sketch, width_bits
 from quillmap.llm.windows import MULTIPLIERS, blocks, rolling
 
@@ -211,9 +211,11 @@ def repeat_cuts(docs: DataFrame, length: int = 100, gram: int = 28) -> DataFrame
         known = shared.value
 
         def step(batch):
-            ids = batch.column("doc_id").to_pylist()
+            ids, keys = batch.column("doc_id").to_pylist(), batch.column(KEY).to_pylist()
             data = [encode(t) for t in batch.column("text").to_pylist()]
-            ranks = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, i))
+            # rows with equal id and text are one row, so the first of them speaks for all
+            once = {(ids[i], keys[i]): i for i in reversed(range(len(ids)))}.values()
+            ranks = sorted(once, key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, keys[i]))
             sent: dict[bytes, None] = {}
             row, start, n, content, shard = [], [], [], [], []
             sure: list[tuple[int, int, int]] = []
@@ -249,9 +251,14 @@ def repeat_cuts(docs: DataFrame, length: int = 100, gram: int = 28) -> DataFrame
         ends = np.cumsum(received.lens)
         ids, keys = received.ids, received.keys
         place = sorted(range(len(ids)), key=lambda d: (ids[d] is not None, ids[d] if ids[d] is not None else 0, keys[d]))
+        # rows with equal id and text come from several batches with the same pieces; each piece is one find
+        other = [True] + [ids[d] != ids[e] or keys[d] != keys[e] for d, e in zip(place, place[1:])]
         by_doc = np.empty(len(ids), np.int64)
-        by_doc[place] = np.arange(len(ids))
-        order = np.lexsort((received.starts, by_doc[received.doc]))
+        by_doc[place] = np.cumsum(other[: len(ids)])
+        rank = by_doc[received.doc]
+        order = np.lexsort((received.starts, rank))
+        same = (rank[order][1:] == rank[order][:-1]) & (received.starts[order][1:] == received.starts[order][:-1])
+        order = order[np.concatenate([[True], ~same])[: len(order)]]
         body = received.body
         piece, start, n = repeated_runs([body[ends[k] - received.lens[k] : ends[k]] for k in order], length)
         own = order[piece]
