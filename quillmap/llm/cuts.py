@@ -120,8 +120,11 @@ def covered(n: int, cuts: list[dict] | None) -> np.ndarray:
 
 
 def apply_cuts(docs: DataFrame, cuts: DataFrame, make, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Join every row with its intervals and map (batch, list of cuts per row) to columns; carry others along."""
-    gathered = cuts.groupBy("doc_id", KEY).agg(F.collect_list(F.struct("starts", "lens")).alias(CUTS))
+    """Join every row with its intervals and map (batch, list of cuts per row) to columns; carry others along.
+
+    Rows with equal doc_id and text bring equal cuts; each is kept once, or n rows would get n lists each.
+    """
+    gathered = cuts.groupBy("doc_id", KEY).agg(F.collect_set(F.struct("starts", "lens")).alias(CUTS))
     text = F.coalesce(F.col("text"), F.lit(""))
     left, right = docs.select("doc_id", text_key(text).alias(KEY), text.alias("text"), *[f"`{c}`" for c in carry]).alias("l"), gathered.alias("r")
     on = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col(f"l.{KEY}") == F.col(f"r.{KEY}"))

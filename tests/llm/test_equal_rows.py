@@ -1,10 +1,13 @@
 """Rows with equal doc_id and text: suffix dedup keeps their first find, and their cuts do not multiply."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tables import passage, rows_of
 from test_dedup import brute_bytes
 
+from quillmap.llm.cuts import KEY, apply_cuts, keyed
 from quillmap.llm.suffix_dedup import remove_repeated_bytes
 
 
@@ -30,3 +33,13 @@ def test_equal_rows_keep_their_first_find(spark, parts):
         want[doc_id, text] = (doc_id, *brute_bytes([(0, before), (1, text)], 100)[1][1:])
     assert want[20, alone][2] == 0 and want[24, alone][2] == len(alone)
     assert rows_of(remove_repeated_bytes(spread_rows(spark, texts, parts), 100)) == sorted((want[row] for row in texts), key=repr)
+
+
+def test_equal_cuts_are_gathered_once(spark):
+    """Four rows with equal id and text bring four equal cut rows; each row is handed one."""
+    docs = spark.createDataFrame([(1, "some text")] * 4, "doc_id bigint, text string")
+    row = keyed(docs).first()
+    four = np.array([4], "<i4").tobytes()
+    cuts = spark.createDataFrame([(1, row[KEY], four, four)] * 4 + [(1, row[KEY], four, bytes(4))], f"doc_id bigint, {KEY} bigint, starts binary, lens binary")
+    make = lambda: lambda batch, own: {"n": pa.array([len(x) for x in own.to_pylist()], pa.int64())}
+    assert rows_of(apply_cuts(docs, cuts.repartition(3), make, "n bigint")) == [(2,)] * 4
