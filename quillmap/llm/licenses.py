@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, with built-in functions only.
 
-A text becomes its words in one line. Rules are regular expressions over words, each gated by a keyword
-that must stand in the line before the expression is tried. Detections of all rules are word intervals;
+A text becomes its words in one line. Rules are regular expressions over words, each gated by keywords
+of which one must stand in the line before the expression is tried. Detections of all rules are word intervals;
 one that lies inside the interval of a rule of higher rank is suppressed.
 """
 
@@ -76,6 +76,16 @@ NAMES = [
     ("sspl-1", "s", f"(?:server side public license|sspl){_V} 1"),
     ("busl-1.1", "b", f"(?:business source license|busl){_V} 1 1"),
 ]
+#: Second keyword of names with an alternative that does not hold the first one.
+ALSO = {
+    "mit": "expat",
+    "cc-by": "creative commons",
+    "cc-by-sa": "creative commons",
+    "cc-by-nd": "creative commons",
+    "cc-by-nc-sa": "creative commons",
+    "cc-by-nc-nd": "creative commons",
+    "odbl-1": "open database",
+}
 #: What may stand around a name: rank (lower goes first), confidence, words before, words after.
 SHAPES = [
     (1, 1.0, "(?:licensed|released|distributed|published|available|provided|covered)(?: [^ ]+){0,3} (?:under|by) (?:the )?(?:terms (?:of|and conditions of) )?(?:the )?", "(?: licen[cs]e)?"),
@@ -109,13 +119,14 @@ class Rule:
     confidence: float
     body: str
     base: bool
+    also: str | None = None
 
 
 def signature_rules() -> list[Rule]:
     """All rules in order: base phrases, then every name in every shape, then the notices."""
     rows = [(label, phrase.split(" ")[-2], 0, 1.0, phrase, True) for phrase, label in BASE_PHRASES.items()]
     for label, keyword, name in NAMES:
-        rows += [(label, keyword, rank, sure, before + name + after, False) for rank, sure, before, after in SHAPES]
+        rows += [(label, keyword, rank, sure, before + name + after, False, ALSO.get(label)) for rank, sure, before, after in SHAPES]
     rows += [(label, keyword, rank, sure, body, False) for label, keyword, rank, sure, body in NOTICES]
     return [Rule(n, *row) for n, row in enumerate(rows)]
 
@@ -132,6 +143,7 @@ def _rules_column(rules: list[Rule]) -> Column:
                 F.lit(r.number).alias("number"),
                 F.lit(r.label).alias("label"),
                 F.lit(r.keyword).alias("keyword"),
+                F.lit(r.also).cast("string").alias("also"),
                 F.lit(r.rank).alias("rank"),
                 F.lit(r.confidence).alias("confidence"),
                 F.lit(f"(?<= )({r.body})(?= )").alias("pattern"),
@@ -199,7 +211,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     kind = "array<struct<first:bigint,end:bigint,number:int,label:string,rank:int,confidence:double,base:boolean>>"
 
     def detect(line: Column) -> Column:
-        tried = F.filter(_rules_column(rules), lambda r: F.contains(line, r["keyword"]) & F.rlike(line, r["pattern"]))
+        opened = lambda r: F.contains(line, r["keyword"]) | F.coalesce(F.contains(line, r["also"]), F.lit(False))
+        tried = F.filter(_rules_column(rules), lambda r: opened(r) & F.rlike(line, r["pattern"]))
         return F.flatten(F.transform(tried, lambda r: _places(line, r)))
 
     # lower() folds more than A-Z and so lets more through the gate; the rules see A-Z folded only
