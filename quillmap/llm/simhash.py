@@ -224,24 +224,38 @@ def link_edges(classes: DataFrame, radius: int = 3) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _roots(point: DataFrame) -> DataFrame:
+    """(a, to) with every pointer led to the end of its chain; each round triples the length that is jumped."""
+    while True:
+        far = point.select(F.col("a").alias("to"), F.col("to").alias("to2"))
+        farther = point.select(F.col("a").alias("to2"), F.col("to").alias("to3"))
+        jumped = durable(point.join(far, "to").join(farther, "to2").select("a", "to", F.col("to3")))
+        point = jumped.select("a", F.col("to3").alias("to"))
+        if jumped.where(F.col("to") != F.col("to3")).isEmpty():
+            return point
+
+
+def components(edges: DataFrame, sizes: list[int] | None = None) -> DataFrame:
     """node and the smallest node it is connected with, for all nodes of the edges.
 
-    Each round points every node at its smallest neighbour, jumps once, and contracts the edges; what is
-    left at least halves. Rounds are written to the shared folder, so a lost executor costs one task.
+    Each round points every node at its smallest neighbour, follows the pointers to their ends and contracts
+    the edges to those ends. Only nodes without a smaller neighbour are ends, no two of them are neighbours, so
+    each round leaves at most half of the nodes of every component, and a chain of rising ids needs one round.
+    Rounds are written to the shared folder, so a lost executor costs one task. ``sizes`` gets the number
+    of edges of each round.
     """
     edges = durable(edges.where(F.col("a") != F.col("b")))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     result = durable(nodes.withColumn("root", F.col("node")))
     while not edges.isEmpty():
+        if sizes is not None:
+            sizes.append(edges.count())
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = durable(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")))
-        jump = point.alias("x").join(point.select(F.col("a").alias("to"), F.col("to").alias("next")), "to")
-        point = durable(jump.select("a", F.least("to", "next").alias("next")))
+        point = _roots(durable(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to"))))
         moved = result.join(point.withColumnRenamed("a", "root"), "root", "left")
-        result = durable(moved.select("node", F.coalesce("next", "root").alias("root")))
-        left = edges.join(point.withColumnRenamed("next", "a2"), "a").select("a2", "b")
-        right = left.join(point.select(F.col("a").alias("b"), F.col("next").alias("b2")), "b")
+        result = durable(moved.select("node", F.coalesce("to", "root").alias("root")))
+        left = edges.join(point.withColumnRenamed("to", "a2"), "a").select("a2", "b")
+        right = left.join(point.select(F.col("a").alias("b"), F.col("to").alias("b2")), "b")
         pairs = right.where(F.col("a2") != F.col("b2")).select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
         edges = durable(pairs.distinct())
     return result

@@ -220,3 +220,18 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     pairs = [(k, k + 1) for k in range(0, 200)] + [(1000, k) for k in range(1001, 1100)] + [(5000, 5000)]
     roots = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
     assert roots == {k: 0 for k in range(201)} | {k: 1000 for k in range(1000, 1100)}
+
+
+def test_component_rounds_grow_with_the_logarithm(spark):
+    """A chain of 10 000 rising ids, one of random ids, and one of ids that rise and fall in turn."""
+    r = random.Random(3)
+    ids = r.sample(range(20_000, 10**6), 3000)
+    chain = [(k, k + 1) for k in range(10_000)] + list(zip(ids, ids[1:]))
+    saw = [10**6 + (k // 2 if k % 2 else 5000 + k) for k in range(2000)]
+    edges = spark.createDataFrame(chain + list(zip(saw, saw[1:])), "a bigint, b bigint").repartition(4)
+    sizes = []
+    roots = {x.node: x.root for x in components(edges, sizes).collect()}
+    assert len(sizes) <= 15
+    assert all(2 * b <= a + 2 for a, b in zip(sizes, sizes[1:]))
+    want = {k: 0 for k in range(10_001)} | {k: min(ids) for k in ids} | {k: min(saw) for k in saw}
+    assert roots == want
