@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmap.llm.common import id_type, map_arrow, text_key, text_rows
-from quillmap.session import durable
+from quillmap.session import durable, store
 
 #: A bucket with more fingerprints is split into cells of two blocks of this size each.
 BLOCK = 4096
@@ -229,7 +229,7 @@ def _roots(point: DataFrame) -> DataFrame:
     while True:
         far = point.select(F.col("a").alias("to"), F.col("to").alias("to2"))
         farther = point.select(F.col("a").alias("to2"), F.col("to").alias("to3"))
-        jumped = durable(point.join(far, "to").join(farther, "to2").select("a", "to", F.col("to3")))
+        jumped = store(point.join(far, "to").join(farther, "to2").select("a", "to", F.col("to3")))
         point = jumped.select("a", F.col("to3").alias("to"))
         if jumped.where(F.col("to") != F.col("to3")).isEmpty():
             return point
@@ -241,23 +241,24 @@ def components(edges: DataFrame, sizes: list[int] | None = None) -> DataFrame:
     Each round points every node at its smallest neighbour, follows the pointers to their ends and contracts
     the edges to those ends. Only nodes without a smaller neighbour are ends, no two of them are neighbours, so
     each round leaves at most half of the nodes of every component, and a chain of rising ids needs one round.
-    Rounds are written to the shared folder, so a lost executor costs one task. ``sizes`` gets the number
-    of edges of each round.
+    Rounds are written to the shared folder as tables, so a lost executor costs one task, and the size of a
+    table is that of its files; the estimate of a checkpoint would be multiplied in each join and grow to a number
+    of millions of digits. ``sizes`` gets the number of edges of each round.
     """
-    edges = durable(edges.where(F.col("a") != F.col("b")))
+    edges = store(edges.where(F.col("a") != F.col("b")))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    result = durable(nodes.withColumn("root", F.col("node")))
+    result = store(nodes.withColumn("root", F.col("node")))
     while not edges.isEmpty():
         if sizes is not None:
             sizes.append(edges.count())
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = _roots(durable(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to"))))
+        point = _roots(store(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to"))))
         moved = result.join(point.withColumnRenamed("a", "root"), "root", "left")
-        result = durable(moved.select("node", F.coalesce("to", "root").alias("root")))
+        result = store(moved.select("node", F.coalesce("to", "root").alias("root")))
         left = edges.join(point.withColumnRenamed("to", "a2"), "a").select("a2", "b")
         right = left.join(point.select(F.col("a").alias("b"), F.col("to").alias("b2")), "b")
         pairs = right.where(F.col("a2") != F.col("b2")).select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
-        edges = durable(pairs.distinct())
+        edges = store(pairs.distinct())
     return result
 
 
