@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmap.llm.alignment import align_tokens
 from quillmap.llm.ann import nearest
 from quillmap.llm.bpe import bpe_round_trip
 from quillmap.llm.common import read_table
 from quillmap.llm.licenses import scan_licenses
 from quillmap.llm.oracles import ORACLES
 from quillmap.llm.packing import pack_documents
+from quillmap.llm.periodic_runs import find_runs
 from quillmap.llm.quality_rules import quality_rules
 from quillmap.llm.simhash import near_duplicates
 from quillmap.llm.substring_dedup import remove_repeated_windows
@@ -67,6 +69,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), radius=3)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_runs(read_table(spark, sf_dir, "documents"), plant=True, whole=False)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_licenses": op2_licenses,
@@ -78,6 +88,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
+    "op11_alignment": op11_alignment,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 __all__ = ["ORACLES", "QUERIES", "vocabulary"]
