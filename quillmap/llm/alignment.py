@@ -56,23 +56,22 @@ def byte_vocabulary(path: str):
 
 
 def piece_vocabulary(path: str):
-    """(blank-led text -> ids, bytes of each id, can it be encoded in pieces) of a sentencepiece model that adds a blank."""
+    """(blank-led text -> ids, bytes of each id, characters that keep a text whole) of a sentencepiece model that adds a blank."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [model.id_to_piece(k) for k in range(model.get_piece_size())]
     own = [bytes([int(p[3:5], 16)]) if model.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(names)]
     blank = model.piece_to_id("▁")
-    # white space follows nothing but a blank in any piece: no token reaches over the border of a piece of text
-    white = lambda c: c == "▁" or c.isspace()
-    apart = all(not white(p[k]) or p[k - 1 : k + 1] == "▁▁" for p in names for k in range(1, len(p))) and model.encode("\n")[:1] == [blank]
+    # where white space follows nothing but blanks in any piece, no token reaches over the border of a piece of text
+    tied = {p[k] for p in names for k in range(1, len(p)) if (p[k] == "▁" or p[k].isspace()) and p[k - 1 : k + 1] != "▁▁"}
 
     def encode(text: str) -> list[int]:
         if text[:1] == " ":
             return model.encode(text[1:], num_threads=1) if len(text) > 1 else [blank]
         return model.encode(text, num_threads=1)[1:]  # led by white space that no blank merges with
 
-    return encode, own, apart
+    return encode, own, tied
 
 
 def diagonals(a: np.ndarray, b: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +115,7 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         self.encode_a, self.bytes_a = byte_vocabulary(path_a)
-        self.encode_b, self.bytes_b, self.apart = piece_vocabulary(path_b)
+        self.encode_b, self.bytes_b, self.tied = piece_vocabulary(path_b)
         self.length_a, self.length_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
         na, nb = len(self.bytes_a), len(self.bytes_b)
         self.size_b, self.pairs = nb, na * nb
@@ -135,7 +134,8 @@ class Aligner:
         """(ids of A, ids of B) of a blank and the text; none if either does not give the text back."""
         if not text or "▁" in text:
             return (), ()
-        found = list(map(self.cache.__getitem__, pieces(" " + text))) if self.apart else [self._both(" " + text)]
+        whole = any(c in text for c in self.tied)
+        found = [self._both(" " + text)] if whole else list(map(self.cache.__getitem__, pieces(" " + text)))
         if None in found:
             return (), ()
         return list(chain.from_iterable(f[0] for f in found)), list(chain.from_iterable(f[1] for f in found))
