@@ -13,6 +13,7 @@ from quillmap.llm.licenses import scan_licenses
 from quillmap.llm.oracles import ORACLES
 from quillmap.llm.packing import pack_documents
 from quillmap.llm.periodic_runs import find_runs
+from quillmap.llm.pu_quality import score_quality
 from quillmap.llm.quality_rules import quality_rules
 from quillmap.llm.simhash import near_duplicates
 from quillmap.llm.substring_dedup import remove_repeated_windows
@@ -77,6 +78,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_runs(read_table(spark, sf_dir, "documents"), plant=True, whole=False)
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_licenses": op2_licenses,
@@ -90,6 +95,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_alignment": op11_alignment,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_quality": op13_quality,
 }
 
 __all__ = ["ORACLES", "QUERIES", "vocabulary"]
