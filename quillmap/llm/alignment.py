@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from itertools import chain
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from quillmap.session import store
 #: Ends in a piece of the merge.
 STEP = 1 << 16
 #: Characters that are aligned together; a longer text is aligned by itself.
-GROUP = 1 << 20
+GROUP = 1 << 19
 
 
 def byte_vocabulary(path: str):
@@ -121,30 +121,30 @@ class Aligner:
         self.size_b, self.pairs = nb, na * nb
         names = [f"{k}{end}" for k in range(na) for end in ",|"] + [f"{k}{end}" for k in range(nb) for end in ",;"]
         self.names = np.array(names, object)
-        self.cache = PieceCache(self._both)
+        self.cache = PieceCache(self._both, limit=300_000)
 
     def _both(self, piece: str):
-        """Ids of both vocabularies for a piece, or None if the bytes of either are not the piece's."""
+        """Ids of both vocabularies for a piece, packed in four bytes each, or None if the bytes of either are not the piece's."""
         a, b, raw = self.encode_a(piece), self.encode_b(piece), piece.encode("utf-8", "replace")
         if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
             return None
-        return tuple(a), tuple(b)
+        return struct.pack(f"<{len(a)}I", *a), struct.pack(f"<{len(b)}I", *b)
 
-    def tokens(self, text: str):
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids of A, ids of B) of a blank and the text; none if either does not give the text back."""
-        if not text or "▁" in text:
-            return (), ()
-        whole = any(c in text for c in self.tied)
-        found = [self._both(" " + text)] if whole else list(map(self.cache.__getitem__, pieces(" " + text)))
+        found: list = []
+        if text and "▁" not in text:
+            whole = any(c in text for c in self.tied)
+            found = [self._both(" " + text)] if whole else list(map(self.cache.__getitem__, pieces(" " + text)))
         if None in found:
-            return (), ()
-        return list(chain.from_iterable(f[0] for f in found)), list(chain.from_iterable(f[1] for f in found))
+            found = []
+        return tuple(np.frombuffer(b"".join([f[k] for f in found]), "<u4").astype(np.int64) for k in (0, 1))
 
     def group(self, texts: list[str], whole: bool) -> dict[str, list]:
         """Columns of some texts that are merged as one line: all begin and end with a common end."""
         found = [self.tokens(t) for t in texts]
         n_a, n_b = (np.array([len(f[k]) for f in found], np.int64) for k in (0, 1))
-        a, b = (np.fromiter(chain.from_iterable(f[k] for f in found), np.int64, n.sum()) for k, n in ((0, n_a), (1, n_b)))
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         at_a, at_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
         i, j, close_a, close_b = overlaps(np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b]))
         doc = np.repeat(np.arange(len(texts)), n_a)
