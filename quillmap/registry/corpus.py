@@ -13,9 +13,10 @@ from quillmap.operators import dedupe, quality, tiers
 from quillmap.operators import works as wk
 from quillmap.operators.embedding import embed_incremental, embed_texts
 from quillmap.registry.base import Tables, query, r6
-from quillmap.session import scratch_path
+from quillmap.session import exact_rank, scratch_path
 from quillmap.sources import alt_source, files, lakehouse, query_cache, snapshot
-from quillmap.streaming.ingest import ingest_stream
+from quillmap.sources.gzip_lines import bad_files, snapshot_lines, write_gzip
+from quillmap.streaming.ingest import ingest_progress, ingest_stream, ingest_tables, ingested
 
 WORK_COLUMNS = ["openalex_id", "field", "source_name", "type"]
 
@@ -368,6 +369,91 @@ def ingest(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{base}/out").select(*FLAT_COLUMNS)
 
 
+# six files of records, every tenth followed by half a record; the last file breaks off after half of its lines
+PLACED = """placed AS (
+        SELECT *, id % 6 AS f, row_number() OVER (PARTITION BY id % 6 ORDER BY id, seq) AS line_no, count(*) OVER (PARTITION BY id % 6) AS n
+        FROM (SELECT openalex_id AS id, 0 AS seq FROM fx_works UNION ALL SELECT openalex_id, 1 FROM fx_works WHERE openalex_id % 10 = 3)),
+    held AS (SELECT * FROM placed WHERE f < 5 OR line_no <= n // 2)"""
+WHOLE_IDS = "SELECT 'W' || CAST(id AS VARCHAR) FROM held WHERE seq = 0"
+
+
+def snapshot_folder(t: Tables) -> str:
+    """The records as a folder of compressed files, with malformed lines and a file that breaks off."""
+    whole = raw_lines(t).select(F.get_json_object("value", "$.id").substr(2, 20).cast("long").alias("id"), F.lit(0).alias("seq"), "value")
+    half = t.works.where("openalex_id % 10 = 3").select(
+        F.col("openalex_id").alias("id"), F.lit(1).alias("seq"),
+        F.concat(F.lit('{"id": "W'), F.col("openalex_id").cast("string"), F.lit('", "title": ')).alias("value"))
+    rows = whole.unionByName(half).withColumn("f", (F.col("id") % 6).cast("int"))
+    ranked = exact_rank(rows, ["f"], [F.col("id"), F.col("seq")], "line_no")
+    most = rows.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    last = F.when(F.col("f") == 5, F.floor(F.col("n") / 2)).otherwise(F.col("n"))
+    held = ranked.join(F.broadcast(most), "f").where(F.col("line_no") <= last)
+    folder = scratch_path(t.spark, "snapshot")
+    write_gzip(held.select("f", "line_no", "value"), folder, broken=[5])
+    return folder
+
+
+def ingest_all(t: Tables) -> str:
+    """All tables of one snapshot folder, in batches of four files, run twice."""
+    source, base = snapshot_folder(t), scratch_path(t.spark, "tables")
+    for _ in range(2):  # the second run finds nothing new
+        ingest_tables(t.spark, source, f"{base}/out", f"{base}/state", 4, True, t.tiers).awaitTermination()
+    return f"{base}/out"
+
+
+@query("read_snapshot", "fx_works fx_docs fx_tiers", f"""
+    SELECT * FROM (WITH {PLACED} SELECT * FROM ({FLAT}) WHERE openalex_id IN ({WHOLE_IDS}))""")
+def read_snapshot(t: Tables) -> DataFrame:
+    works = snapshot.parse_works(snapshot_lines(t.spark, snapshot_folder(t)).where(F.col("error").isNull()))
+    return wk.project_works(works, t.tiers).select(*FLAT_COLUMNS)
+
+
+@query("bad_files", "fx_works", f"""
+    SELECT * FROM (WITH {PLACED} SELECT 'part5.gz' AS file, count(*) AS n_lines, 'EOFError' AS error FROM held WHERE f = 5)""")
+def broken_files(t: Tables) -> DataFrame:
+    return bad_files(snapshot_lines(t.spark, snapshot_folder(t))).select(
+        F.regexp_extract("file", "([^/]+)$", 1).alias("file"), "n_lines", F.split_part("error", F.lit(":"), F.lit(1)).alias("error"))
+
+
+@query("ingest_works", "fx_works fx_docs fx_tiers", f"""
+    SELECT * FROM (WITH {PLACED} SELECT * FROM ({FLAT}) WHERE openalex_id IN ({WHOLE_IDS}))""")
+def ingest_works(t: Tables) -> DataFrame:
+    return ingested(t.spark, ingest_all(t), "works").select(*FLAT_COLUMNS)
+
+
+@query("ingest_authorships", "fx_works fx_authorships", f"""
+    SELECT * FROM (WITH {PLACED} SELECT * FROM (
+        SELECT 'W' || CAST(paper_id AS VARCHAR) AS paper_id, 'A' || CAST(author_id AS VARCHAR) AS author_id, author_name,
+               orcid, CASE WHEN position = 0 THEN 'first' ELSE 'middle' END AS position,
+               position = 0 OR position = max(position) OVER (PARTITION BY paper_id) AS is_corresponding,
+               institution, position AS ordinal
+        FROM fx_authorships QUALIFY author_id > 0) WHERE paper_id IN ({WHOLE_IDS}))""")
+def ingest_authorships(t: Tables) -> DataFrame:
+    return ingested(t.spark, ingest_all(t), "authorships").drop("publication_year", "batch")
+
+
+@query("ingest_bad_lines", "fx_works", f"""
+    SELECT * FROM (WITH {PLACED}
+        SELECT 'part' || CAST(f AS VARCHAR) || '.gz' AS file, line_no, '{{"id": "W' || CAST(id AS VARCHAR) || '", "title": ' AS value,
+               CAST(NULL AS VARCHAR) AS error FROM held WHERE seq = 1
+        UNION ALL SELECT 'part5.gz', count(*), NULL, 'EOFError' FROM held WHERE f = 5)""")
+def ingest_bad_lines(t: Tables) -> DataFrame:
+    rows = ingested(t.spark, ingest_all(t), "bad_lines")
+    return rows.select(F.regexp_extract("file", "([^/]+)$", 1).alias("file"), "line_no", "value", F.split_part("error", F.lit(":"), F.lit(1)).alias("error"))
+
+
+@query("ingest_progress", "fx_works fx_authorships", f"""
+    SELECT * FROM (WITH {PLACED}
+        SELECT 'lines' AS metric, '' AS key, count(*) AS value FROM held
+        UNION ALL SELECT 'bad_lines', '', count(*) FROM held WHERE seq = 1
+        UNION ALL SELECT 'bad_files', '', 1
+        UNION ALL SELECT 'works', '', count(*) FROM held WHERE seq = 0
+        UNION ALL SELECT 'authorships', '', count(*) FROM fx_authorships a JOIN held h ON h.id = a.paper_id AND h.seq = 0 WHERE a.author_id > 0
+        UNION ALL SELECT 'year', CAST(w.publication_year AS VARCHAR), count(*) FROM fx_works w JOIN held h ON h.id = w.openalex_id AND h.seq = 0 GROUP BY 2)""")
+def progress_of_ingest(t: Tables) -> DataFrame:
+    return ingest_progress(t.spark, ingest_all(t))
+
+
 # --- duplicates, totals, caches ---------------------------------------------------------------
 
 
