@@ -12,8 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICES = 64
-ROWS = 2
+from quillmap.llm.windows import MULTIPLIERS, mix
+
+#: Seeds of the rows. Anchors are the smallest hashes of their windows, so their own top bits are nearly all zero;
+#: each row mixes them anew before it takes its bits, and slices and counters are used alike.
+SEEDS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
+ROWS = len(SEEDS)
 
 
 def width_bits(units: int, least: int = 16, most: int = 28) -> int:
@@ -21,33 +25,39 @@ def width_bits(units: int, least: int = 16, most: int = 28) -> int:
     return min(most, max(least, int(np.ceil(np.log2(max(1, 4 * units))))))
 
 
+def slice_bits(units: int, bits: int) -> int:
+    """log2 of the slices of a row: about 2**20 anchors in each, so a merging task reads no more on larger inputs; from 64 to 8192."""
+    return min(13, bits - 4, max(6, int(np.ceil(np.log2(max(1, units)))) - 20))
+
+
 def _places(grams: np.ndarray, bits: int) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
-        return [(g >> np.uint64(64 - bits)).astype(np.int64) for g in (grams, grams * np.uint64(0x9E6C63D0876A9A47))]
+        return [(mix((grams ^ seed) * MULTIPLIERS[1]) * MULTIPLIERS[2] >> np.uint64(64 - bits)).astype(np.int64) for seed in SEEDS]
 
 
-def _rows(grams: np.ndarray, bits: int) -> dict:
+def _rows(grams: np.ndarray, bits: int, slices: int) -> dict:
     """Places named once and more than once by a task, as offsets inside slices."""
-    inner = bits - 6
+    inner = bits - slices.bit_length() + 1
     out: dict[str, list] = {"slice": [], "once": [], "more": []}
     for row, places in enumerate(_places(grams, bits)):
         values, counts = np.unique(places, return_counts=True)
-        borders = np.searchsorted(values >> inner, np.arange(SLICES + 1))
-        for k in range(SLICES):
+        borders = np.searchsorted(values >> inner, np.arange(slices + 1))
+        for k in range(slices):
             part = slice(borders[k], borders[k + 1])
             own, many = (values[part] & ((1 << inner) - 1)).astype("<u4"), counts[part] > 1
             if len(own):
-                out["slice"].append(row * SLICES + k)
+                out["slice"].append(row * slices + k)
                 out["once"].append(own[~many].tobytes())
                 out["more"].append(own[many].tobytes())
     return out
 
 
-def repeat_sketch(rows: DataFrame, anchors_of, bits: int, flush: int = 4_000_000) -> Sketch:
-    """Sketch of the arrays of gram hashes that ``anchors_of()(batch)`` gives for each Arrow batch of rows."""
+def repeat_sketch(rows: DataFrame, anchors_of, bits: int, slices: int = 64, flush: int = 4_000_000) -> Sketch:
+    """Sketch of the arrays of gram hashes that ``anchors_of()(batch)`` gives for each Arrow batch of rows; slices: a power of two."""
+    inner = bits - slices.bit_length() + 1
 
     def emit(found):
-        r = _rows(np.concatenate(found), bits)
+        r = _rows(np.concatenate(found), bits, slices)
         return pa.RecordBatch.from_pydict(
             {"slice": pa.array(r["slice"], pa.int32()), "once": pa.array(r["once"], pa.binary()), "more": pa.array(r["more"], pa.binary())}
         )
@@ -68,7 +78,7 @@ def repeat_sketch(rows: DataFrame, anchors_of, bits: int, flush: int = 4_000_000
         seen: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, once, more in zip(*[batch.column(c).to_pylist() for c in ("slice", "once", "more")]):
-                counters = seen.setdefault(k, np.zeros(1 << (bits - 6), np.uint8))
+                counters = seen.setdefault(k, np.zeros(1 << inner, np.uint8))
                 at = np.frombuffer(once, "<u4")
                 counters[at] = np.minimum(counters[at] + 1, 2)
                 counters[np.frombuffer(more, "<u4")] = 2
@@ -79,13 +89,13 @@ def repeat_sketch(rows: DataFrame, anchors_of, bits: int, flush: int = 4_000_000
 
     parts = (
         rows.mapInArrow(count, "slice int, once binary, more binary")
-        .repartitionById(ROWS * SLICES, F.col("slice"))
+        .repartitionById(ROWS * slices, F.col("slice"))
         .mapInArrow(merge, "slice int, bits binary")
         .collect()
-    )  # ROWS * SLICES rows, together at most ROWS * 2**most / 8 bytes
-    packed = np.zeros((ROWS, SLICES, (1 << (bits - 6)) // 8), np.uint8)
+    )  # ROWS * slices rows, together at most ROWS * 2**most / 8 bytes
+    packed = np.zeros((ROWS, slices, (1 << inner) // 8), np.uint8)
     for part in parts:
-        packed[part["slice"] // SLICES, part["slice"] % SLICES] = np.frombuffer(part["bits"], np.uint8)
+        packed[part["slice"] // slices, part["slice"] % slices] = np.frombuffer(part["bits"], np.uint8)
     return Sketch(packed.reshape(ROWS, -1), bits)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from quillmap.llm.common import id_type, map_arrow, total_bytes
 from quillmap.llm.cuts import Parcels, apply_cuts, covered, keyed, parcel_schema, settle, shard_count
-from quillmap.llm.sketch import repeat_sketch, width_bits
+from quillmap.llm.sketch import repeat_sketch, slice_bits, width_bits
 from quillmap.llm.tokens import PieceCache
 from quillmap.llm.windows import MULTIPLIERS, blocks, rolling
 
@@ -45,7 +45,8 @@ def window_cuts(docs: DataFrame, window: int = 35, gram: int = 12) -> DataFrame:
     rows = keyed(docs)
     size = total_bytes(rows)
     gram = min(gram, window)
-    sketch = repeat_sketch(rows.select("text"), _anchor_finder(window, gram), width_bits(size // 60))
+    bits = width_bits(size // 60)
+    sketch = repeat_sketch(rows.select("text"), _anchor_finder(window, gram), bits, 1 << slice_bits(size // 60, bits))
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     shards = shard_count(size)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from quillmap.llm.common import id_type, map_arrow, total_bytes
 from quillmap.llm.cuts import KEY, Parcels, apply_cuts, covered, keyed, parcel_schema, settle, shard_count
-from quillmap.llm.sketch import repeat_sketch, width_bits
+from quillmap.llm.sketch import repeat_sketch, slice_bits, width_bits
 from quillmap.llm.windows import MULTIPLIERS, blocks, rolling
 
 #: Bytes in a block of windows while anchors are sought, and in a block of a shard's suffix array.
@@ -203,7 +203,8 @@ def repeat_cuts(docs: DataFrame, length: int = 100, gram: int = 28) -> DataFrame
     rows = keyed(docs)
     size = total_bytes(rows)
     gram = min(gram, length)
-    sketch = repeat_sketch(rows.select("text"), _anchor_finder(length, gram), width_bits(size // 30))
+    bits = width_bits(size // 30)
+    sketch = repeat_sketch(rows.select("text"), _anchor_finder(length, gram), bits, 1 << slice_bits(size // 30, bits))
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     shards = shard_count(size, 128)
 

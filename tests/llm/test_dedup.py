@@ -11,7 +11,7 @@ from tables import documents, odd_texts, rows_of, words
 
 from quillmap.llm.cuts import covered
 from quillmap.llm.simhash import allocate, components, keep_one, link_edges, linked_stars, near_duplicates
-from quillmap.llm.sketch import Sketch, repeat_sketch
+from quillmap.llm.sketch import SEEDS, Sketch, _places, repeat_sketch, slice_bits, width_bits
 from quillmap.llm.substring_dedup import remove_repeated_windows
 from quillmap.llm.suffix_dedup import common_prefixes, cut_repeated_bytes, remove_repeated_bytes, repeated_runs, suffix_array
 from quillmap.llm.windows import MULTIPLIERS, anchors, blocks, rolling, segments
@@ -235,3 +235,27 @@ def test_component_rounds_grow_with_the_logarithm(spark):
     assert all(2 * b <= a + 2 for a, b in zip(sizes, sizes[1:]))
     want = {k: 0 for k in range(10_001)} | {k: min(ids) for k in ids} | {k: min(saw) for k in saw}
     assert roots == want
+
+
+def test_sketch_uses_all_slices_and_both_rows():
+    """Anchors are smallest hashes; their places are even all the same, and few that are seen once pass either row."""
+    r = random.Random(9)
+    text = np.frombuffer("".join(r.choice("abcdefghij ") for _ in range(400_000)).encode(), np.uint8)
+    grams, at = anchors(text.astype(np.uint64) + np.uint64(1), 100, 28)
+    own = np.unique(grams[np.unique(at)])
+    bits = width_bits(len(own))
+    for places in _places(own, bits):
+        slices = np.bincount(places >> (bits - 6), minlength=64)
+        assert slices.max() < 2 * slices.mean()
+        _, back, times = np.unique(places, return_inverse=True, return_counts=True)
+        assert (times[back] > 1).mean() < 0.3  # four to eight counters an anchor
+    assert len(SEEDS) == 2 and [slice_bits(n, width_bits(n)) for n in (10, 10**7, 10**9, 10**12)] == [6, 6, 10, 13]
+
+
+def test_sketch_with_more_slices(spark):
+    values = [k * 2654435761 for k in range(5000)] + [k * 2654435761 for k in range(0, 5000, 7)]
+    rows = spark.createDataFrame([(v,) for v in values], "v bigint").repartition(3)
+    finder = lambda: lambda batch: iter([batch.column("v").to_numpy().view(np.uint64)])
+    own = np.array(values[:5000], np.int64).view(np.uint64)
+    found = [repeat_sketch(rows, finder, 16, slices).may_repeat(own) for slices in (64, 512)]
+    assert (found[0] == found[1]).all() and found[0][::7].all() and found[0].mean() < 0.3
