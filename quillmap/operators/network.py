@@ -261,6 +261,18 @@ def shared_papers(groups: DataFrame, links: DataFrame, min_owners: int = 2) -> D
     )
 
 
+def shared_papers_of(pairs: DataFrame, links: DataFrame, papers: DataFrame) -> DataFrame:
+    """(focal_id, author_id, paper columns, rank): the papers that both authors of each pair wrote, most cited first.
+
+    Walks from the pairs: papers of the focal author, then those that the other one wrote, too.
+    """
+    asked = durable(pairs.select("focal_id", "author_id").distinct())
+    own = links.select(F.col("author_id").alias("focal_id"), "paper_id").join(broadcast_if_small(asked), "focal_id")
+    both = links.select("author_id", "paper_id").join(broadcast_if_small(own), ["author_id", "paper_id"]).distinct()
+    held = papers.join(broadcast_if_small(both.withColumnRenamed("paper_id", "openalex_id")), "openalex_id")
+    return exact_rank(held, ["focal_id", "author_id"], [F.desc("citation_count"), F.col("openalex_id")])
+
+
 def solo_papers(groups: DataFrame, links: DataFrame) -> DataFrame:
     """(group_id, author_id, paper_id): papers of one selected author only."""
     both = shared_papers(groups, links).select("group_id", "paper_id")

@@ -165,3 +165,25 @@ def alignment_check(papers: DataFrame, vectors: DataFrame, paper_key: str, vecto
     lost = p.join(v, "id", "left_anti").select(F.lit("paper_without_vector").alias("side"), "id")
     extra = v.join(p, "id", "left_anti").select(F.lit("vector_without_paper").alias("side"), "id")
     return lost.unionByName(extra)
+
+
+def author_sketches(links: DataFrame, per: str = "publication_year", bits: int = 16) -> DataFrame:
+    """(per, n_links, sketch): links and a sketch of the distinct authors of each year; at most 2^bits bytes a row.
+
+    Stored beside the links, they answer distinct counts over any years without another pass.
+    """
+    return links.groupBy(per).agg(F.count(F.lit(1)).alias("n_links"), F.hll_sketch_agg("author_id", F.lit(bits)).alias("sketch"))
+
+
+def merge_sketches(*tables: DataFrame, per: str = "publication_year") -> DataFrame:
+    """Sketches of several batches as one table, as if all links had come at once."""
+    rows = tables[0]
+    for table in tables[1:]:
+        rows = rows.unionByName(table)
+    return rows.groupBy(per).agg(F.sum("n_links").alias("n_links"), F.hll_union_agg("sketch").alias("sketch"))
+
+
+def distinct_authors_by_sketch(sketches: DataFrame, per: str | None = None) -> DataFrame:
+    """(per, n_links, n_authors): about how many distinct authors, per value or over all rows."""
+    counts = [F.sum("n_links").alias("n_links"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_authors")]
+    return sketches.groupBy(per).agg(*counts) if per else sketches.agg(*counts)

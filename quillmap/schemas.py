@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Field names of the data model.
 # One raw work record per JSON line; only the fields that are read.
 RAW_WORK = """
     id string, doi string, title string, abstract string,
     abstract_inverted_index map<string, array<int>>,
     publication_year int, publication_date string, language string, type string,
     cited_by_count int, is_retracted boolean, referenced_works_count int,
+    referenced_works array<string>,
     corresponding_author_ids array<string>,
     primary_location struct<
         landing_page_url: string,
