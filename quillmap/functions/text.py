@@ -133,9 +133,9 @@ def cache_key(stream: Column, keyword: Column, journal: Column) -> Column:
     return F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12)
 
 
-def author_list(names: Column, most: int = 10, sep: str = "; ") -> Column:
-    """First names of a list, joined."""
-    return F.array_join(F.slice(names, 1, most), sep, "")
+def author_list(names: Column, most: int | None = 10, sep: str = "; ") -> Column:
+    """First names of a list, or all of them if ``most`` is None, joined."""
+    return F.array_join(F.slice(names, 1, most) if most else names, sep, "")
 
 
 def split_tags(tags: Column, sep: str = "; ") -> Column:

@@ -79,21 +79,23 @@ def find_authors(
 
 
 def author_texts(
-    links: DataFrame, papers: DataFrame, abstract_chars: int = 300, chunk_papers: int = 1000
+    links: DataFrame, papers: DataFrame, abstract_chars: int | None = 300, chunk_papers: int = 1000
 ) -> DataFrame:
     """(author_id, chunk, n_papers, text): an author's papers, most cited first, as running text.
 
-    Each paper adds ``title. abstract`` with the abstract cut to a length. An author may have any
+    Each paper adds ``title. abstract`` with the abstract cut to a length (None: whole). An author may have any
     number of papers, so the text comes in chunks of at most ``chunk_papers`` papers; the chunks in
     order, joined by a blank, are the whole text.
     """
-    part = F.concat(
-        F.coalesce("title", F.lit("")), F.lit(". "), truncate_text(F.col("abstract"), abstract_chars, "")
-    )
-    rows = author_papers(links, papers).select("author_id", "openalex_id", "citation_count", part.alias("part"))
-    ranked = exact_rank(rows, ["author_id"], [F.desc("citation_count"), F.col("openalex_id")])
+    whole = F.coalesce("abstract", F.lit(""))
+    short = truncate_text(F.col("abstract"), abstract_chars, "") if abstract_chars else whole
+    part = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), short)
+    # ids are ranked and placed alone; the text joins them once
+    order = [F.desc("citation_count"), F.col("openalex_id")]
+    ranked = exact_rank(author_papers(links, papers).select("author_id", "openalex_id", "citation_count"), ["author_id"], order)
+    told = papers.select("openalex_id", part.alias("part"))
     return (
-        ranked.withColumn("chunk", F.floor((F.col("rank") - 1) / chunk_papers).cast("int"))
+        ranked.join(told, "openalex_id").withColumn("chunk", F.floor((F.col("rank") - 1) / chunk_papers).cast("int"))
         .groupBy("author_id", "chunk")
         .agg(F.count(F.lit(1)).alias("n_papers"), F.array_sort(F.collect_list(F.struct("rank", "part"))).alias("p"))
         .select(

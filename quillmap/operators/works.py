@@ -96,8 +96,9 @@ def filter_subject(
     min_abstract: int = 50,
     doc_type: str = "article",
     tiers: DataFrame | None = None,
+    author_names: int | None = 10,
 ) -> DataFrame:
-    """Papers of the target subfields with a usable abstract.
+    """Papers of the target subfields with a usable abstract; ``author_names`` None: all names.
 
     The abstract is rebuilt only for rows that pass the cheap tests. ``subfield`` is the primary
     one, ``matched_subfield`` the one that led to the match.
@@ -115,7 +116,7 @@ def filter_subject(
             F.col("publication_year").alias("year"),
             _text("primary_location.source.display_name").alias("journal"),
             _text("doi").alias("doi"),
-            _author_names().alias("authors"),
+            _author_names(author_names).alias("authors"),
             F.col("matched_subfield").alias("streams"),
             _text("primary_topic.field.display_name").alias("field"),
             _text("primary_topic.subfield.display_name").alias("subfield"),
@@ -127,15 +128,15 @@ def filter_subject(
     return add_journal_tier(papers, tiers, journal="journal")
 
 
-def _author_names() -> Column:
+def _author_names(most: int | None) -> Column:
     names = F.transform(
         "authorships", lambda a: F.coalesce(a["author"]["display_name"], F.lit(""))
     )
-    return F.coalesce(author_list(names), F.lit(""))
+    return F.coalesce(author_list(names, most), F.lit(""))
 
 
-def project_papers(works_raw: DataFrame, stream: str = "") -> DataFrame:
-    """Work records in the paper schema; title-only works stay, at most ten author names."""
+def project_papers(works_raw: DataFrame, stream: str = "", author_names: int | None = 10) -> DataFrame:
+    """Work records in the paper schema; title-only works stay; ``author_names`` None: all names."""
     abstract = F.when(_text("abstract") != "", F.col("abstract")).otherwise(
         rebuild_abstract(F.col("abstract_inverted_index"))
     )
@@ -147,7 +148,7 @@ def project_papers(works_raw: DataFrame, stream: str = "") -> DataFrame:
         F.coalesce("publication_year", F.lit(0)).alias("year"),
         _text("primary_location.source.display_name").alias("journal"),
         _text("doi").alias("doi"),
-        _author_names().alias("authors"),
+        _author_names(author_names).alias("authors"),
         F.lit(stream).alias("streams"),
         _text("id").alias("openalex_url"),
     ).where((F.col("abstract") != "") | (F.col("title") != ""))

@@ -164,12 +164,12 @@ def _paper_clusters(n: Column) -> Column:
     return F.greatest(F.lit(PAPER_CLUSTERS[0]), F.least(F.lit(PAPER_CLUSTERS[1]), F.floor(F.sqrt(n / 2)).cast("int")))
 
 
-def author_text_vectors(links: DataFrame, papers: DataFrame, **encoder) -> DataFrame:
-    """(author_id, embedding) from the running text of all papers of an author.
+def author_text_vectors(links: DataFrame, papers: DataFrame, abstract_chars: int | None = 300, **encoder) -> DataFrame:
+    """(author_id, embedding) from the running text of all papers of an author; abstract_chars None: whole abstracts.
 
     Long texts come in chunks; their vectors are averaged with the number of papers as weight.
     """
-    chunks = durable(au.author_texts(links, papers)).withColumn(
+    chunks = durable(au.author_texts(links, papers, abstract_chars)).withColumn(
         "_key", F.concat_ws("/", F.col("author_id").cast("string"), F.col("chunk").cast("string"))
     )
     embedded = embed_texts(chunks, "_key", "text", **encoder).select(
@@ -184,7 +184,7 @@ def author_text_vectors(links: DataFrame, papers: DataFrame, **encoder) -> DataF
 
 
 def build_ego_map(
-    focals: DataFrame, links: DataFrame, papers: DataFrame, authors: DataFrame, **encoder
+    focals: DataFrame, links: DataFrame, papers: DataFrame, authors: DataFrame, abstract_chars: int | None = 300, **encoder
 ) -> tuple[DataFrame, DataFrame]:
     """(people, edges) of the focal authors' networks with positions in a space of each focal author's own.
 
@@ -204,7 +204,7 @@ def build_ego_map(
         .unionByName(layer2.select("focal_id", "author_id", F.lit(2).alias("layer")))
     )
     known = people.select("author_id").distinct()
-    vectors = durable(author_text_vectors(links.join(known, "author_id", "left_semi"), papers, **encoder))
+    vectors = durable(author_text_vectors(links.join(known, "author_id", "left_semi"), papers, abstract_chars, **encoder))
     spread = people.select("focal_id", "author_id").distinct().join(vectors, "author_id")
     coords = durable(keyed.project_2d_by(spread, "focal_id", "author_id"))
     edges = durable(network.ego_edges(layer1, circle, layer2, hops, links))

@@ -7,9 +7,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmap.functions.text import STOP_WORDS
 from quillmap.functions.vectors import l2_norm
 from quillmap.operators import clustering as cl
 from quillmap.operators import embedding as em
+from quillmap.operators import keyed
 from quillmap.operators import labels as lb
 from quillmap.operators import terms as tm
 from quillmap.operators import territory as te
@@ -17,7 +19,8 @@ from quillmap.operators.quality import alignment_check
 from quillmap.operators.sampling import sqrt_quotas, stratified_sample
 from quillmap.operators.works import filter_high_impact
 from quillmap.plans import maps
-from quillmap.registry.base import Tables, query, r6
+from quillmap.registry import network  # noqa: F401  its checks are parts of those of the jobs
+from quillmap.registry.base import ORACLES, Tables, query, r6
 from quillmap.session import durable
 
 QUOTA = """
@@ -352,81 +355,180 @@ def density_cluster(t: Tables) -> DataFrame:
     return cl.density_cluster(t.points, 0.02)
 
 
-# --- models and jobs: rows only -----------------------------------------------------------------------
+# --- models and jobs -------------------------------------------------------------------------------
+# SQL cannot follow a fitted model, but it can say which rows a job must return, and each row carries tests of
+# what the model must hold: places that are numbers, axes that are principal, clusters that are nearest, names that differ.
 
 
-@query("project_2d")
-def project_2d(t: Tables) -> DataFrame:
-    return em.project_2d(t.vectors).select("openalex_id", *r6("x", "y"))
+def _placed() -> F.Column:
+    return ~(F.isnan("x") | F.isnan("y")) & F.col("x").isNotNull() & F.col("y").isNotNull()
+
+
+def _named(mapped: DataFrame, keys: list[str]) -> DataFrame:
+    """The map with ``named``: every cluster has one label that is not blank, and no two have the same one."""
+    labels = mapped.groupBy(*keys, "cluster_id").agg(F.min("cluster_label").alias("a"), F.max("cluster_label").alias("b"))
+    one = (F.col("a") == F.col("b")) & (F.trim("a") != "")
+    sound = labels.groupBy(*keys).agg((F.min(one) & (F.countDistinct("a") == F.count(F.lit(1)))).alias("named"))
+    return mapped.join(F.broadcast(sound), keys) if keys else mapped.crossJoin(F.broadcast(sound))
+
 
+def _near_share(rows: DataFrame, id: str, found: DataFrame) -> DataFrame:
+    """(id, cluster_id, near): whether 95 of 100 rows lie in the cluster whose mean is nearest; rows has ``embedding``."""
+    held = durable(rows.select(id, F.col("embedding").cast("array<double>").alias("v")).join(found.select(id, "cluster_id"), id))
+    means = held.groupBy("cluster_id").agg(vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("m"))
+    far = lambda m: F.aggregate(F.zip_with("v", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y)
+    # at most 200 means
+    table = means.agg(F.collect_list(F.struct("cluster_id", "m")).alias("all"))
+    tested = held.crossJoin(F.broadcast(table)).select(
+        id, "cluster_id",
+        F.array_min(F.transform("all", lambda c: far(c["m"]))).alias("least"),
+        far(F.filter("all", lambda c: c["cluster_id"] == F.col("cluster_id"))[0]["m"]).alias("own"))
+    share = tested.agg((F.avg((F.col("own") <= F.col("least") + 1e-9).cast("int")) >= 0.95).alias("near"))
+    return tested.select(id, "cluster_id").crossJoin(F.broadcast(share))
 
-@query("cluster_papers")
+
+@query("project_2d", "", "SELECT vec_id AS openalex_id, TRUE AS placed, TRUE AS principal FROM embeddings")
+def project_2d(t: Tables) -> DataFrame:
+    """Means and covariance are zero, the first axis has the greater variance, and no single component has more."""
+    points = durable(em.project_2d(t.vectors))
+    v = t.vectors.select(F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "e"))
+    most = v.groupBy("k").agg(F.var_pop("e").alias("v")).agg(F.max("v").alias("most"))
+    near0 = lambda c: F.abs(c) < 1e-6
+    held = points.agg((near0(F.avg("x")) & near0(F.avg("y")) & near0(F.covar_pop("x", "y")) & (F.var_pop("x") >= F.var_pop("y"))).alias("centred"), F.var_pop("x").alias("vx"))
+    sound = held.crossJoin(most).select((F.col("centred") & (F.col("vx") >= F.col("most") - 1e-9)).alias("principal"))
+    return points.crossJoin(F.broadcast(sound)).select("openalex_id", _placed().alias("placed"), "principal")
+
+
+@query("cluster_papers", "", """
+    SELECT vec_id AS openalex_id, TRUE AS placed, TRUE AS in_range, TRUE AS near FROM embeddings""")
 def cluster_papers(t: Tables) -> DataFrame:
-    return cl.cluster_papers(t.vectors)
+    found = durable(cl.cluster_papers(t.vectors))
+    k = cl.paper_cluster_count(found.count())
+    near = _near_share(t.vectors, "openalex_id", found).drop("cluster_id")
+    return found.join(near, "openalex_id").select("openalex_id", _placed().alias("placed"), F.col("cluster_id").between(0, k - 1).alias("in_range"), "near")
 
 
-@query("cluster_authors")
+@query("cluster_authors", "fx_authors", """
+    SELECT author_id, TRUE AS placed, TRUE AS in_range, TRUE AS near FROM fx_authors""")
 def cluster_authors(t: Tables) -> DataFrame:
-    vectors = em.embed_texts(t.authors.withColumn("text", F.concat_ws(" ", "name", "institution")), "author_id", "text")
-    return cl.cluster_authors(durable(vectors))
+    vectors = durable(em.embed_texts(t.authors.withColumn("text", F.concat_ws(" ", "name", "institution")), "author_id", "text"))
+    found = durable(cl.cluster_authors(vectors))
+    k = cl.author_cluster_count(found.count())
+    near = _near_share(vectors, "author_id", found).drop("cluster_id")
+    return found.join(near, "author_id").select("author_id", _placed().alias("placed"), F.col("cluster_id").between(0, k - 1).alias("in_range"), "near")
 
 
-@query("cluster_hierarchy")
-def cluster_hierarchy(t: Tables) -> DataFrame:
-    return cl.cluster_hierarchy(t.points)
+LEVELS = """
+    levels AS (SELECT n, greatest(3, least(8, CAST(floor(pow(n, 0.33)) AS INT))) AS coarse,
+                      greatest(8, least(30, CAST(floor(sqrt(n) / 2) AS INT))) AS fine FROM (SELECT count(*) AS n FROM embeddings))"""
 
 
-@query("embed_texts")
+def _levels(t: Tables) -> DataFrame:
+    """Two nested levels of all points as one map."""
+    return durable(keyed.hierarchy_by(t.points.withColumn("map", F.lit(0)), "map").drop("map"))
+
+
+@query("cluster_hierarchy", "", f"""
+    SELECT * FROM (WITH {LEVELS} SELECT vec_id AS openalex_id, CAST(coarse AS BIGINT) AS n_coarse, CAST(greatest(fine, coarse + 2) AS BIGINT) AS n_fine,
+                          TRUE AS nested, TRUE AS told FROM embeddings, levels)""")
+def cluster_hierarchy(t: Tables) -> DataFrame:
+    """All numbers of clusters are exact, every fine cluster has one parent, and single ones are told."""
+    rows = _levels(t)
+    parents = rows.groupBy("fine_id").agg(F.countDistinct("coarse_id").alias("p"))
+    only = rows.groupBy("coarse_id").agg(((F.countDistinct("fine_id") == 1) == F.max("only_child")).alias("told"))
+    counts = rows.agg(F.countDistinct("coarse_id").alias("n_coarse"), F.countDistinct("fine_id").alias("n_fine"))
+    sound = counts.crossJoin(parents.agg((F.max("p") == 1).alias("nested"))).crossJoin(only.agg(F.min("told").alias("told")))
+    return rows.select("openalex_id").crossJoin(F.broadcast(sound))
+
+
+@query("embed_texts", "", r"""
+    SELECT doc_id, CAST(64 AS INT) AS dim, 'hashing' AS model, md5(text) AS text_hash,
+           CASE WHEN len(list_filter(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+'), lambda t: NOT list_contains(@stop, t))) > 0
+           THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents""".replace("@stop", str(list(STOP_WORDS))))
 def embed_texts(t: Tables) -> DataFrame:
     vectors = em.embed_texts(t.raw("documents"), "doc_id", "text")
     return vectors.select("doc_id", "dim", "model", F.round(l2_norm(F.col("embedding")), 3).alias("norm"), "text_hash")
 
 
-@query("build_worldmap")
+HIGH_WORKS = "(SELECT * FROM fx_works WHERE type = 'article' AND cited_by_count >= 400 AND field <> '' AND title <> '')"
+
+
+@query("build_worldmap", "fx_works", f"""
+    SELECT openalex_id, field, TRUE AS placed, TRUE AS named FROM (
+        SELECT d.openalex_id, d.field, q.quota, row_number() OVER (PARTITION BY d.field ORDER BY md5('42|' || CAST(d.openalex_id AS VARCHAR)), d.openalex_id) AS pos
+        FROM {HIGH_WORKS} d JOIN ({QUOTA.format(s='field', floor=20, target=400, table=HIGH_WORKS)}) q ON q.stratum = d.field) WHERE pos <= quota""")
 def build_worldmap(t: Tables) -> DataFrame:
-    return maps.build_worldmap(t.works, 400, 400, 20).select(
-        "openalex_id", "field", "x", "y", "cluster_id", "cluster_label", "topic_words")
+    mapped = durable(maps.build_worldmap(t.works, 400, 400, 20))
+    return _named(mapped, []).select("openalex_id", "field", _placed().alias("placed"), "named")
 
 
-@query("build_landscape")
+@query("build_landscape", "fx_docs", "SELECT openalex_id, TRUE AS placed, TRUE AS named FROM fx_docs")
 def build_landscape(t: Tables) -> DataFrame:
     docs = t.search_docs.withColumn("topic", F.concat_ws("/", "journal_tier", "journal"))
-    return maps.build_landscape(docs).select("openalex_id", "x", "y", "cluster_id", "cluster_label", "topic_words")
+    return _named(durable(maps.build_landscape(docs)), []).select("openalex_id", _placed().alias("placed"), "named")
 
 
-@query("build_landscape_density")
+@query("build_landscape_density", "fx_docs", "SELECT openalex_id, TRUE AS placed, TRUE AS named FROM fx_docs")
 def build_landscape_density(t: Tables) -> DataFrame:
     docs = t.search_docs.withColumn("topic", F.concat_ws("/", "journal_tier", "journal"))
     mapped = maps.build_landscape(docs, method="density", eps=0.05)
-    return mapped.select("openalex_id", "x", "y", "cluster_id", "cluster_label", "topic_words")
+    return _named(durable(mapped), []).select("openalex_id", _placed().alias("placed"), "named")
 
 
-@query("build_author_map")
+@query("build_author_map", "fx_authors fx_links", """
+    SELECT author_id, name, institution, paper_count, total_citations, TRUE AS placed, TRUE AS labelled FROM fx_authors
+    WHERE author_id IN (SELECT author_id FROM fx_links GROUP BY 1 HAVING count(*) >= 3)""")
 def build_author_map(t: Tables) -> DataFrame:
     vectors = em.embed_texts(t.papers.withColumn("text", F.concat_ws(" ", "title", "topic")), "openalex_id", "text")
-    return maps.build_author_map(t.links, t.papers, vectors.select("openalex_id", "embedding"), t.authors)
+    mapped = maps.build_author_map(t.links, t.papers, vectors.select("openalex_id", "embedding"), t.authors)
+    return mapped.select("author_id", "name", "institution", "paper_count", "total_citations", _placed().alias("placed"), (F.trim("cluster_label") != "").alias("labelled"))
 
 
-@query("compare_authors")
+@query("compare_authors", "fx_groups fx_slinks", """
+    SELECT g.group_id, l.paper_id AS openalex_id, arg_min(g.author_id, g.seq) AS owner_id, count(*) >= 2 AS shared, TRUE AS placed, TRUE AS named
+    FROM fx_groups g JOIN fx_slinks l ON l.author_id = g.author_id GROUP BY 1, 2""")
 def compare_authors(t: Tables) -> DataFrame:
     points, _ = maps.compare_authors(t.groups, t.slinks, t.papers)
-    return points.select("group_id", "openalex_id", "owner_id", "shared", "x", "y", "cluster_id", "cluster_label")
+    return _named(durable(points), ["group_id"]).select("group_id", "openalex_id", "owner_id", "shared", _placed().alias("placed"), "named")
 
 
-@query("build_ego_map")
+@query("build_ego_map", "", f"SELECT *, TRUE AS placed FROM ({ORACLES['ego_edges']})")
 def build_ego_map(t: Tables) -> DataFrame:
+    """The edges of the map are those of the network, and both ends have the places of the people."""
     texts = t.papers.join(t.docs.select("openalex_id", "abstract"), "openalex_id", "left")
-    return maps.build_ego_map(t.focals, t.links, texts, t.authors)[1]
-
-
-@query("describe_hierarchy")
+    people, edges = maps.build_ego_map(t.focals, t.links, texts, t.authors)
+    place = durable(people.select("focal_id", "author_id", "x", "y").distinct())
+    ends = edges
+    for end, x, y in (("src", "x0", "y0"), ("dst", "x1", "y1")):
+        own = place.select("focal_id", F.col("author_id").alias(end), F.col("x").alias(f"_{x}"), F.col("y").alias(f"_{y}"))
+        ends = ends.join(own, ["focal_id", end], "left")
+    same = [(F.col(c) == F.col(f"_{c}")) & ~F.isnan(c) for c in ("x0", "y0", "x1", "y1")]
+    return ends.select("focal_id", "kind", "src", "dst", "weight", F.coalesce(same[0] & same[1] & same[2] & same[3], F.lit(False)).alias("placed"))
+
+
+@query("describe_hierarchy", "fx_docs", f"""
+    SELECT * FROM (WITH {LEVELS} SELECT level, CAST(clusters AS BIGINT) AS clusters, papers, TRUE AS named, TRUE AS inside FROM (
+        SELECT 'coarse' AS level, coarse AS clusters FROM levels UNION ALL SELECT 'fine', greatest(fine, coarse + 2) FROM levels),
+        (SELECT count(*) AS papers FROM embeddings JOIN fx_docs ON openalex_id = vec_id))""")
 def describe_hierarchy(t: Tables) -> DataFrame:
+    """Clusters and papers of both levels, all with names, and fine clusters only inside coarse ones that are described."""
     docs = t.search_docs.withColumn("topic", F.concat_ws("/", "journal_tier", "journal"))
-    points = durable(t.points)
-    levels = durable(cl.cluster_hierarchy(points))
-    return maps.describe_hierarchy(docs, levels, points)
+    rows = durable(maps.describe_hierarchy(docs, _levels(t), durable(t.points)))
+    coarse = rows.where("level = 'coarse'").select(F.col("cluster_id").alias("parent_id"), F.lit(True).alias("_in"))
+    joined = rows.join(coarse, "parent_id", "left")
+    return joined.groupBy("level").agg(
+        F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("papers"), F.min(F.trim("label") != "").alias("named"),
+        F.min((F.col("level") == "coarse") | F.coalesce("_in", F.lit(False))).alias("inside"))
 
 
-@query("build_trajectories")
+@query("build_trajectories", "", f"SELECT *, TRUE AS placed, TRUE AS in_tree FROM ({ORACLES['territory_papers']})")
 def build_trajectories(t: Tables) -> DataFrame:
-    return maps.build_trajectories(t.focals, t.links, t.papers, t.authors)[2]
+    """All papers of the territories have places and clusters, and every own paper but the first of all is reached once."""
+    placed, _, edges = maps.build_trajectories(t.focals, t.links, t.papers, t.authors)
+    placed = durable(placed)
+    reached = durable(edges).groupBy("focal_id", F.col("to_id").alias("openalex_id")).agg(F.count(F.lit(1)).alias("times"))
+    own = placed.where(F.col("owner_id") == F.col("focal_id")).select("focal_id", "openalex_id").join(reached, ["focal_id", "openalex_id"], "left")
+    once = own.groupBy("focal_id").agg((F.coalesce(F.max("times"), F.lit(1)) <= 1).alias("once"))
+    tested = placed.join(once, "focal_id", "left")
+    known = F.col("coarse_id").isNotNull() & F.col("fine_id").isNotNull()
+    return tested.select("focal_id", "openalex_id", "owner_id", (_placed() & known).alias("placed"), F.coalesce("once", F.lit(True)).alias("in_tree"))

@@ -14,8 +14,9 @@ def normalize_alt_source(
     stream: str = "",
     journals: DataFrame | None = None,
     prefix: str = "s2:",
+    author_names: int | None = 10,
 ) -> DataFrame:
-    """Second-source records in the paper schema.
+    """Second-source records in the paper schema; ``author_names`` None: all names.
 
     Records without abstract are dropped. ``journals(name)`` is an optional allow-list, compared
     without case.
@@ -30,7 +31,7 @@ def normalize_alt_source(
         journal.alias("journal"),
         doi_url(F.col("externalIds.DOI")).alias("doi"),
         F.coalesce(
-            author_list(F.transform("authors", lambda a: F.coalesce(a["name"], F.lit("")))), F.lit("")
+            author_list(F.transform("authors", lambda a: F.coalesce(a["name"], F.lit(""))), author_names), F.lit("")
         ).alias("authors"),
         F.lit(stream).alias("streams"),
     )
