@@ -30,6 +30,7 @@ HEADLINE = [
     "trajectory_edges",
     "tfidf_terms",
     "kde_grid",
+    "kde_grid_200",
     "cluster_papers",
 ]
 

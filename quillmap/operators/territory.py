@@ -118,7 +118,8 @@ def kde_grid(
     min_points or a singular covariance are left out. Every point enters by itself, whatever the size
     of its group: the work is linear in the points, a group is dealt to ``spread`` tasks, and a task
     adds up whole grids without a row per point and cell. With ``binned`` the points are first
-    counted per nearest grid cell, for all groups alike, and the work no longer grows with the points.
+    counted per nearest grid cell, for all groups alike, and the counts of each group are convolved with its
+    kernel once: the counting combines before the shuffle, and the rest no longer grows with the points.
     """
     # four numbers, needed as constants for the grid
     e = map_extent(points, pad).first()
@@ -139,14 +140,11 @@ def kde_grid(
         (-F.col("c") * h / F.col("det")).alias("ixy"),
         (F.col("n") * 2 * math.pi * F.sqrt("det")).alias("scale"),
     )
-    near = lambda v, low, step: F.when(F.lit(step) > 0, F.round((v - low) / (step or 1.0))).otherwise(0).cast("int")
-    support = points.select(group, F.col("x").alias("px"), F.col("y").alias("py"), F.lit(1).cast("long").alias("w"))
     if binned:
-        support = (
-            points.groupBy(group, near(F.col("x"), e["x_min"], step_x).alias("i"), near(F.col("y"), e["y_min"], step_y).alias("j"))
-            .agg(F.count(F.lit(1)).alias("w"))
-            .select(group, at_x(F.col("i")).alias("px"), at_y(F.col("j")).alias("py"), "w")
+        return _binned_grid(points, kernel, group, bins, e, step_x, step_y).select(
+            group, "gx", "gy", at_x(F.col("gx")).alias("x"), at_y(F.col("gy")).alias("y"), "density"
         )
+    support = points.select(group, F.col("x").alias("px"), F.col("y").alias("py"), F.lit(1).cast("long").alias("w"))
     dealt = support.join(broadcast_if_small(kernel), group).repartition(
         F.col(group), F.pmod(F.xxhash64("px", "py"), F.lit(spread))
     )
@@ -165,6 +163,28 @@ def kde_grid(
     )
 
 
+def _binned_grid(points: DataFrame, kernel: DataFrame, group: str, bins: int, extent, step_x: float, step_y: float) -> DataFrame:
+    """(group, gx, gy, density) from counts per cell; a group has at most bins * bins of them, whatever its points."""
+    near = lambda v, low, step: F.when(F.lit(step) > 0, F.round((v - low) / (step or 1.0))).otherwise(0).cast("int")
+    counts = points.groupBy(
+        group, near(F.col("x"), extent["x_min"], step_x).alias("i"), near(F.col("y"), extent["y_min"], step_y).alias("j")
+    ).agg(F.count(F.lit(1)).alias("w"))
+    offsets = (np.arange(2 * bins) + bins) % (2 * bins) - bins  # 0, 1, ..., -2, -1: a kernel laid round the corner
+    dx, dy = offsets[None, :] * step_x, offsets[:, None] * step_y
+    gy, gx = np.divmod(np.arange(bins * bins, dtype=np.int32), bins)
+
+    def convolve(own: pd.DataFrame) -> pd.DataFrame:
+        k = own.iloc[0]
+        held = np.zeros((2 * bins, 2 * bins))
+        held[own["j"].to_numpy(), own["i"].to_numpy()] = own["w"].to_numpy()
+        bell = np.exp(-(dx * dx * k["ixx"] + 2 * dx * dy * k["ixy"] + dy * dy * k["iyy"]) / 2) / k["scale"]
+        out = np.fft.irfft2(np.fft.rfft2(held) * np.fft.rfft2(bell), held.shape)[:bins, :bins]
+        return pd.DataFrame({group: k[group], "gx": gx, "gy": gy, "density": np.maximum(out, 0.0).ravel()})
+
+    kind = dict(points.dtypes)[group]
+    return counts.join(kernel, group).groupBy(group).applyInPandas(convolve, f"{group} {kind}, gx int, gy int, density double")
+
+
 def _grid_sums(group: str, xs: np.ndarray, ys: np.ndarray, held: int = 64, block: int = 64):
     """Task: sum of the kernels of its points on the whole grid, one row per group; at most ``held`` grids at a time."""
 

@@ -315,6 +315,13 @@ def kde_grid_binned(t: Tables) -> DataFrame:
     return te.kde_grid(t.points, bins=20, binned=True).select("territory", "gx", "gy", *r6("density"))
 
 
+@query("kde_grid_200", "fx_points", f"""
+    SELECT * FROM (WITH {BINNED.replace("/ 19", "/ 199").replace("range(400)", "range(40000)").replace("g.i % 20", "g.i % 200").replace("g.i // 20", "g.i // 200")}
+    SELECT territory, gx, gy, round(density, 6) AS density FROM grid)""")
+def kde_grid_200(t: Tables) -> DataFrame:
+    return te.kde_grid(t.points, binned=True).select("territory", "gx", "gy", *r6("density"))
+
+
 @query("territory_cells", "fx_points", f"""
     SELECT * FROM (WITH {EXACT},
     win AS (SELECT gx, gy, arg_max(territory, {{'d': density, 't': territory}}) AS territory, max(density) AS density FROM grid GROUP BY 1, 2)
