@@ -10,6 +10,7 @@ from quillmap.operators import citations as ct
 from quillmap.operators import lookup
 from quillmap.operators import network as nw
 from quillmap.operators import quality
+from quillmap.operators import vector_index as vi
 from quillmap.registry.base import Tables, query, r6
 from quillmap.session import durable, scratch_path
 
@@ -143,3 +144,34 @@ def vector_similarity(t: Tables) -> DataFrame:
     following = own.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("next_id"), F.col("a").alias("b"))
     both = own.join(following, "vec_id")
     return both.select("vec_id", "next_id", F.round(dot(F.col("a"), F.col("b")), 6).alias("dot"), F.round(cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
+
+
+NEAREST = """
+    u AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    near AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_cosine_similarity(q.v, c.v) AS score,
+                    CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, c.v), 12) DESC, c.vec_id) AS INT) AS rank
+             FROM u q JOIN u c ON c.vec_id <> q.vec_id WHERE q.vec_id % 10 = 3)"""
+
+
+def _asked(t: Tables) -> DataFrame:
+    return t.vectors.where("openalex_id % 10 = 3").withColumnRenamed("openalex_id", "query_id")
+
+
+@query("vector_search_exact", "", f"""
+    SELECT * FROM (WITH {NEAREST} SELECT query_id, rank, id, round(score, 6) AS score FROM near WHERE rank <= 10)""")
+def vector_search_exact(t: Tables) -> DataFrame:
+    index = vi.store_vector_index(t.vectors, scratch_path(t.spark, "vectors"))
+    return vi.search_vectors(index, _asked(t), 10, vi.MOST_CELLS, True).select("query_id", "rank", "id", *r6("score"))
+
+
+@query("vector_search", "", """
+    SELECT vec_id AS query_id, CAST(10 AS BIGINT) AS n, TRUE AS pruned, TRUE AS good FROM embeddings WHERE vec_id % 10 = 3""")
+def vector_search(t: Tables) -> DataFrame:
+    """Three of four cells are read, as these vectors lie evenly; nine of ten of the exact neighbours are found."""
+    index = vi.store_vector_index(t.vectors, scratch_path(t.spark, "vectors"))
+    cells = index[1].count()
+    found = durable(vi.search_vectors(index, _asked(t), 10, 3 * cells // 4, True))
+    exact = vi.search_vectors(index, _asked(t), 10, cells, True).select("query_id", "id", F.lit(1).alias("hit"))
+    counts = found.join(exact, ["query_id", "id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"))
+    recall = counts.agg((F.avg("hits") >= 9).alias("good"))
+    return counts.crossJoin(F.broadcast(recall)).select("query_id", "n", F.lit(3 * cells // 4 < cells).alias("pruned"), "good")

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from quillmap.operators import authors as au
 from quillmap.operators import citations as ct
-from quillmap.operators import lookup, network, quality
+from quillmap.operators import lookup, network, quality, vector_index
+from quillmap.operators.embedding import embed_texts
 
 
 def test_names_by_parts(spark, tmp_path):
@@ -79,3 +80,35 @@ def test_shared_papers_and_whole_texts(spark):
     text = lambda n: {r["author_id"]: r["text"] for r in au.author_texts(links, papers, n).collect()}
     assert text(None)[1] == "U.  T. " + "x" * 400 + " V. y"
     assert text(300)[1] == "U.  T. " + "x" * 300 + " V. y"
+
+
+def test_vector_index(spark, tmp_path):
+    import random
+
+    r = random.Random(2)
+    centres = [[r.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    rows = [(k, [c + r.gauss(0, 0.2) for c in centres[k % 6]]) for k in range(240)]
+    rows += [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, rows[5][1]), (904, [float("inf")] + [1.0] * 7)]
+    vectors = spark.createDataFrame(rows, "openalex_id int, embedding array<float>")
+    index = vector_index.store_vector_index(vectors, str(tmp_path / "a"), cells=6)
+    assert index[0].count() == 241 and index[1].count() == 6
+    queries = vectors.where("openalex_id in (5, 17, 900, 902)").withColumnRenamed("openalex_id", "query_id")
+    unit = {k: [x / sum(y * y for y in v) ** 0.5 for x in v] for k, v in rows if v and k not in (901, 902, 904)}
+    want = {}
+    for q in (5, 17):
+        scored = sorted((-round(sum(a * b for a, b in zip(unit[q], u)), 6), k) for k, u in unit.items() if k != q)
+        want[q] = [k for _, k in scored[:7]]
+    for probes in (6, 2):  # the clusters are far apart: two cells hold all neighbours
+        got = {}
+        for x in vector_index.search_vectors(index, queries, 7, probes, True).orderBy("query_id", "rank").collect():
+            got.setdefault(x["query_id"], []).append(x["id"])
+        assert got == want
+    read = vector_index.nearest_cells(index, queries.where("query_id = 5").selectExpr("query_id", "cast(embedding as array<double>) q"), 1)
+    assert read.count() == 1
+    none = vector_index.store_vector_index(vectors.where("false"), str(tmp_path / "b"))
+    assert vector_index.search_vectors(none, queries).count() == 0
+    texts = spark.createDataFrame([(1, "red apple pie"), (2, "blue steel bridge"), (3, "apple pie with cream")], "openalex_id int, text string")
+    held = vector_index.store_vector_index(embed_texts(texts, "openalex_id", "text"), str(tmp_path / "c"), cells=2)
+    asked = spark.createDataFrame([(7, "apple pie"), (8, "steel")], "query_id int, text string")
+    first = {x["query_id"]: x["id"] for x in vector_index.semantic_search(held, asked, 1, 2).collect()}
+    assert first == {7: 1, 8: 2}
