@@ -22,7 +22,7 @@ def cell_count(n: int) -> int:
     return max(1, min(MOST_CELLS, int(n**0.5)))
 
 
-def _usable(vectors: DataFrame, id: str, embedding: str) -> DataFrame:
+def usable_vectors(vectors: DataFrame, id: str, embedding: str) -> DataFrame:
     """Unit vectors; null and zero ones and those with null or infinite parts take no part."""
     rows = vectors.select(F.col(id).alias("id"), F.col(embedding).cast("array<double>").alias("_v"))
     whole = F.forall("_v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))  # not a number is not smaller
@@ -44,7 +44,7 @@ def store_vector_index(
     is stored. The rebalance hint lets adaptive execution split a cell with very many vectors.
     """
     spark = vectors.sparkSession
-    rows = durable(_usable(vectors, id, embedding))
+    rows = durable(usable_vectors(vectors, id, embedding))
     n = rows.count()
     sample = rows.withColumn("_order", F.xxhash64("id")).orderBy("_order", "id").limit(train_rows) if n > train_rows else rows
     trained = durable(sample.select(array_to_vector("embedding").alias("_v")))
@@ -76,7 +76,7 @@ def search_vectors(index: VectorIndex, queries: DataFrame, k: int = 10, probes:
     they are few, so vectors are not shuffled, and each task keeps k rows a query. As many probes as
     cells give the exact answer.
     """
-    asked = durable(nearest_cells(index, _usable(queries, "query_id", "embedding").withColumnsRenamed({"id": "query_id", "embedding": "q"}), probes))
+    asked = durable(nearest_cells(index, usable_vectors(queries, "query_id", "embedding").withColumnsRenamed({"id": "query_id", "embedding": "q"}), probes))
     own = [r[0] for r in asked.select("cell").distinct().collect()]  # at most MOST_CELLS numbers
     held = index[0].where(F.col("cell").isin(own)).join(broadcast_if_small(asked, 100_000), "cell")
     if without_self:

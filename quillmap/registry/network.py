@@ -9,18 +9,33 @@ from quillmap.operators import authors as au
 from quillmap.operators import network as nw
 from quillmap.operators import trajectory as tr
 from quillmap.registry.base import Tables, query, r6
+from quillmap.session import durable
+
+
+def _once(t: Tables, name: str, make) -> DataFrame:
+    """A table that several steps of one query read: built once and stored."""
+    held = t.__dict__.setdefault("_held", {})
+    if name not in held:
+        held[name] = durable(make())
+    return held[name]
 
 
 def _edges(t: Tables) -> DataFrame:
-    return nw.coauthor_edges(t.focals, t.links, t.papers)
+    return _once(t, "edges", lambda: nw.coauthor_edges(t.focals, t.links, t.papers))
+
+
+def _layer1(t: Tables, scored: bool = False) -> DataFrame:
+    """``scored``: from the edges that the circle needs as well."""
+    edges = lambda: _edges(t).drop("recency") if scored else nw.coauthor_edges(t.focals, t.links)
+    return _once(t, "layer1", lambda: nw.ego_layer1(edges(), t.authors))
 
 
-def _layer1(t: Tables) -> DataFrame:
-    return nw.ego_layer1(nw.coauthor_edges(t.focals, t.links), t.authors)
+def _hops(t: Tables) -> DataFrame:
+    return _once(t, "hops", lambda: nw.layer2_links(_layer1(t), t.links))
 
 
 def _circle(t: Tables) -> DataFrame:
-    return nw.inner_circle(nw.collaboration_scores(_edges(t), t.authors))
+    return _once(t, "circle", lambda: nw.inner_circle(nw.collaboration_scores(_edges(t), t.authors)))
 
 
 @query("coauthor_edges", "fx_edges", """
@@ -75,8 +90,7 @@ def circle_topics(t: Tables) -> DataFrame:
 @query("ego_layer2", "fx_layer2", """
     SELECT focal_id, author_id, n_links, total_citations, CAST(rk AS INT) AS rank FROM fx_layer2""")
 def ego_layer2(t: Tables) -> DataFrame:
-    hops = nw.layer2_links(_layer1(t), t.links)
-    return nw.ego_layer2(hops, t.authors).select("focal_id", "author_id", "n_links", "total_citations", "rank")
+    return nw.ego_layer2(_hops(t), t.authors).select("focal_id", "author_id", "n_links", "total_citations", "rank")
 
 
 @query("ego_edges", "fx_edges fx_circle fx_pairs fx_hops fx_layer2", """
@@ -87,9 +101,7 @@ def ego_layer2(t: Tables) -> DataFrame:
     UNION ALL SELECT h.focal_id, 'layer2', h.author_id, h.layer1_id, 1 FROM fx_hops h
     JOIN fx_layer2 l ON l.focal_id = h.focal_id AND l.author_id = h.author_id""")
 def ego_edges(t: Tables) -> DataFrame:
-    layer1 = _layer1(t)
-    hops = nw.layer2_links(layer1, t.links)
-    return nw.ego_edges(layer1, _circle(t), nw.ego_layer2(hops, t.authors), hops, t.links)
+    return nw.ego_edges(_layer1(t, True), _circle(t), nw.ego_layer2(_hops(t), t.authors), _hops(t), t.links)
 
 
 @query("edge_coordinates", "fx_edges", """

@@ -10,6 +10,7 @@ from quillmap.operators import citations as ct
 from quillmap.operators import lookup
 from quillmap.operators import network as nw
 from quillmap.operators import quality
+from quillmap.operators import similar as si
 from quillmap.operators import vector_index as vi
 from quillmap.registry.base import Tables, query, r6
 from quillmap.session import durable, scratch_path
@@ -175,3 +176,19 @@ def vector_search(t: Tables) -> DataFrame:
     counts = found.join(exact, ["query_id", "id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"))
     recall = counts.agg((F.avg("hits") >= 9).alias("good"))
     return counts.crossJoin(F.broadcast(recall)).select("query_id", "n", F.lit(3 * cells // 4 < cells).alias("pruned"), "good")
+
+
+@query("similar_papers", "", """
+    SELECT vec_id AS openalex_id, CAST(10 AS BIGINT) AS n, TRUE AS exact_scores, TRUE AS good FROM embeddings""")
+def similar_papers(t: Tables) -> DataFrame:
+    """Ten neighbours of every vector; nine of ten are those of the exact search, which asks all cells."""
+    found = durable(si.similar_items(t.vectors))
+    index = vi.store_vector_index(t.vectors, scratch_path(t.spark, "vectors"))
+    asked = t.vectors.withColumnRenamed("openalex_id", "query_id")
+    exact = vi.search_vectors(index, asked, 10, vi.MOST_CELLS, True).select(
+        F.col("query_id").alias("openalex_id"), F.col("id").alias("similar_id"), F.col("score").alias("_s"))
+    joined = found.join(exact, ["openalex_id", "similar_id"], "left").groupBy("openalex_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count("_s").alias("hits"),
+        (F.coalesce(F.max(F.abs(F.col("score") - F.col("_s"))), F.lit(0.0)) < 1e-9).alias("exact_scores"))
+    recall = joined.agg((F.avg("hits") >= 9).alias("good"))
+    return joined.crossJoin(F.broadcast(recall)).select("openalex_id", "n", "exact_scores", "good")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillmap.operators import authors as au
 from quillmap.operators import citations as ct
-from quillmap.operators import lookup, network, quality, vector_index
+from quillmap.operators import lookup, network, quality, similar, vector_index
 from quillmap.operators.embedding import embed_texts
 
 
@@ -112,3 +112,26 @@ def test_vector_index(spark, tmp_path):
     asked = spark.createDataFrame([(7, "apple pie"), (8, "steel")], "query_id int, text string")
     first = {x["query_id"]: x["id"] for x in vector_index.semantic_search(held, asked, 1, 2).collect()}
     assert first == {7: 1, 8: 2}
+
+
+def test_neighbour_graph(spark):
+    """Groups of near vectors, a hub that many have as neighbour, copies, and vectors that take no part."""
+    import random
+
+    r = random.Random(6)
+    centres = [[r.gauss(0, 1) for _ in range(6)] for _ in range(12)]
+    rows = [(k, [c + r.gauss(0, 0.3) for c in centres[k % 12]]) for k in range(240)]
+    rows += [(500, rows[3][1]), (501, rows[3][1]), (900, None), (901, [0.0] * 6)]
+    unit = {k: [x / sum(y * y for y in v) ** 0.5 for x in v] for k, v in rows if v and k != 901}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = {q: [k for _, k in sorted((-round(dot(u, w), 9), k) for k, w in unit.items() if k != q)[:5]] for q, u in unit.items()}
+    vectors = spark.createDataFrame(rows, "openalex_id int, embedding array<double>")
+    got = {}
+    for x in similar.similar_items(vectors, k=5, width=10).orderBy("openalex_id", "rank").collect():
+        got.setdefault(x["openalex_id"], []).append(x["similar_id"])
+        assert x["score"] == pytest.approx(dot(unit[x["openalex_id"]], unit[x["similar_id"]]), abs=1e-9)
+    assert set(got) == set(unit) and all(len(v) == 5 and len(set(v)) == 5 for v in got.values())
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.95 * 5 * len(want)
+    few = similar.similar_items(vectors.where("openalex_id < 3"), k=5, width=5)
+    assert few.count() == 6
+    assert similar.similar_items(vectors.where("openalex_id > 800"), k=5).count() == 0
