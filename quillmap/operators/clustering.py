@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmap.operators.embedding import project_2d
-from quillmap.session import durable, exact_rank
+from quillmap.session import durable, exact_rank, store
 
 
 def paper_cluster_count(n: int) -> int:
@@ -110,12 +110,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): smallest node id reachable over undirected edges(a, b).
 
     Each round takes the smallest label among the neighbours and then the label of that label, so
-    labels travel far per round. Rounds are checkpointed.
+    labels travel far per round. Rounds are stored tables: a checkpoint's size estimate is multiplied in each join.
     """
-    both = durable(
+    both = store(
         edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     )
-    labels = durable(nodes.select("node", F.col("node").alias("component")))
+    labels = store(nodes.select("node", F.col("node").alias("component")))
     while True:
         near = (
             both.join(labels.withColumnRenamed("node", "b"), "b")
@@ -126,7 +126,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             "node", "component", F.least("component", F.coalesce("_near", "component")).alias("_hook")
         )
         jump = labels.select(F.col("node").alias("_hook"), F.col("component").alias("_jump"))
-        step = durable(
+        step = store(
             hooked.join(jump, "_hook").select(
                 "node", F.least("_hook", "_jump").alias("component"), F.col("component").alias("_old")
             )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmap.functions.text import STOP_WORDS
 from quillmap.functions.vectors import l2_norm
 from quillmap.operators import clustering as cl
+from quillmap.operators import density as de
 from quillmap.operators import embedding as em
 from quillmap.operators import keyed
 from quillmap.operators import labels as lb
@@ -362,6 +363,20 @@ def density_cluster(t: Tables) -> DataFrame:
     return cl.density_cluster(t.points, 0.02)
 
 
+# five dimensions, two of three hundredths of the variance of a unit vector each
+@query("density_cluster_nd", "", """
+    SELECT * FROM (WITH RECURSIVE p AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding[1:5] AS DOUBLE[]) AS v FROM embeddings),
+    pair AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON list_distance(a.v, b.v) <= 0.10),
+    core AS MATERIALIZED (SELECT a AS id FROM pair GROUP BY 1 HAVING count(*) >= 5),
+    link AS MATERIALIZED (SELECT a, b FROM pair WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+    reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+    comp AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY 1),
+    num AS (SELECT component, row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS cluster_id FROM comp GROUP BY 1 HAVING count(*) >= 10)
+    SELECT p.id AS openalex_id, CAST(coalesce(n.cluster_id, -1) AS INT) AS cluster_id FROM p LEFT JOIN comp c ON c.id = p.id LEFT JOIN num n ON n.component = c.component)""")
+def density_cluster_nd(t: Tables) -> DataFrame:
+    return de.density_cluster_nd(t.vectors.withColumn("embedding", F.slice("embedding", 1, 5)), 0.10)
+
+
 # --- models and jobs -------------------------------------------------------------------------------
 # SQL cannot follow a fitted model, but it can say which rows a job must return, and each row carries tests of
 # what the model must hold: places that are numbers, axes that are principal, clusters that are nearest, names that differ.

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillmap.operators import authors as au
 from quillmap.operators import citations as ct
-from quillmap.operators import lookup, network, quality, similar, vector_index
+from quillmap.operators import density, lookup, network, quality, similar, vector_index
 from quillmap.operators.embedding import embed_texts
 
 
@@ -135,3 +135,36 @@ def test_neighbour_graph(spark):
     few = similar.similar_items(vectors.where("openalex_id < 3"), k=5, width=5)
     assert few.count() == 6
     assert similar.similar_items(vectors.where("openalex_id > 800"), k=5).count() == 0
+
+
+@pytest.mark.parametrize("dim, block", [(1, 2000), (2, 7), (4, 2000), (5, 11)])
+def test_density_clusters_equal_plain_search(spark, monkeypatch, dim, block):
+    import math
+    import random
+
+    monkeypatch.setattr(density, "BLOCK", block)
+    r = random.Random(dim)
+    rows = []
+    for c in range(4):
+        centre = [r.uniform(-3, 3) for _ in range(dim)]
+        rows += [[x + r.gauss(0, 0.15) for x in centre] for _ in range(25)]
+    rows += [[r.uniform(-4, 4) for _ in range(dim)] for _ in range(30)] + [rows[0]] * 5
+    eps = 0.1 + 0.06 * dim
+    near = [[k for k, b in enumerate(rows) if math.dist(a, b) <= eps] for a in rows]
+    core = {k for k, n in enumerate(near) if len(n) >= 5}
+    group = {}
+    for k in sorted(core):
+        if k not in group:
+            group[k], todo = k, [k]
+            while todo:
+                for j in near[todo.pop()]:
+                    if j in core and j not in group:
+                        group[j] = k
+                        todo.append(j)
+    size = {g: sum(x == g for x in group.values()) for g in group.values()}
+    number = {g: n for n, g in enumerate(sorted((g for g in size if size[g] >= 10), key=lambda g: (-size[g], g)))}
+    want = {k: number.get(group.get(k), -1) for k in range(len(rows))} | {1000: -1, 1001: -1}
+    data = [(k, v) for k, v in enumerate(rows)] + [(1000, None), (1001, [float("nan")] * dim)]
+    vectors = spark.createDataFrame(data, "openalex_id int, embedding array<double>").repartition(4)
+    assert {x["openalex_id"]: x["cluster_id"] for x in density.density_cluster_nd(vectors, eps).collect()} == want
+    assert max(want.values()) >= 0
