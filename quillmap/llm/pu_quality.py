@@ -236,6 +236,23 @@ def moments(rows: DataFrame) -> list[np.ndarray]:
     return list(out)
 
 
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Their product on one thread; threaded algebra was seen to hang in a driver that had started its JVM."""
+    return np.einsum("ij,j->i", matrix, vector)
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Inverse of a symmetric positive matrix by elimination, on one thread."""
+    a = matrix.copy()
+    for k in range(len(a)):
+        pivot = a[k, k]
+        row, column = a[k] / pivot, a[:, k].copy()
+        a -= np.multiply.outer(column, row)
+        a[k], a[:, k] = row, -column / pivot
+        a[k, k] = 1 / pivot
+    return a
+
+
 @dataclass(frozen=True)
 class Risk:
     """The risk as quadratic forms: mu, mp and mm, pp are first and second moments of all rows and of the positives."""
@@ -247,20 +264,25 @@ class Risk:
     second_p: np.ndarray
     ridge: float
 
+    def _both(self, w: np.ndarray, p: np.ndarray, u: np.ndarray) -> tuple[float, float]:
+        """Both parts of the risk from w and its products with the second moments."""
+        far, wide = w @ p, w @ u
+        first = self.prior * (1 - 2 * w @ self.mean_p + far) / 4
+        return first, (1 + 2 * w @ self.mean_u + wide) / 4 - self.prior * (1 + 2 * w @ self.mean_p + far) / 4
+
     def parts(self, w: np.ndarray) -> tuple[float, float]:
         """prior * Rp(+1), and the part that must not be negative: Ru(-1) - prior * Rp(-1). Losses are (1 - y g)^2 / 4."""
-        p, u = w @ self.second_p @ w, w @ self.second_u @ w
-        first = self.prior * (1 - 2 * w @ self.mean_p + p) / 4
-        return first, (1 + 2 * w @ self.mean_u + u) / 4 - self.prior * (1 + 2 * w @ self.mean_p + p) / 4
+        return self._both(w, _times(self.second_p, w), _times(self.second_u, w))
 
     def value(self, w: np.ndarray) -> float:
         first, rest = self.parts(w)
         return first + max(rest, 0.0) + self.ridge * w @ w / 4
 
     def slopes(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        p = self.second_p @ w
-        first = self.prior * (p - self.mean_p) / 2
-        return first, (self.mean_u + self.second_u @ w) / 2 - self.prior * (self.mean_p + p) / 2
+        return self._slopes(_times(self.second_p, w), _times(self.second_u, w))
+
+    def _slopes(self, p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.prior * (p - self.mean_p) / 2, (self.mean_u + u) / 2 - self.prior * (self.mean_p + p) / 2
 
     def minimum(self, steps: int = 1000, rates: tuple[float, ...] = (0.2, 0.05, 0.0125)) -> np.ndarray:
         """w of the least risk.
@@ -269,18 +291,24 @@ class Risk:
         steps go down the whole risk while the second part is not negative and up the second part while it is, and the
         best w seen counts. A smaller rate is tried where the larger one finds nothing better than zero or the closed minimum.
         """
-        scale = np.linalg.inv(self.second_u + self.ridge * np.eye(len(self.mean_u)))
-        closed = scale @ (2 * self.prior * self.mean_p - self.mean_u)
+        scale = _inverse(self.second_u + self.ridge * np.eye(len(self.mean_u)))
+        closed = _times(scale, 2 * self.prior * self.mean_p - self.mean_u)
         if self.parts(closed)[1] >= 0:
             return closed
         begin = best = min(np.zeros_like(closed), closed, key=self.value)
+        least = self.value(begin)
         for rate in rates:
             w = np.zeros_like(closed)
             for step in range(steps):
-                first, rest = self.slopes(w)
-                down = first + rest + self.ridge * w / 2 if self.parts(w)[1] >= 0 else -rest
-                w = w - rate * (1 - step / steps) * 2 * scale @ down
-                best = w if self.value(w) < self.value(best) else best
+                p, u = _times(self.second_p, w), _times(self.second_u, w)  # the only products of a step with whole matrices, but for the scale
+                first, rest = self._both(w, p, u)
+                value = first + max(rest, 0.0) + self.ridge * w @ w / 4
+                if not value < 1e6:  # the rate is too large
+                    break
+                if value < least:
+                    best, least = w, value
+                up, down = self._slopes(p, u)
+                w = w - rate * (1 - step / steps) * 2 * _times(scale, up + down + self.ridge * w / 2 if rest >= 0 else -down)
             if best is not begin:
                 break
         return best
@@ -348,7 +376,7 @@ def fit(features: DataFrame, labels: DataFrame, ridge: float = 0.3) -> QualityMo
     prior = 0.5  # with positives in one half only
     if halves[0][0, 0] and halves[1][0, 0]:
         q = halves[0] / halves[0][0, 0]
-        first = np.linalg.solve(u + q + 2 * ridge / halves[0][0, 0] * np.eye(WIDTH), q[0] - u[0])
+        first = _times(_inverse(u + q + 2 * ridge / halves[0][0, 0] * np.eye(WIDTH)), q[0] - u[0])
         prior = estimated_prior(*score_counts(rows, first))
     return QualityModel(Risk(prior, u[0], u, p[0], p, ridge / n_p).minimum(), prior)
 

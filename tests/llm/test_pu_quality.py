@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tables import documents, odd_texts, passage, words
 
 from quillmap.llm.common import read_table
-from quillmap.llm.pu_quality import BINS, MASKS, MEASURES, WIDTH, Risk, estimated_prior, fit, measure, moments, pack, quality_features, score_quality, trusted, unpack
+from quillmap.llm.pu_quality import _inverse, BINS, MASKS, MEASURES, WIDTH, Risk, estimated_prior, fit, measure, moments, pack, quality_features, score_quality, trusted, unpack
 
 MARKS = ".,;:!?'\"()-"
 
@@ -85,6 +85,12 @@ def test_risk_is_that_of_the_rows():
     assert all(risk.value(least) <= risk.value(least + d) + 1e-9 for d in 0.3 * r.normal(size=(50, 6)))
 
 
+def test_inverse():
+    x = np.random.default_rng(2).normal(size=(90, 60))
+    a = x.T @ x / 90 + 1e-3 * np.eye(60)
+    assert np.allclose(_inverse(a) @ a, np.eye(60), atol=1e-8)
+
+
 def test_second_part_never_rewards_negative_risk():
     """Few rows, many features: the unbiased risk falls below zero, the non-negative one does not."""
     r = np.random.default_rng(4)
