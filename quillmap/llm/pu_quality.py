@@ -314,11 +314,11 @@ class Risk:
         return best
 
 
-def estimated_prior(unlabelled: np.ndarray, positive: np.ndarray, slack: float = 0.1, sure: float = 0.1) -> float:
+def estimated_prior(unlabelled: np.ndarray, positive: np.ndarray, slack: float = 1.0, sure: float = 0.1) -> float:
     """Share of positives in the corpus from counts of scores per bin, lowest score first.
 
     Any set of scores holds at least prior times the share of positives that it has, so the least quotient of the two
-    shares over all upper tails bounds the prior; the tail is chosen with a penalty for tails of few rows.
+    shares over all upper tails bounds the prior; the tail is chosen with the whole uncertainty of both shares added.
     """
     n_u, n_p = unlabelled.sum(), positive.sum()
     tail_u, tail_p = (np.cumsum(c[::-1]) / c.sum() for c in (unlabelled, positive))
