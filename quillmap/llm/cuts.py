@@ -2,8 +2,7 @@
 
 A parcel is one row for a shard from one Arrow batch: the rows it speaks of, how many entries each has,
 where they start, and their contents in one binary. Shards are chosen by the hash of the content, after
-equal contents of a batch are sent once only, so a shard has at most one entry a batch for each content
-and a common passage makes no hot shard.
+equal contents of a batch are sent once only, so a shard has at most one entry a batch for each content.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
-"""Count-min sketch of anchor grams, saturating at two, merged from the tasks and broadcast as bits.
+"""Count-min sketch of anchor grams, merged from the tasks and broadcast as bits.
 
-It answers "may this gram be an anchor in two places or more?": never no for one that is. The width grows
+It answers "may this gram be an anchor in two places or more?": never no for one that is. Counters of at least
+``hot`` are named one by one: a gram that is an anchor in so many places is always known as hot. The width grows
 with the input up to a bound; beyond the bound more grams pass, and the exact stage after it has more to
 do, but results stay the same.
 """
@@ -36,9 +37,9 @@ def _places(grams: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def _rows(grams: np.ndarray, bits: int, slices: int) -> dict:
-    """Places named once and more than once by a task, as offsets inside slices."""
+    """Places named once and more than once (with counts) by a task, as offsets inside slices."""
     inner = bits - slices.bit_length() + 1
-    out: dict[str, list] = {"slice": [], "once": [], "more": []}
+    out: dict[str, list] = {"slice": [], "once": [], "more": [], "counts": []}
     for row, places in enumerate(_places(grams, bits)):
         values, counts = np.unique(places, return_counts=True)
         borders = np.searchsorted(values >> inner, np.arange(slices + 1))
@@ -49,17 +50,21 @@ def _rows(grams: np.ndarray, bits: int, slices: int) -> dict:
                 out["slice"].append(row * slices + k)
                 out["once"].append(own[~many].tobytes())
                 out["more"].append(own[many].tobytes())
+                out["counts"].append(counts[part][many].astype("<u4").tobytes())
     return out
 
 
-def repeat_sketch(rows: DataFrame, anchors_of, bits: int, slices: int = 64, flush: int = 4_000_000) -> Sketch:
-    """Sketch of the arrays of gram hashes that ``anchors_of()(batch)`` gives for each Arrow batch of rows; slices: a power of two."""
+def repeat_sketch(rows: DataFrame, anchors_of, bits: int, slices: int = 64, flush: int = 4_000_000, hot: int = 0) -> Sketch:
+    """Sketch of the arrays of gram hashes that ``anchors_of()(batch)`` gives for each Arrow batch of rows; slices: a power of two.
+
+    hot: count from which a gram is hot, 0 for none. A row has at most (number of anchors / hot) hot counters.
+    """
     inner = bits - slices.bit_length() + 1
 
     def emit(found):
         r = _rows(np.concatenate(found), bits, slices)
         return pa.RecordBatch.from_pydict(
-            {"slice": pa.array(r["slice"], pa.int32()), "once": pa.array(r["once"], pa.binary()), "more": pa.array(r["more"], pa.binary())}
+            {"slice": pa.array(r["slice"], pa.int32())} | {c: pa.array(r[c], pa.binary()) for c in ("once", "more", "counts")}
         )
 
     def count(batches):
@@ -77,34 +82,50 @@ def repeat_sketch(rows: DataFrame, anchors_of, bits: int, slices: int = 64, flus
     def merge(batches):
         seen: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, once, more in zip(*[batch.column(c).to_pylist() for c in ("slice", "once", "more")]):
-                counters = seen.setdefault(k, np.zeros(1 << inner, np.uint8))
-                at = np.frombuffer(once, "<u4")
-                counters[at] = np.minimum(counters[at] + 1, 2)
-                counters[np.frombuffer(more, "<u4")] = 2
+            for k, once, more, counts in zip(*[batch.column(c).to_pylist() for c in ("slice", "once", "more", "counts")]):
+                counters = seen.setdefault(k, np.zeros(1 << inner, np.int64))
+                # a task names a place once, so no place is twice in either list
+                counters[np.frombuffer(once, "<u4")] += 1
+                counters[np.frombuffer(more, "<u4")] += np.frombuffer(counts, "<u4")
         for k, counters in seen.items():
+            warm = np.flatnonzero(counters >= hot) if hot else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_pydict(
-                {"slice": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(counters > 1).tobytes()], pa.binary())}
+                {
+                    "slice": pa.array([k], pa.int32()),
+                    "bits": pa.array([np.packbits(counters > 1).tobytes()], pa.binary()),
+                    "hot": pa.array([warm.astype("<u4").tobytes()], pa.binary()),
+                }
             )
 
     parts = (
-        rows.mapInArrow(count, "slice int, once binary, more binary")
+        rows.mapInArrow(count, "slice int, once binary, more binary, counts binary")
         .repartitionById(ROWS * slices, F.col("slice"))
-        .mapInArrow(merge, "slice int, bits binary")
+        .mapInArrow(merge, "slice int, bits binary, hot binary")
         .collect()
-    )  # ROWS * slices rows, together at most ROWS * 2**most / 8 bytes
+    )  # ROWS * slices rows, together at most ROWS * 2**most / 8 bytes and the hot places
     packed = np.zeros((ROWS, slices, (1 << inner) // 8), np.uint8)
-    for part in parts:
-        packed[part["slice"] // slices, part["slice"] % slices] = np.frombuffer(part["bits"], np.uint8)
-    return Sketch(packed.reshape(ROWS, -1), bits)
+    warm: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(ROWS)]
+    for part in sorted(parts, key=lambda part: part["slice"]):
+        row, k = divmod(part["slice"], slices)
+        packed[row, k] = np.frombuffer(part["bits"], np.uint8)
+        warm[row].append(np.frombuffer(part["hot"], "<u4").astype(np.int64) + (k << inner))
+    return Sketch(packed.reshape(ROWS, -1), bits, [np.concatenate(w) for w in warm])
 
 
 class Sketch:
-    def __init__(self, packed: np.ndarray, bits: int):
-        self.packed, self.bits = packed, bits
+    def __init__(self, packed: np.ndarray, bits: int, hot: list[np.ndarray]):
+        """hot: ascending hot places of each row."""
+        self.packed, self.bits, self.hot = packed, bits, hot
 
     def may_repeat(self, grams: np.ndarray) -> np.ndarray:
         out = np.ones(len(grams), bool)
         for row, places in enumerate(_places(grams, self.bits)):
             out &= (self.packed[row][places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
         return out
+
+    def is_hot(self, grams: np.ndarray) -> np.ndarray:
+        out = np.ones(len(grams), bool)
+        for warm, places in zip(self.hot, _places(grams, self.bits)):
+            at = np.searchsorted(warm, places)
+            out &= (at < len(warm)) & (np.append(warm, -1)[at] == places)
+        return out

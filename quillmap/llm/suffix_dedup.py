@@ -1,7 +1,8 @@
 """Removal of byte strings that also start earlier, by suffix arrays.
 
 Only stretches around anchors that may occur twice (sketch.py) can repeat. They go to shards by the hash
-of their anchor, so equal strings meet in one shard and shards need no merging with each other. A shard is
+of their anchor, so equal strings meet in one shard and shards need no merging with each other; windows around
+very common anchors are spread by their own fingerprints instead. A shard is
 worked off in blocks in order of (doc_id, start): a suffix array by Larsson-Sadakane refinement, common
 prefixes by Kasai's relation, classes of equal strings, and a binary search of each class among those of
 the shard's earlier blocks.
@@ -18,10 +19,14 @@ from pyspark.sql import DataFrame
 from quillmap.llm.common import id_type, map_arrow, total_bytes
 from quillmap.llm.cuts import KEY, Parcels, apply_cuts, covered, keyed, parcel_schema, settle, shard_count
 from quillmap.llm.sketch import repeat_sketch, slice_bits, width_bits
-from quillmap.llm.windows import MULTIPLIERS, blocks, rolling
+from quillmap.llm.windows import MULTIPLIERS, blocks, rolling, starts_of_runs
 
 #: Bytes in a block of windows while anchors are sought, and in a block of a shard's suffix array.
 SCAN_BYTES, SORT_BYTES = 1 << 18, 1 << 20
+#: Places from which an anchor's windows are settled one by one: below it an anchor brings a shard 11 MB at most.
+HOT = 1 << 16
+#: Fingerprint of a window on its way to the shard that settles it.
+PRINT = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
 def encode(text: str) -> bytes:
@@ -198,13 +203,29 @@ def repeated_runs(pieces: list[bytes], length: int, block_bytes: int = SORT_BYTE
     return every[:, 0], every[:, 1], every[:, 2]
 
 
-def repeat_cuts(docs: DataFrame, length: int = 100, gram: int = 28) -> DataFrame:
-    """Byte intervals that repeat something earlier: doc_id, hash of the text, starts, lens."""
+def first_places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Mask of the entries whose fingerprint (a, b) has no earlier entry."""
+    order = np.lexsort((np.arange(len(a)), b, a))
+    out = np.ones(len(a), bool)
+    out[order[1:]] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+    return out
+
+
+def repeat_cuts(docs: DataFrame, length: int = 100, gram: int = 28, hot: int = HOT) -> DataFrame:
+    """Byte intervals that repeat something earlier: doc_id, hash of the text, starts, lens.
+
+    Stretches around an anchor that repeats meet in the shard of the anchor, where suffix arrays settle them. An
+    anchor in ``hot`` places or more, such as a footer amid differing text, would fill its shard: the windows around it
+    go one by one, each as a fingerprint of 128 bits, to the shard of that fingerprint. Every equal window has the same
+    anchor and so goes the same way, and an anchor brings a shard fewer than ``hot`` stretches.
+    """
     rows = keyed(docs)
     size = total_bytes(rows)
     gram = min(gram, length)
     bits = width_bits(size // 30)
-    sketch = repeat_sketch(rows.select("text"), _anchor_finder(length, gram), bits, 1 << slice_bits(size // 30, bits))
+    # a full sketch has large counters everywhere: hot is what stands out from their mean
+    hot = max(hot, 8 * (size // 30) >> bits)
+    sketch = repeat_sketch(rows.select("text"), _anchor_finder(length, gram), bits, 1 << slice_bits(size // 30, bits), hot=hot)
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     shards = shard_count(size, 128)
 
@@ -220,8 +241,11 @@ def repeat_cuts(docs: DataFrame, length: int = 100, gram: int = 28) -> DataFrame
             sent: dict[bytes, None] = {}
             row, start, n, content, shard = [], [], [], [], []
             sure: list[tuple[int, int, int]] = []
+            single: list[tuple[np.ndarray, ...]] = []
             for block in blocks(((i, byte_units(data[i])) for i in ranks), length, gram, SCAN_BYTES):
                 grams = block.grams[block.anchor[block.runs]]
+                warm = known.is_hot(grams)
+                alone: list[np.ndarray] = []
                 # a run of equal anchors ends where the row does, too
                 ends = np.append(block.runs[1:], len(block.anchor))
                 for k in np.flatnonzero(known.may_repeat(grams)):
@@ -232,8 +256,28 @@ def repeat_cuts(docs: DataFrame, length: int = 100, gram: int = 28) -> DataFrame
                         sure.append((r, s, len(piece)))
                         continue
                     sent[piece] = None
+                    if warm[k]:
+                        alone.append(np.arange(w, e))
+                        continue
                     row.append(r), start.append(s), n.append(len(piece)), content.append(piece), shard.append(int(grams[k] % np.uint64(shards)))
+                if alone:
+                    w = np.concatenate(alone)
+                    at = block.place[w]
+                    a, b = (rolling(block.units, length, m)[at] for m in MULTIPLIERS[1:])
+                    single.append((block.row[w], at + block.shift[w], a, b))
             parcels = Parcels(batch)
+            if single:
+                r, s, a, b = (np.concatenate(x) for x in zip(*single))
+                first = first_places(a, b)
+                # windows found before in this batch, as runs of neighbours
+                again_r, again_s = r[~first], s[~first]
+                runs = starts_of_runs(again_s - np.arange(len(again_s)) + (again_r << 32))
+                sure += zip(again_r[runs].tolist(), again_s[runs].tolist(), (np.diff(np.append(runs, len(again_s))) + length - 1).tolist())
+                r, s, prints = r[first], s[first], np.rec.fromarrays([a[first], b[first]], dtype=PRINT)
+                to = (prints["a"] % np.uint64(shards)).astype(np.int64)
+                order = np.lexsort((s, r, to))
+                for x in np.split(order, starts_of_runs(to[order])[1:]):
+                    parcels.add(to[x[0]], False, r[x], s[x], np.zeros(len(x), np.int64), told=prints[x].tobytes())
             if sure:
                 r, s, z = (np.array(x) for x in zip(*sorted(sure)))
                 parcels.add(int(r[0]) % shards, True, r, s, z)
@@ -261,8 +305,13 @@ def repeat_cuts(docs: DataFrame, length: int = 100, gram: int = 28) -> DataFrame
         same = (rank[order][1:] == rank[order][:-1]) & (received.starts[order][1:] == received.starts[order][:-1])
         order = order[np.concatenate([[True], ~same])[: len(order)]]
         body = received.body
-        piece, start, n = repeated_runs([body[ends[k] - received.lens[k] : ends[k]] for k in order], length)
-        own = order[piece]
+        alone = received.lens == 0  # hot windows, told by their fingerprints
+        whole, single = order[~alone[order]], order[alone[order]]
+        piece, start, n = repeated_runs([body[ends[k] - received.lens[k] : ends[k]] for k in whole], length)
+        prints = np.frombuffer(received.told, PRINT)[(np.cumsum(alone) - 1)[single]]
+        again = single[~first_places(prints["a"], prints["b"])]
+        own = np.concatenate([whole[piece], again])
+        start, n = np.append(start, np.zeros(len(again), np.int64)), np.append(n, np.ones(len(again), np.int64))
         by_doc = np.argsort(received.doc[own], kind="stable")
         own, start, n = own[by_doc], start[by_doc], n[by_doc]
         return received.doc[own], received.starts[own] + start, n + length - 1
@@ -292,7 +341,7 @@ def _kept(text: str, cuts: list[dict] | None) -> tuple[bytes, bytes, int]:
     return data, np.frombuffer(data, np.uint8)[~mask].tobytes(), spans
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     """Per row doc_id, n_bytes, n_removed, n_spans and kept_sha256.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a row with a smaller
@@ -316,7 +365,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
         return step
 
     schema = f"doc_id {id_type(docs)}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return apply_cuts(docs, repeat_cuts(docs, length), make, schema)
+    return apply_cuts(docs, repeat_cuts(docs, length, hot=hot), make, schema)
 
 
 def cut_repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
