@@ -26,65 +26,90 @@ BASE_PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Label, keyword, and name as an expression over words ("gpl 3 0" is "GPL-3.0").
+#: Label, keyword that begins at a word's start, and name as an expression over words ("gpl 3 0" is "GPL-3.0").
 _V = "(?: version| v)?"
 NAMES = [
     ("mit", "mit", "(?:mit|expat)"),
-    ("mit-0", "mit", "mit (?:0|no attribution)"),
+    ("mit-0", "mit 0", "mit (?:0|no attribution)"),
     ("apache-2", "apache", f"apache(?: software)?(?: license)?{_V} v?2(?: 0)?"),
     ("apache-1.1", "apache", f"apache(?: software)?(?: license)?{_V} 1 1"),
-    ("gpl-1", "g", f"(?:gnu )?(?:gpl|general public license){_V} v?1(?: 0)?"),
-    ("gpl-2", "g", f"(?:gnu )?(?:gpl|general public license){_V} v?2(?: 0)?"),
-    ("gpl-3", "g", f"(?:gnu )?(?:gpl|general public license){_V} v?3(?: 0)?"),
-    ("lgpl-2.1", "l", f"(?:gnu )?(?:lgpl|lesser general public license){_V} v?2 1"),
-    ("lgpl-3", "l", f"(?:gnu )?(?:lgpl|lesser general public license){_V} v?3(?: 0)?"),
-    ("agpl-3", "a", f"(?:gnu )?(?:agpl|affero general public license){_V} v?3(?: 0)?"),
-    ("mpl-1.1", "m", f"(?:mozilla public license|mpl){_V} 1 1"),
-    ("mpl-2", "m", f"(?:mozilla public license|mpl){_V} v?2(?: 0)?"),
+    ("gpl-1", "gpl", f"(?:gnu )?(?:gpl|general public license){_V} v?1(?: 0)?"),
+    ("gpl-2", "gpl", f"(?:gnu )?(?:gpl|general public license){_V} v?2(?: 0)?"),
+    ("gpl-3", "gpl", f"(?:gnu )?(?:gpl|general public license){_V} v?3(?: 0)?"),
+    ("lgpl-2.1", "lgpl", f"(?:gnu )?(?:lgpl|lesser general public license){_V} v?2 1"),
+    ("lgpl-3", "lgpl", f"(?:gnu )?(?:lgpl|lesser general public license){_V} v?3(?: 0)?"),
+    ("agpl-3", "agpl", f"(?:gnu )?(?:agpl|affero general public license){_V} v?3(?: 0)?"),
+    ("mpl-1.1", "mpl", f"(?:mozilla public license|mpl){_V} 1 1"),
+    ("mpl-2", "mpl", f"(?:mozilla public license|mpl){_V} v?2(?: 0)?"),
     ("bsd-2", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
     ("bsd-3", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)"),
     ("bsd-4", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"),
     ("0bsd", "bsd", "(?:0bsd|zero clause bsd|bsd zero clause)"),
     ("isc", "isc", "isc"),
     ("zlib", "zlib", "zlib(?: libpng)?"),
-    ("boost-1", "b", f"(?:boost software license|bsl){_V} 1(?: 0)?"),
+    ("boost-1", "bsl", f"(?:boost software license|bsl){_V} 1(?: 0)?"),
     ("unlicense", "unlicense", "unlicense"),
     ("wtfpl", "wtfpl", "wtfpl"),
     ("cc0", "cc0", "cc0(?: 1 0)?"),
-    ("cc-by", "by", "(?:cc by|creative commons attribution)"),
-    ("cc-by-sa", "sa", "(?:cc by sa|creative commons attribution sharealike)"),
-    ("cc-by-nd", "nd", "(?:cc by nd|creative commons attribution noderiv(?:ative)?s)"),
-    ("cc-by-nc", "nc", "(?:cc by nc|creative commons attribution noncommercial)"),
-    ("cc-by-nc-sa", "sa", "(?:cc by nc sa|creative commons attribution noncommercial sharealike)"),
-    ("cc-by-nc-nd", "nd", "(?:cc by nc nd|creative commons attribution noncommercial noderiv(?:ative)?s)"),
-    ("epl-1", "e", f"(?:eclipse public license|epl){_V} v?1(?: 0)?"),
-    ("epl-2", "e", f"(?:eclipse public license|epl){_V} v?2(?: 0)?"),
-    ("cddl-1", "c", f"(?:common development and distribution license|cddl){_V} 1(?: 0)?"),
-    ("cpl-1", "common", f"common public license{_V} 1(?: 0)?"),
+    ("cc-by", "cc by", "(?:cc by|creative commons attribution)"),
+    ("cc-by-sa", "cc by sa", "(?:cc by sa|creative commons attribution sharealike)"),
+    ("cc-by-nd", "cc by nd", "(?:cc by nd|creative commons attribution noderiv(?:ative)?s)"),
+    ("cc-by-nc", "cc by nc", "(?:cc by nc|creative commons attribution noncommercial)"),
+    ("cc-by-nc-sa", "cc by nc sa", "(?:cc by nc sa|creative commons attribution noncommercial sharealike)"),
+    ("cc-by-nc-nd", "cc by nc nd", "(?:cc by nc nd|creative commons attribution noncommercial noderiv(?:ative)?s)"),
+    ("epl-1", "epl", f"(?:eclipse public license|epl){_V} v?1(?: 0)?"),
+    ("epl-2", "epl", f"(?:eclipse public license|epl){_V} v?2(?: 0)?"),
+    ("cddl-1", "cddl", f"(?:common development and distribution license|cddl){_V} 1(?: 0)?"),
+    ("cpl-1", "common public license", f"common public license{_V} 1(?: 0)?"),
     ("artistic-1", "artistic", f"artistic(?: license)?{_V} 1(?: 0)?"),
     ("artistic-2", "artistic", f"artistic(?: license)?{_V} 2(?: 0)?"),
     ("postgresql", "postgresql", "postgresql"),
-    ("python-2", "p", f"(?:python software foundation|psf){_V}(?: license)? 2(?: 0)?"),
-    ("ofl-1.1", "o", f"(?:sil open font license|ofl){_V} 1 1"),
-    ("eupl-1.2", "eu", f"(?:european union public licen[cs]e|eupl){_V} 1 2"),
-    ("ms-pl", "m", "(?:microsoft public license|ms pl)"),
-    ("ms-rl", "m", "(?:microsoft reciprocal license|ms rl)"),
-    ("odbl-1", "od", f"(?:open database license|odbl){_V}(?: 1 0)?"),
-    ("pddl-1", "p", f"(?:public domain dedication and license|pddl){_V}(?: 1 0)?"),
-    ("gfdl-1.3", "f", f"(?:gnu )?(?:gfdl|free documentation license){_V} 1 3"),
-    ("elastic-2", "elastic", f"elastic license{_V} 2(?: 0)?"),
-    ("sspl-1", "s", f"(?:server side public license|sspl){_V} 1"),
-    ("busl-1.1", "b", f"(?:business source license|busl){_V} 1 1"),
+    ("python-2", "psf", f"(?:python software foundation|psf){_V}(?: license)? 2(?: 0)?"),
+    ("ofl-1.1", "ofl", f"(?:sil open font license|ofl){_V} 1 1"),
+    ("eupl-1.2", "eupl", f"(?:european union public licen[cs]e|eupl){_V} 1 2"),
+    ("ms-pl", "ms pl", "(?:microsoft public license|ms pl)"),
+    ("ms-rl", "ms rl", "(?:microsoft reciprocal license|ms rl)"),
+    ("odbl-1", "odbl", f"(?:open database license|odbl){_V}(?: 1 0)?"),
+    ("pddl-1", "pddl", f"(?:public domain dedication and license|pddl){_V}(?: 1 0)?"),
+    ("gfdl-1.3", "gfdl", f"(?:gnu )?(?:gfdl|free documentation license){_V} 1 3"),
+    ("elastic-2", "elastic license", f"elastic license{_V} 2(?: 0)?"),
+    ("sspl-1", "sspl", f"(?:server side public license|sspl){_V} 1"),
+    ("busl-1.1", "busl", f"(?:business source license|busl){_V} 1 1"),
 ]
 #: Second keyword of names with an alternative that does not hold the first one.
 ALSO = {
     "mit": "expat",
-    "cc-by": "creative commons",
-    "cc-by-sa": "creative commons",
-    "cc-by-nd": "creative commons",
-    "cc-by-nc-sa": "creative commons",
-    "cc-by-nc-nd": "creative commons",
-    "odbl-1": "open database",
+    "mit-0": "mit no attribution",
+    "gpl-1": "general public license",
+    "gpl-2": "general public license",
+    "gpl-3": "general public license",
+    "lgpl-2.1": "lesser general public license",
+    "lgpl-3": "lesser general public license",
+    "agpl-3": "affero general public license",
+    "mpl-1.1": "mozilla public license",
+    "mpl-2": "mozilla public license",
+    "bsd-2": "freebsd",
+    "0bsd": "0bsd",
+    "boost-1": "boost software license",
+    "cc-by": "creative commons attribution",
+    "cc-by-sa": "creative commons attribution sharealike",
+    "cc-by-nd": "creative commons attribution noderiv",
+    "cc-by-nc": "creative commons attribution noncommercial",
+    "cc-by-nc-sa": "creative commons attribution noncommercial sharealike",
+    "cc-by-nc-nd": "creative commons attribution noncommercial noderiv",
+    "epl-1": "eclipse public license",
+    "epl-2": "eclipse public license",
+    "cddl-1": "common development and distribution license",
+    "python-2": "python software foundation",
+    "ofl-1.1": "sil open font license",
+    "eupl-1.2": "european union public licen",
+    "ms-pl": "microsoft public license",
+    "ms-rl": "microsoft reciprocal license",
+    "odbl-1": "open database license",
+    "pddl-1": "public domain dedication and license",
+    "gfdl-1.3": "free documentation license",
+    "sspl-1": "server side public license",
+    "busl-1.1": "business source license",
 }
 #: What may stand around a name: rank (lower goes first), confidence, words before, words after.
 SHAPES = [
@@ -107,6 +132,25 @@ NOTICES = [
     ("gpl-family", "gnu", 4, 0.6, "gnu (?:lesser |affero )?general public licen[cs]e"),
     ("unlicense", "unencumbered", 1, 1.0, "free and unencumbered software released into the public domain"),
     ("cc-family", "creative commons", 4, 0.5, "creative commons(?: licen[cs]e)?"),
+    ("apache-2", "you may not use this file", 1, 0.9, "you may not use this file except in compliance with the licen[cs]e"),
+    ("apache-2", "unless required by applicable law", 2, 0.8, "unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis"),
+    ("mpl-2", "this source code form", 1, 1.0, "this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0"),
+    ("gpl-family", "this program is free software", 1, 0.9, "this program is free software you can redistribute it and or modify it"),
+    ("lgpl-family", "this library is free software", 1, 0.9, "this library is free software you can redistribute it and or modify it"),
+    ("gpl-family", "without even the implied warranty", 3, 0.6, "without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("bsd-family", "redistributions of source code", 1, 0.9, "redistributions of source code must retain the above copyright notice"),
+    ("bsd-family", "redistributions in binary form", 1, 0.9, "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3", "neither the name of", 1, 0.9, "neither the name of (?:the )?(?:[^ ]+ ){1,6}nor the names of its contributors"),
+    ("bsd-4", "all advertising materials", 1, 0.9, "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("mit", "the above copyright notice", 1, 0.9, "the above copyright notice and this permission notice shall be included in all copies"),
+    ("boost-1", "permission is hereby granted", 1, 1.0, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("zlib", "altered source versions", 1, 0.9, "altered source versions must be plainly marked as such"),
+    ("zlib", "this software is provided as is", 2, 0.8, "this software is provided as is without any express or implied warranty"),
+    ("cc0", "to the extent possible under law", 1, 0.9, "to the extent possible under law (?:[^ ]+ ){1,12}waived all copyright and related"),
+    ("epl-family", "this program and the accompanying", 1, 0.9, "this program and the accompanying materials are made available under the terms"),
+    ("unlicense", "anyone is free to copy", 1, 0.9, "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("ofl-family", "this font software", 1, 1.0, "this font software is licensed under the sil open font license"),
+    ("cc-family", "you must give appropriate credit", 3, 0.6, "you must give appropriate credit provide a link to the licen[cs]e"),
 ]
 
 
@@ -124,7 +168,7 @@ class Rule:
 
 def signature_rules() -> list[Rule]:
     """All rules in order: base phrases, then every name in every shape, then the notices."""
-    rows = [(label, phrase.split(" ")[-2], 0, 1.0, phrase, True) for phrase, label in BASE_PHRASES.items()]
+    rows = [(label, phrase, 0, 1.0, phrase, True) for phrase, label in BASE_PHRASES.items()]
     for label, keyword, name in NAMES:
         rows += [(label, keyword, rank, sure, before + name + after, False, ALSO.get(label)) for rank, sure, before, after in SHAPES]
     rows += [(label, keyword, rank, sure, body, False) for label, keyword, rank, sure, body in NOTICES]
@@ -133,7 +177,8 @@ def signature_rules() -> list[Rule]:
 
 #: A text without any of these has no detection: each rule's expression holds one of them.
 GATE = ("licen", "by nc", "spdx", "released", "distributed", "published", "available", "provided", "covered", "the public domain",
-        "rights reserved", "proprietary", "permission", "redistribution", "creative commons", "see the", "copy of the", "text of the")
+        "rights reserved", "proprietary", "permission", "redistribution", "creative commons", "see the", "copy of the", "text of the",
+        "can redistribute it", "implied warranty", "contributors", "advertising materials", "altered source", "waived all copyright", "free to copy")
 
 
 def _rules_column(rules: list[Rule]) -> Column:
@@ -142,8 +187,8 @@ def _rules_column(rules: list[Rule]) -> Column:
             F.struct(
                 F.lit(r.number).alias("number"),
                 F.lit(r.label).alias("label"),
-                F.lit(r.keyword).alias("keyword"),
-                F.lit(r.also).cast("string").alias("also"),
+                F.lit(" " + r.keyword).alias("keyword"),
+                F.lit(None if r.also is None else " " + r.also).cast("string").alias("also"),
                 F.lit(r.rank).alias("rank"),
                 F.lit(r.confidence).alias("confidence"),
                 F.lit(f"(?<= )({r.body})(?= )").alias("pattern"),
@@ -250,11 +295,11 @@ def scan_sql(table: str = "documents") -> str:
     rules = signature_rules()
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(
-        f"({r.number}, {quote(r.label)}, {quote(r.keyword)}, {r.rank}, {r.confidence}, {quote(' (?:' + r.body.replace(' ', '  ').replace('[^  ]', '[^ ]') + ') ')}, {str(r.base).lower()})"
+        f"({r.number}, {quote(r.label)}, {quote(r.keyword)}, {quote(r.also or r.keyword)}, {r.rank}, {r.confidence}, {quote(' (?:' + r.body.replace(' ', '  ').replace('[^  ]', '[^ ]') + ') ')}, {str(r.base).lower()})"
         for r in rules
     )
     return rf"""
-WITH rules(number, label, keyword, rank, confidence, pattern, base) AS (VALUES {values}),
+WITH rules(number, label, keyword, also, rank, confidence, pattern, base) AS (VALUES {values}),
 lines AS (
   SELECT row_number() OVER () AS id, doc_id,
     trim(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') AS packed
@@ -264,7 +309,7 @@ spread AS (
     '  ' || replace(packed, ' ', '  ') || '  ' AS line FROM lines),
 hits AS (
   SELECT s.id, r.*, string_split_regex(s.line, r.pattern) AS gaps, regexp_extract_all(s.line, r.pattern) AS found
-  FROM spread s JOIN rules r ON contains(s.packed, r.keyword) AND regexp_matches(s.line, r.pattern)),
+  FROM spread s JOIN rules r ON (contains(s.packed, r.keyword) OR contains(s.packed, r.also)) AND regexp_matches(s.line, r.pattern)),
 counted AS (
   SELECT *, list_transform(gaps, lambda x: len(regexp_extract_all(x, '[^ ]+'))) AS gap_n, list_transform(found, lambda x: len(regexp_extract_all(x, '[^ ]+'))) AS found_n
   FROM hits),

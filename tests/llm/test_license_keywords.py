@@ -4,6 +4,7 @@ import re
 from dataclasses import replace
 from itertools import product
 
+import duckdb
 import pytest
 from tables import documents, rows_of
 
@@ -48,6 +49,26 @@ def notices():
     return list(enumerate(texts))
 
 
+def test_the_sql_finds_what_the_scan_finds(spark, notices):
+    """The check's gate hides nothing either: names spelled out and in short, and sentences of license texts."""
+    names = ["doc_id", "n_words", "n_base", "base_labels", "labels", "score"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", notices)
+    found = con.execute(licenses.scan_sql()).fetch_df()[names].itertuples(index=False, name=None)
+    assert sorted(found) == sorted(rows_of(scan_licenses(documents(spark, notices, extra=False)), *names))
+
+
+def test_few_rules_are_tried():
+    """Of the texts that reach the rules, each opens about ten of them or fewer."""
+    rules, opened = signature_rules(), []
+    for (text,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall():
+        line = " " + re.sub(licenses.SEPARATORS, " ", text).strip().lower() + " "
+        if any(phrase in line for phrase in licenses.GATE):
+            opened.append(sum(" " + r.keyword in line or bool(r.also and " " + r.also in line) for r in rules))
+    assert opened and sum(opened) <= 10 * len(opened), sum(opened) / len(opened)
+
+
 def test_gated_result_equals_the_ungated(spark, notices, monkeypatch):
     names = ["doc_id", "labels", "score"]
     gated = rows_of(scan_licenses(documents(spark, notices, extra=False)), *names)
