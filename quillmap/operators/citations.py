@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmap.session import durable
+from quillmap.session import broadcast_if_small, store
+
+#: A work that cites more works has them in several lists.
+LIST = 10_000
 
 
 def citation_edges(works_raw: DataFrame) -> DataFrame:
@@ -43,27 +46,33 @@ def citation_rank(
     hand it on to all. It stops after ``rounds``, or when the mean change of a rank is below the tolerance.
     Edges with an end that is no known work do not count.
 
-    Edges carry the share of their source, which is counted once, and lie in partitions of it, so a round shuffles
-    ranks and sums only. Sums are combined before the shuffle; adaptive execution splits a source with very many
-    edges. Every round is checkpointed, so a lost executor costs tasks of one round.
+    Works are numbered once and the works that one cites are kept as lists of numbers, about LIST in one at most, so
+    a round shuffles one row per list, and ranks. Sums are combined before the shuffle. Rounds are stored tables: a
+    checkpoint's size estimate is multiplied in each join.
     """
-    nodes = durable(works.select(F.col(id).alias("node")).distinct())
+    nodes = store(works.select(F.col(id).alias(id)).distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
     n = nodes.count()
     if not n:
-        return nodes.select(F.col("node").alias(id), F.lit(1.0).alias("rank"))
-    known = edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    known = known.select("src", "dst").distinct()
-    out = known.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    shares = durable(known.join(out, "src").select("src", "dst", (1 / F.col("n")).alias("share")).repartition("src"))
-    ranks = durable(
-        nodes.join(out.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("n").isNull().alias("dangling"), F.lit(1.0).alias("rank"))
-    )
+        return nodes.select(id, F.lit(1.0).alias("rank"))
+    numbers = nodes.select(F.col(id).alias("dst"), F.col("node").alias("_dst"))
+    crowded = broadcast_if_small(edges.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / LIST).alias("_parts")).where(F.col("_parts") > 1))
+    known = edges.select("src", "dst").join(numbers, "dst").select("src", "_dst").join(crowded, "src", "left")
+    part = F.pmod(F.xxhash64("_dst"), F.coalesce("_parts", F.lit(1))).alias("_part")
+    cited = known.repartition("src").groupBy("src", part).agg(F.array_distinct(F.collect_list("_dst")).alias("cited"))
+    share = 1 / F.sum(F.size("cited")).over(Window.partitionBy("src"))
+    own = nodes.select(F.col(id).alias("src"), "node")
+    lists = store(cited.withColumn("share", share).join(own, "src").select("node", "cited", "share"), "lists")
+    citing = lists.select("node").distinct().withColumn("_citing", F.lit(True))
+    ranks = store(nodes.join(citing, "node", "left").select("node", F.col("_citing").isNull().alias("dangling"), F.lit(1.0).alias("rank")), "ranks")
+    handed_on = F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))
+    lost = ranks.agg(handed_on).first()[0]
     for _ in range(rounds):
-        lost = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        given = shares.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("given"))
+        shares = lists.join(ranks.select("node", "rank"), "node").select(F.explode("cited").alias("node"), (F.col("share") * F.col("rank")).alias("given"))
+        given = shares.groupBy("node").agg(F.sum("given").alias("given"))
         new = F.lit(1 - damping) + F.lit(damping) * (F.coalesce("given", F.lit(0.0)) + F.lit(lost / n))
-        step = durable(ranks.join(given, "node", "left").select("node", "dangling", new.alias("rank"), F.col("rank").alias("_old")))
+        step = store(ranks.join(given, "node", "left").select("node", "dangling", new.alias("rank"), F.col("rank").alias("_old")), "ranks")
         ranks = step.drop("_old")
-        if step.agg(F.avg(F.abs(F.col("rank") - F.col("_old")))).first()[0] < tolerance:
+        change, lost = step.agg(F.avg(F.abs(F.col("rank") - F.col("_old"))), handed_on).first()
+        if change < tolerance:
             break
-    return ranks.select(F.col("node").alias(id), "rank")
+    return nodes.join(ranks, "node").select(id, "rank")

@@ -1,7 +1,9 @@
 """Steps whose cost grew faster than their input, with small blocks and by what their plans say."""
 
 import numpy as np
+import pytest
 
+from quillmap.operators import citations as ct
 from quillmap.operators import clustering as cl
 from quillmap.registry import landscape
 
@@ -26,3 +28,18 @@ def test_vectors_are_not_broadcast_by_their_size_estimate(spark):
     assert found.count() == 60
     near = landscape._near_share(vectors, "author_id", found)
     assert near.count() == 60 and near.select("near").distinct().count() == 1
+
+
+@pytest.mark.parametrize("most", [2, 10_000])
+def test_ranks_of_many_rounds_keep_their_size_estimate(spark, monkeypatch, most):
+    monkeypatch.setattr(ct, "LIST", most)  # a work that cites seven has them in several lists
+    works = spark.createDataFrame([(c,) for c in "ABCDEFGHI"] + [("A",)], "openalex_id string")
+    own = [("A", c) for c in "BCDEFGH"] + [("B", "A"), ("C", "A"), ("C", "B"), ("I", "A"), ("C", "A"), ("X", "A"), ("A", "Y")]
+    ranks = ct.citation_rank(works, spark.createDataFrame(own, "src string, dst string"), rounds=9, tolerance=0.0)
+    want = {c: 1.0 for c in "ABCDEFGHI"}
+    cites = {s: sorted({d for x, d in own if x == s and d in want}) for s in want}
+    for _ in range(9):
+        lost = sum(r for c, r in want.items() if not cites[c]) / len(want)
+        want = {c: 0.15 + 0.85 * (sum(r / len(cites[s]) for s, r in want.items() if c in cites[s]) + lost) for c in want}
+    assert {r[0]: r[1] for r in ranks.collect()} == pytest.approx(want)
+    assert _size_digits(ranks) < 30
