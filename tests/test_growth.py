@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillmap.operators import citations as ct
 from quillmap.operators import clustering as cl
+from quillmap.operators import density
 from quillmap.registry import landscape
 
 
@@ -43,3 +45,20 @@ def test_ranks_of_many_rounds_keep_their_size_estimate(spark, monkeypatch, most)
         want = {c: 0.15 + 0.85 * (sum(r / len(cites[s]) for s, r in want.items() if c in cites[s]) + lost) for c in want}
     assert {r[0]: r[1] for r in ranks.collect()} == pytest.approx(want)
     assert _size_digits(ranks) < 30
+
+
+def test_points_are_compared_inside_tasks(spark, monkeypatch):
+    monkeypatch.setattr(density, "BLOCK", 5)
+    monkeypatch.setattr(density, "PARTS", 2)
+    monkeypatch.setattr(density, "PAIRS", 16)
+    draw = np.random.default_rng(2)
+    points = 1000 + draw.integers(0, 40, size=(120, 3)) / 32  # on a grid, so many distances are eps itself
+    eps = 5 / 32
+    vectors = spark.createDataFrame([(k, [float(x) for x in p]) for k, p in enumerate(points)], "id long, v array<double>")
+    near = ((points[:, None] - points[None]) ** 2).sum(axis=2) <= eps * eps
+    found = density.core_points(vectors, [0, 1, 2], eps, 3)
+    assert {r["id"] for r in found.collect()} == {k for k in range(120) if near[k].sum() >= 3}
+    assert "CoGroups" in _plan(found)
+    nodes = vectors.withColumn("node", F.col("id"))
+    pairs = {(r["a"], r["b"]) for r in density._linked_nodes(nodes, [0, 1, 2], eps).collect()}
+    assert pairs == {(i, j) for i in range(120) for j in range(i + 1, 120) if near[i, j]}
