@@ -13,6 +13,9 @@ from quillmap.session import broadcast_if_small, durable, running_sum, top_n
 #: (postings, doc_stats), or a stored index with (token_stats, corpus_stats) as well.
 Index = tuple[DataFrame, ...]
 
+#: Pairs of a posting and a query term that one task scores.
+PAIRS = 1_000_000
+
 
 def build_search_index(
     docs: DataFrame, columns: tuple[str, ...] = ("title", "abstract"), id: str = "openalex_id"
@@ -79,16 +82,8 @@ def parse_queries(queries: DataFrame) -> DataFrame:
     return words.join(sizes, ["query_id", "group_id"])
 
 
-def match_documents(
-    index: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75
-) -> DataFrame:
-    """(query_id, doc_id, score) of every document that satisfies a group of the query.
-
-    A stored index is read once: the folders of the asked tokens only, with their stored frequencies.
-    An index that is not stored is read twice, as its frequencies are counted first. The query
-    terms with their weights are counted and broadcast. Scores add up per group and then per query
-    after one shuffle on (query, document).
-    """
+def _asked(index: Index, queries: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(postings of the asked tokens, query terms with their weights, how many pairs of both there are)."""
     postings, doc_stats = index[:2]
     terms = durable(parse_queries(queries))
     asked = broadcast_if_small(terms.select("token").distinct())
@@ -105,17 +100,23 @@ def match_documents(
         n_docs = doc_stats.agg(F.count(F.lit(1)).alias("n")).scalar()
         mean_dl = doc_stats.agg(F.avg("dl").alias("a")).scalar()
     raw = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(spread, "token").select(
-        "query_id", "group_id", "token", "times", "n_tokens",
+    weighted = broadcast_if_small(terms.join(spread, "token").select(
+        "query_id", "group_id", "token", "times", "n_tokens", "df",
         F.when(raw > 0, raw).otherwise(F.lit(1e-6)).alias("idf"),
         mean_dl.alias("mean_dl"),
-    )
+    ))
+    return postings.join(asked, "token", "left_semi"), weighted, weighted.agg(F.sum("df")).first()[0] or 0
+
+
+def _scores(postings: DataFrame, weighted: DataFrame, pairs: int, k1: float, b: float) -> DataFrame:
+    """Scores per (query, document): postings are shuffled by document, pairs with query terms arise after that and stay there."""
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean_dl"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
+    cores = postings.sparkSession.sparkContext.defaultParallelism
+    tasks = max(pairs // PAIRS, min(cores, pairs * 10 // PAIRS)) + 1
     return (
-        postings.join(broadcast_if_small(weighted), "token")
+        postings.repartition(tasks, "doc_id").join(weighted, "token")
         .select("query_id", "group_id", "doc_id", "n_tokens", part.alias("part"))
-        .repartition("query_id", "doc_id")
         .groupBy("query_id", "doc_id", "group_id", "n_tokens")
         .agg(F.count(F.lit(1)).alias("hits"), F.sum("part").alias("score"))
         .where(F.col("hits") == F.col("n_tokens"))
@@ -124,6 +125,19 @@ def match_documents(
     )
 
 
+def match_documents(
+    index: Index, queries: DataFrame, k1: float = 1.2, b: float = 0.75
+) -> DataFrame:
+    """(query_id, doc_id, score) of every document that satisfies a group of the query.
+
+    A stored index is read once: the folders of the asked tokens only, with their stored frequencies.
+    An index that is not stored is read twice, as its frequencies are counted first. The query
+    terms with their weights are counted and broadcast. The postings of asked tokens are shuffled by
+    document, in tasks of about PAIRS pairs of a posting and a query term; scores add up there.
+    """
+    return _scores(*_asked(index, queries), k1, b)
+
+
 def apply_search_filters(
     df: DataFrame, filters: DataFrame | None, query_id: str = "query_id"
 ) -> DataFrame:
@@ -168,7 +182,11 @@ def search(
     """
     slim = ["year", "citation_count", "journal_tier", "subfield"]
     held = docs.select(F.col("openalex_id").alias("doc_id"), *[c for c in slim if c in docs.columns])
-    scored = held.join(broadcast_if_small(match_documents(index, queries, k1, b)), "doc_id")
+    postings, weighted, pairs = _asked(index, queries)
+    found = _scores(postings, weighted, pairs, k1, b)
+    # few matches are broadcast; many stay where their document's postings met, and papers come to them
+    few = pairs <= 500_000
+    scored = held.join(broadcast_if_small(found), "doc_id") if few else found.join(held.hint("shuffle_hash"), "doc_id")
     passed = apply_search_filters(scored, filters)
     order = [F.desc(F.round("score", 9)), F.desc("citation_count"), F.col("doc_id")]
     per_query = filters is not None and "limit" in filters.columns

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillmap.operators import citations as ct
 from quillmap.operators import clustering as cl
 from quillmap.operators import density
+from quillmap.operators import search as se
 from quillmap.registry import landscape
 
 
@@ -62,3 +63,14 @@ def test_points_are_compared_inside_tasks(spark, monkeypatch):
     nodes = vectors.withColumn("node", F.col("id"))
     pairs = {(r["a"], r["b"]) for r in density._linked_nodes(nodes, [0, 1, 2], eps).collect()}
     assert pairs == {(i, j) for i in range(120) for j in range(i + 1, 120) if near[i, j]}
+
+
+def test_pairs_of_postings_and_terms_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(se, "PAIRS", 5)
+    texts = ["red fox", "red red fox den", "fox", "blue fox red", "", None, "den", "red fox"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "openalex_id long, abstract string")
+    index = se.build_search_index(docs, ("abstract",))
+    queries = spark.createDataFrame([(1, 0, "red fox"), (1, 1, "den"), (2, 0, "blue"), (3, 0, "owl")], "query_id long, group_id int, keyword string")
+    found = se.match_documents(index, queries)
+    assert "hashpartitioning(query_id" not in _plan(found) and "hashpartitioning(doc_id" in _plan(found)
+    assert sorted((r["query_id"], r["doc_id"]) for r in found.collect()) == [(1, d) for d in (0, 1, 3, 6, 7)] + [(2, 3)]
