@@ -8,6 +8,7 @@ from quillmap.operators import citations as ct
 from quillmap.operators import clustering as cl
 from quillmap.operators import density
 from quillmap.operators import search as se
+from quillmap.operators import terms as tm
 from quillmap.registry import landscape
 
 
@@ -74,3 +75,19 @@ def test_pairs_of_postings_and_terms_are_not_shuffled(spark, monkeypatch):
     found = se.match_documents(index, queries)
     assert "hashpartitioning(query_id" not in _plan(found) and "hashpartitioning(doc_id" in _plan(found)
     assert sorted((r["query_id"], r["doc_id"]) for r in found.collect()) == [(1, d) for d in (0, 1, 3, 6, 7)] + [(2, 3)]
+
+
+def test_terms_are_counted_once_and_bounded(spark):
+    draw = np.random.default_rng(4)
+    rows = [(k, int(k % 4), " ".join(f"w{x}" for x in draw.zipf(1.4, size=60) % 300)) for k in range(80)] + [(99, 7, "lone words here"), (100, None, "w1 w2")]
+    docs = spark.createDataFrame(rows, "openalex_id long, cluster_id int, text string")
+    found = tm.ctfidf_terms(docs, top=5)
+    assert "Generate" not in _plan(found)  # what was counted is not counted again
+    weights = tm.ctfidf_weights(docs).collect()
+    want = {}
+    for r in sorted(weights, key=lambda r: (-round(r["weight"], 12), r["token"])):
+        want.setdefault(r["cluster_id"], []).append(r["token"])
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["cluster_id"], []).append(r["token"])
+    assert got == {c: t[:5] for c, t in want.items()} and set(got) == {0, 1, 2, 3, 7}
