@@ -1,6 +1,9 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from quillmap import session
 from quillmap.operators import network as nw
 from quillmap.operators import trajectory as tr
 
@@ -70,3 +73,37 @@ def test_landscape_modes(spark):
     assert tr.landscape_until(df, 2001, "slice").count() == 2
     with pytest.raises(ValueError):
         tr.landscape_until(df, 2001, "other")
+
+
+def _tasks(df, *keys) -> int:
+    """Largest number of tasks to which the plan deals rows by these keys."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    own = ", ".join(rf"{k}#\d+L?" for k in keys)
+    return max((int(n) for n in re.findall(rf"hashpartitioning\({own}, (\d+)\), REPARTITION_BY_NUM", plan)), default=0)
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 20)
+    rows = sorted({(p, (7 * p + 11 * k * (p % 5)) % 30) for p in range(90) for k in range(4)})
+    links = spark.createDataFrame(rows, "paper_id int, author_id int")
+    authors = spark.createDataFrame([(a, a % 4) for a in range(30)], "author_id int, total_citations int")
+    focals = authors.where("author_id % 3 = 0").select("author_id")
+    written = {a: {p for p, b in rows if b == a} for a in range(30)}
+    shared = {(a, b): len(written[a] & written[b]) for a in range(30) for b in range(30) if a != b and written[a] & written[b]}
+    edges = nw.coauthor_edges(focals, links)
+    assert _tasks(edges, "focal_id", "author_id") > len(rows) / 3 / 20
+    assert {(r["focal_id"], r["author_id"]): r["shared_papers"] for r in edges.collect()} == {k: n for k, n in shared.items() if k[0] % 3 == 0}
+    layer1 = nw.ego_layer1(edges, authors)
+    hops = nw.layer2_links(layer1, links)
+    near = {k for k in shared if k[0] % 3 == 0}
+    want = {(f, a, b) for f, a in near for x, b in shared if x == a and shared[x, b] >= 2 and b != f and (f, b) not in near}
+    assert {(r["focal_id"], r["layer1_id"], r["author_id"]) for r in hops.collect()} == want
+    assert _tasks(hops, "layer1_id") > len(near) / 20 and _tasks(hops, "focal_id", "author_id") > len(near) / 20
+    # the selection of authors is dealt, too, where it is too large to be broadcast
+    some = session.join_selected(links, focals, ["author_id"], links.count(), "left_semi", max_rows=0)
+    assert _tasks(some, "author_id") >= len(rows) / 20 and some.count() == sum(a % 3 == 0 for _, a in rows)
+    papers = spark.createDataFrame([(p, p) for p in range(90)], "openalex_id int, year int")
+    owned = nw.territory_papers(focals, layer1, links, papers, 2)
+    best = {f: [a for _, a in sorted((-n, b) for (x, b), n in shared.items() if x == f)[:2]] for f in range(0, 30, 3)}
+    owners = {(f, p): a for f in best for a in reversed([f, *best[f]]) for p in written[a]}
+    assert {(r["focal_id"], r["openalex_id"]): r["owner_id"] for r in owned.collect()} == owners
