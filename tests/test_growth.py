@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillmap.operators import citations as ct
 from quillmap.operators import clustering as cl
 from quillmap.operators import density
+from quillmap.operators import embedding as em
 from quillmap.operators import search as se
 from quillmap.operators import terms as tm
 from quillmap.registry import landscape
@@ -91,3 +92,21 @@ def test_terms_are_counted_once_and_bounded(spark):
     for r in sorted(found.collect(), key=lambda r: r["rank"]):
         got.setdefault(r["cluster_id"], []).append(r["token"])
     assert got == {c: t[:5] for c, t in want.items()} and set(got) == {0, 1, 2, 3, 7}
+
+
+def test_author_vectors_are_plain_sums(spark):
+    links = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 10), (3, 13)], "author_id long, paper_id long")
+    vectors = spark.createDataFrame([(10, [1.0, 2.0]), (11, [0.0, -1.0]), (12, [3.0, 3.0])], "openalex_id long, embedding array<float>")
+    papers = spark.createDataFrame([(10, 5), (11, None), (12, -3)], "openalex_id long, citation_count int")
+    found = em.author_vectors(links, vectors, papers, 1)
+    assert "ObjectHashAggregate" not in _plan(found)
+    mean = np.log1p(5) * np.array([1.0, 2.0]) + 0.1 * np.array([0.0, -1.0]) + 0.1 * np.array([3.0, 3.0])
+    got = {r["author_id"]: r["embedding"] for r in found.collect()}
+    assert got[1] == pytest.approx(list(mean / np.linalg.norm(mean))) and got[3] == [0.0, 0.0]
+    assert got[2] == pytest.approx([1 / 5**0.5, 2 / 5**0.5])
+    none = em.author_vectors(links, vectors.limit(0), papers, 1)
+    assert {tuple(r["embedding"]) for r in none.collect()} == {()}
+    uneven = vectors.unionByName(spark.createDataFrame([(13, [1.0])], vectors.schema))
+    papers = papers.unionByName(spark.createDataFrame([(13, 1)], papers.schema))
+    with pytest.raises(Exception, match="differ in length"):
+        em.author_vectors(links, uneven, papers, 1).collect()
