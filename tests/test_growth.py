@@ -10,6 +10,7 @@ from quillmap.operators import density
 from quillmap.operators import embedding as em
 from quillmap.operators import search as se
 from quillmap.operators import terms as tm
+from quillmap.plans import maps
 from quillmap.registry import landscape
 
 
@@ -94,6 +95,41 @@ def test_terms_are_counted_once_and_bounded(spark):
     assert got == {c: t[:5] for c, t in want.items()} and set(got) == {0, 1, 2, 3, 7}
 
 
+def test_documents_are_weighed_inside_their_row(spark):
+    rows = [(1, 0, "red fox red den"), (1, 1, "red blue owl"), (2, 0, "fox fox owl lake"), (None, 1, "owl den"), (None, 1, "owl red"), (3, 1, ""), (4, 0, None)]
+    docs = spark.createDataFrame(rows, "openalex_id long, cluster_id int, text string")
+    found = tm.tfidf_terms(docs, top=9)
+    assert "openalex_id" not in _plan(found).split("Window [")[0] and "hashpartitioning(openalex_id" not in _plan(found)
+    bags = [(i, c, {w: (t or "").split().count(w) for w in (t or "").split()}) for i, c, t in rows]
+    idf = lambda w: np.log((1 + len(bags)) / (1 + sum(w in b for _, _, b in bags))) + 1
+    length = lambda own: np.sqrt(sum((n * idf(w)) ** 2 for i, _, b in bags if i == own for w, n in b.items()))
+    want = {}
+    for i, c, b in bags:
+        for w, n in b.items():
+            want[c, w] = want.get((c, w), 0) + n * idf(w) / length(i) / sum(k == c for _, k, _ in bags)
+    assert {(r["cluster_id"], r["token"]): r["weight"] for r in found.collect()} == pytest.approx(want)
+    none = tm.tfidf_terms(docs.where("openalex_id = 3"))
+    assert none.columns == found.columns and none.isEmpty()
+
+
+def test_words_are_split_once_for_each_pass(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, 0, "red fox"), (2, 1, "")], "openalex_id long, cluster_id int, text string")
+    assert _plan(tm._document_terms(docs, "cluster_id", "text", "openalex_id", None)).count("split(") == 1
+    held = []
+    monkeypatch.setattr(tm, "store", lambda df, name="table": held.append(df) or df)
+    tm._class_counts(docs, "cluster_id", "text", False, None)
+    assert _plan(held[0]).count("split(") == 1
+
+
+def test_texts_of_a_landscape_are_composed_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(maps, "_with_text", lambda papers, own=maps._with_text: seen.append(1) or own(papers))
+    papers = spark.createDataFrame([(k, f"title {k}", f"w{k % 3} body") for k in range(12)], "openalex_id long, title string, abstract string")
+    for method in ("kmeans", "density"):
+        assert maps.build_landscape(papers, method=method).count() == 12 and len(seen) == 1
+        seen.clear()
+
+
 def test_author_vectors_are_plain_sums(spark):
     links = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 10), (3, 13)], "author_id long, paper_id long")
     vectors = spark.createDataFrame([(10, [1.0, 2.0]), (11, [0.0, -1.0]), (12, [3.0, 3.0])], "openalex_id long, embedding array<float>")
