@@ -87,6 +87,8 @@ def _best_of(k: int, without_self: bool, masked: bool):
 
     def task(asked: pa.Table, held: pa.Table) -> pa.Table:
         names, ids = asked["query_id"].combine_chunks(), held["id"].combine_chunks()
+        if not len(names) or not len(ids):  # a block without a part of the vectors, or the other way round
+            return pa.table({"query_id": names[:0], "id": ids[:0], "score": pa.array([], pa.float64())})
         q, v = (np.asarray(c.combine_chunks().flatten()).reshape(len(c), -1) for c in (asked["q"], held["embedding"]))
         found_q, found_v, found_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         place = np.empty(len(ids), np.int64)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmap.operators import keyed
+from quillmap.operators import vector_index as vi
 from quillmap.plans import maps
 from quillmap.registry import corpus
 from quillmap.registry.base import Tables
@@ -132,3 +133,10 @@ def test_indexes_arise_after_the_shuffle(spark, tmp_path):
     assert plan.index("MapInArrow") < plan.index("SortMergeJoin" if "SortMergeJoin" in plan else "BroadcastHashJoin")  # printed from the top
     got = {r["openalex_id"]: r["value"] for r in lines.collect()}
     assert '"abstract_inverted_index":{"a":[1],"b":[0,2]}' in got[1] and "abstract_inverted_index" not in got[2] and set(got) == {1, 2}
+
+
+def test_a_block_without_vectors_has_no_best():
+    asked = pa.table({"query_id": [1], "q": [[1.0, 0.0]], "cells": [[0]]})
+    held = pa.table({"id": [2], "embedding": [[1.0, 0.0]], "cell": [0]})
+    for some, other, n in ((asked, held, 1), (asked[:0], held, 0), (asked, held[:0], 0)):
+        assert vi._best_of(3, True, True)(some, other).num_rows == n
